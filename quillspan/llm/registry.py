@@ -7,6 +7,7 @@ from quillspan.llm.quality_gbt import op4_quality_gbt
 from quillspan.llm.quality_rules import op3_quality_rules
 from quillspan.llm.sharding import op6_sharding
 from quillspan.llm.simhash_dedup import op7_simhash_dedup
+from quillspan.llm.suffix_dedup import op5_repeated_strings
 from quillspan.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_gbt": op4_quality_gbt,
+    "op5_repeated_strings": op5_repeated_strings,
     "op6_sharding": op6_sharding,
     "op7_simhash_dedup": op7_simhash_dedup,
 }
