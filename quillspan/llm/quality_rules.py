@@ -34,14 +34,16 @@ MAX_GOOD_LOSS = 0.002
 _UPPER = bytes(range(65, 91))
 
 
+def _row(text: bytes) -> tuple[int, ...]:
+    stats = rule_statistics(text)
+    upper = len(text) - len(text.translate(None, _UPPER))
+    return (*stats, 1000 * upper // max(1, stats[1]))
+
+
 def _measure(batches):
     names = ["doc_id", *STATS, "upper_permille"]
     for batch in batches:
-        rows = []
-        for text in texts_as_bytes(batch.column(1)):
-            stats = rule_statistics(text)
-            upper = len(text) - len(text.translate(None, _UPPER))
-            rows.append((*stats, 1000 * upper // max(1, stats[1])))
+        rows = [_row(text) for text in texts_as_bytes(batch.column(1))]
         columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * (len(names) - 1)
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
@@ -153,16 +155,45 @@ def calibrate(scored: DataFrame, labels: DataFrame) -> float:
     return best / BINS if value[best] > 0 else float("inf")
 
 
-def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, per_tree: int = SAMPLE_PER_TREE) -> DataFrame:
-    """Statistics, base_failed, anomaly score and kept for each document."""
-    stats = materialize(rule_table(docs, id_col, text_col), "rule-stats")
-    # the base rules already remove the short and the repetitive: the forest models what passes them
+def train(stats: DataFrame, labels: DataFrame | None, trees: int = TREES, per_tree: int = SAMPLE_PER_TREE) -> tuple[dict, DataFrame, float]:
+    """(forest, scored statistics, threshold).
+
+    The base rules already remove the short and the repetitive, so the forest
+    models what passes them.
+    """
     sample = stats.filter(~base_failed()).orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(trees * per_tree).drop("doc_id").toPandas().to_numpy(float)
     forest = grow_forest(_features(sample.reshape(-1, 6)), trees, per_tree)
     scored = materialize(stats.mapInArrow(_scorer(forest), STATS_DDL + ", anomaly double"), "rule-scores")
     threshold = calibrate(scored.filter(~base_failed()), labels) if labels is not None else float("inf")
-    failed = base_failed()
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") < F.lit(threshold)))
+    return forest, scored, threshold
+
+
+def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """Statistics, base_failed, anomaly score and kept for each document."""
+    _, scored, threshold = train(materialize(rule_table(docs, id_col, text_col), "rule-stats"), labels, **more)
+    return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & (F.col("anomaly") < F.lit(threshold)))
+
+
+def _keeper(forest: dict, threshold: float, at: int):
+    def run(batches):
+        for batch in batches:
+            x = np.array([_row(t) for t in texts_as_bytes(batch.column(at))], dtype=float).reshape(batch.num_rows, 6)
+            failed = (x[:, 0] < MIN_WORDS) | (100 * x[:, 4] > 50 * x[:, 0])
+            keep = ~failed
+            keep[keep] = anomaly_score(forest, _features(x[keep])) < threshold
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def keep(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns.
+
+    Statistics are taken again while filtering: that costs a second pass over
+    the text but no shuffle of it, and needs no unique ids.
+    """
+    forest, _, threshold = train(materialize(rule_table(docs, id_col, text_col), "rule-stats"), labels, **more)
+    return docs.mapInArrow(_keeper(forest, threshold, docs.columns.index(text_col)), docs.schema)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

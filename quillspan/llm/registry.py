@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from quillspan.llm.decontaminate import op10_decontaminate
+from quillspan.llm.licenses import op9_licenses
+from quillspan.llm.mixing import OP8_SQL, op8_mixing
 from quillspan.llm.pii import op1_pii
 from quillspan.llm.quality_gbt import op4_quality_gbt
 from quillspan.llm.quality_rules import op3_quality_rules
@@ -18,6 +21,9 @@ QUERIES = {
     "op5_repeated_strings": op5_repeated_strings,
     "op6_sharding": op6_sharding,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_mixing": op8_mixing,
+    "op9_licenses": op9_licenses,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES = {"op2_warc": OP2_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op8_mixing": OP8_SQL}

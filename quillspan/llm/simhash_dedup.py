@@ -205,6 +205,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group, one row per id; rows without an id stay."""
+    heads = near_duplicates(docs, radius, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(heads, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def op7_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
