@@ -30,6 +30,10 @@ TREES = 100
 SAMPLE_PER_TREE = 256
 BINS = 1000
 MAX_GOOD_LOSS = 0.002
+WORD_CHARS = (3.0, 10.0)
+UPPER_ALLOWED = 0.1
+LINES_ALLOWED = 3
+REPEATS_ALLOWED = 0.3
 
 _UPPER = bytes(range(65, 91))
 
@@ -58,9 +62,19 @@ def base_failed():
 
 
 def _features(x: np.ndarray) -> np.ndarray:
-    """Scale-free view of the statistics: ratios to the number of words."""
+    """How far each rule's statistic lies outside what sound text shows anyway.
+
+    Short sound texts vary most: a line that comes back, a long word, a few
+    capitals.  Inside the allowances below a statistic says nothing, so the
+    forest sees 0 there and the excess beyond.
+    """
     n = np.maximum(x[:, 0], 1.0)
-    return np.column_stack([x[:, 1] / n, x[:, 2] / n, np.minimum(x[:, 3] / n * 10, 1), x[:, 4] / n, x[:, 5] / 1000.0])
+    per_word = x[:, 1] / n
+    outside = np.maximum(per_word - WORD_CHARS[1], 0) + np.where(x[:, 0] > 0, np.maximum(WORD_CHARS[0] - per_word, 0), 0)
+    lines = np.maximum(x[:, 3] - LINES_ALLOWED, 0) / n
+    repeats = np.maximum(x[:, 4] / n - REPEATS_ALLOWED, 0)
+    upper = np.maximum(x[:, 5] / 1000.0 - UPPER_ALLOWED, 0)
+    return np.column_stack([outside, x[:, 2] / n, lines, repeats, upper])
 
 
 def path_normaliser(n: float) -> float:
@@ -134,8 +148,8 @@ def calibrate(scored: DataFrame, labels: DataFrame) -> float:
     """Threshold on the anomaly score from labelled rows (quality 1 good, 0 bad).
 
     Of all bin edges that lose at most ``MAX_GOOD_LOSS`` of the good rows, the
-    one with the best balance of rejected bad and kept good rows; infinity when
-    one of the classes is missing.
+    one with the best balance of rejected bad and kept good rows (the middle
+    one where several are best); infinity when one of the classes is missing.
     """
     rows = (
         scored.join(labels.filter("quality is not null").groupBy(F.col("doc_id")).agg(F.max("quality").alias("quality")), "doc_id")
@@ -151,8 +165,8 @@ def calibrate(scored: DataFrame, labels: DataFrame) -> float:
     lost = good[::-1].cumsum()[::-1] / good.sum()
     caught = bad[::-1].cumsum()[::-1] / bad.sum()
     value = np.where(lost <= MAX_GOOD_LOSS, caught - lost, -1.0)
-    best = int(np.argmax(value))
-    return best / BINS if value[best] > 0 else float("inf")
+    best = np.flatnonzero(value == value.max())
+    return float(best[len(best) // 2]) / BINS if value.max() > 0 else float("inf")
 
 
 def train(stats: DataFrame, labels: DataFrame | None, trees: int = TREES, per_tree: int = SAMPLE_PER_TREE) -> tuple[dict, DataFrame, float]:
