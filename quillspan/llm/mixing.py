@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quillspan.workspace import materialize, table
 
 ROUNDS = 8
+CUT_ROUNDS = 4
 TEMPER = 0.9
 KEEP_SHARE = 0.9
 SEED = "mix-1"
@@ -63,7 +64,8 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER) -> Data
     """``cells`` (source, lang, topic, tokens) with ``fitted``: tokens raked to the tempered marginals.
 
     A marginal's target share is its present share to the power ``temper``, made
-    to sum to 1.  Each step is one window per marginal over the cell table.
+    to sum to 1.  Each step is one window per marginal over the cell table, and the table is
+    written every CUT_ROUNDS rounds, so plans and lineage stay short.
     """
     everything = Window.partitionBy(F.lit(0))
     out = cells.filter("tokens > 0").withColumn("total", F.sum("tokens").over(everything).cast("double")).withColumn("fitted", F.col("tokens").cast("double"))
@@ -73,9 +75,11 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER) -> Data
         # each value's raw share counts once: divide it among its cells by tokens
         out = out.withColumn("_raw", raw).withColumn("_part", F.col("_raw") * F.col("tokens") / F.sum("tokens").over(own))
         out = out.withColumn(f"target_{m}", F.col("_raw") / F.sum("_part").over(everything) * F.col("total")).drop("_raw", "_part")
-    for _ in range(rounds):
+    for i in range(rounds):
         for m in MARGINS:
             out = out.withColumn("fitted", F.col("fitted") * F.col(f"target_{m}") / F.sum("fitted").over(Window.partitionBy(m)))
+        if i % CUT_ROUNDS == CUT_ROUNDS - 1:
+            out = materialize(out, "mix-rake")
     return out.select(*MARGINS, "tokens", "total", "fitted")
 
 

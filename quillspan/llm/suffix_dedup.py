@@ -183,24 +183,19 @@ def _indexer(length: int):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
             for low, high in zip(edge[::2].tolist(), edge[1::2].tolist()):
                 put(anchor, digest, windows, low, high, None)
-        if any(r[1] > 1 for r in rows):
-            for anchor, chunks, own in groups:
-                if chunks == 1:
-                    continue
-                matched: set[int] = set()
-                for i, r in enumerate(rows):
-                    if r[0] != anchor:
-                        continue
-                    at, windows = int(index.starts[i]), r[3]
-                    p = np.arange(at, at + windows)
-                    hashes = span_hash(index.prefix, p, p + length).view(np.int64).tolist()
-                    for k, (h, done) in enumerate(zip(hashes, hit[at : at + windows].tolist())):
-                        if done:
-                            matched.add(h)
-                        else:
-                            put(anchor, r[2], windows, k, k + 1, h)
-                for h in matched:
-                    put(anchor, None, None, None, None, h)
+        matched: set[tuple[int, int]] = set()
+        for (anchor, chunks, digest, windows, _), at in zip(rows, index.starts.tolist()):
+            if chunks == 1:
+                continue
+            p = np.arange(at, at + windows)
+            hashes = span_hash(index.prefix, p, p + length).view(np.int64).tolist()
+            for k, (h, done) in enumerate(zip(hashes, hit[at : at + windows].tolist())):
+                if done:
+                    matched.add((anchor, h))
+                else:
+                    put(anchor, digest, windows, k, k + 1, h)
+        for anchor, h in matched:
+            put(anchor, None, None, None, None, h)
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["anchor", "digest", "windows", "low", "high", "hash"])
 
