@@ -1,4 +1,10 @@
 """All registered queries of the analytics operators, with the SQL that checks them."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from quillspan.plans import search
+
+_MODULES = (search,)
+
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
