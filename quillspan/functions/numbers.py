@@ -44,7 +44,7 @@ def ladder(c: Column, steps: list[tuple[float, object]], otherwise: object) -> C
 
 def safe_int(c: Column) -> Column:
     """Whole number of a text, truncated; 0 when it is none."""
-    return F.coalesce(F.try_cast(F.try_cast(c, "double"), "bigint") if hasattr(F, "try_cast") else c.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(c.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def safe_float(c: Column, digits: int = 2) -> Column:
