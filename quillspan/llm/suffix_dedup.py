@@ -38,7 +38,8 @@ from quillspan.workspace import materialize, table
 
 LENGTH = 400
 KGRAM = 32
-CHUNK = 2_000
+#: Different segments of one anchor in one index: 3 MB of text at most, some 250 MB of arrays while sorting.
+CHUNK = 4_096
 PIECE = 1 << 19
 INDEX_BYTES = 1 << 20
 _POSITION_BITS = np.uint64(24)
