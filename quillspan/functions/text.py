@@ -57,8 +57,15 @@ def paragraphs(c: Column) -> Column:
 
 
 def windows(tokens: Column, n: int) -> Column:
-    """All runs of n tokens, joined by a space; none when there are fewer."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """All runs of n tokens, joined by a space; none when there are fewer.
+
+    The tokens are bound to a lambda variable: an expression used inside the
+    inner lambda would be computed anew for every window.
+    """
+    runs = lambda t: F.when(
+        F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+    ).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(tokens), runs)[0]
 
 
 def shingles(c: Column, n: int = 5) -> Column:

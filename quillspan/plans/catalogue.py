@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspan.plans import audit, search
+from quillspan.plans import audit, graph, search, texts
 
-_MODULES = (search, audit)
+_MODULES = (search, audit, graph, texts)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
