@@ -64,9 +64,9 @@ HAVERSINE = "2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin((radians(
 _needle = "CASE WHEN contains(low, 'anthe') THEN 'anthe' WHEN contains(low, 'ereti.example.com') THEN 'ereti.example.com' WHEN contains(low, 'ereti') THEN 'ereti' END"
 MENTIONS = f"""
 WITH a AS (SELECT conv_id, turn, conv_id % 4 AS platform, text, lower(text) AS low FROM conversations WHERE role = 'assistant')
-, n AS (SELECT *, {_needle} AS needle FROM a), p AS (SELECT *, instr(low, needle) AS at FROM n)
-, q AS (SELECT *, greatest(at - 80, 1) AS b, least(at + length(needle) + 120 - 1, length(text)) AS e FROM p)
-, mn AS (SELECT conv_id, turn, platform, needle IS NOT NULL AS mentioned, needle AS matched, CASE WHEN at > 0 THEN (CASE WHEN b > 1 THEN '…' ELSE '' END) || substring(text, b, e - b + 1) || (CASE WHEN e < length(text) THEN '…' ELSE '' END) END AS snippet FROM q)
+, n AS (SELECT *, {_needle} AS needle FROM a), p AS (SELECT *, instr(low, needle) AS pos_ FROM n)
+, q AS (SELECT *, greatest(pos_ - 80, 1) AS b, least(pos_ + length(needle) + 120 - 1, length(text)) AS e FROM p)
+, mn AS (SELECT conv_id, turn, platform, needle IS NOT NULL AS mentioned, needle AS matched, CASE WHEN pos_ > 0 THEN (CASE WHEN b > 1 THEN '…' ELSE '' END) || substring(text, b, e - b + 1) || (CASE WHEN e < length(text) THEN '…' ELSE '' END) END AS snippet FROM q)
 """
 ORACLES = {
     "near_duplicates": SETS + f"""
