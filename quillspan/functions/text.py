@@ -49,11 +49,11 @@ def word_count(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Cut after . ! ? … and white space; pieces of more than two characters."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), SENTENCE_BREAK), F.trim), lambda s: F.length(s) > 2)
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), SENTENCE_BREAK), lambda x: F.trim(x)), lambda s: F.length(s) > 2)
 
 
 def paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), PARAGRAPH_BREAK), F.trim), lambda p: F.length(p) > 40)
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), PARAGRAPH_BREAK), lambda x: F.trim(x)), lambda p: F.length(p) > 40)
 
 
 def windows(tokens: Column, n: int) -> Column:

@@ -129,7 +129,7 @@ OVERVIEW_FEATURE = "51"
 
 def overview_share(keywords: DataFrame) -> DataFrame:
     """(keywords, with_overview, share %): keywords whose feature code list holds the overview's code."""
-    codes = F.transform(F.split(F.coalesce("features", F.lit("")), ","), F.trim)
+    codes = F.transform(F.split(F.coalesce("features", F.lit("")), ","), lambda x: F.trim(x))
     hit = F.count_if(F.array_contains(codes, OVERVIEW_FEATURE))
     return keywords.agg(F.count("*").alias("keywords"), hit.alias("with_overview"), F.coalesce(half_up(F.try_divide(hit * 100.0, F.count("*")), 1), F.lit(0.0)).alias("share"))
 
