@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.docstats import rule_statistics, texts_as_bytes
+from quillspan.llm.sampling import smallest_hashes
 from quillspan.workspace import materialize, table
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -175,7 +176,7 @@ def train(stats: DataFrame, labels: DataFrame | None, trees: int = TREES, per_tr
     The base rules already remove the short and the repetitive, so the forest
     models what passes them.
     """
-    sample = stats.filter(~base_failed()).orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(trees * per_tree).drop("doc_id").toPandas().to_numpy(float)
+    sample = smallest_hashes(stats.filter(~base_failed()), "doc_id", trees * per_tree, 11).drop("doc_id").toPandas().to_numpy(float)
     forest = grow_forest(_features(sample.reshape(-1, 6)), trees, per_tree)
     scored = materialize(stats.mapInArrow(_scorer(forest), STATS_DDL + ", anomaly double"), "rule-scores")
     threshold = calibrate(scored.filter(~base_failed()), labels) if labels is not None else float("inf")
