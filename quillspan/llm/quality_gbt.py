@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.docstats import SPACES, repeated_window_words, texts_as_bytes
+from quillspan.llm.sampling import smallest_hashes
 from quillspan.workspace import materialize, table
 
 TRAIN_ROWS = 50_000
@@ -143,7 +144,7 @@ def _scorer(model: dict):
 
 def train(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     known = labels.filter("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).filter(~held_out())
-    sample = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
+    sample = smallest_hashes(materialize(stats.join(known, "doc_id"), "gbt-labelled"), "doc_id", rows, 13).toPandas()
     return fit(sample[list(FEATURES)].to_numpy(float), sample["quality"].to_numpy(float))
 
 
