@@ -229,11 +229,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _text_rows(docs, id_col, text_col)
     anchors = materialize(anchor_table(docs, id_col, text_col, length, k), "repeat-anchors")
     content = F.struct("digest", "windows")
-    repeated = (
+    # written before it is joined: both sides of the join are then plain exchanges, whose skewed partitions can be split
+    repeated = materialize(
         anchors.groupBy("anchor")
         .agg(F.sum(F.size("starts")).alias("n"), F.min(content).alias("low"), F.max(content).alias("high"))
         .filter("n > 1")
-        .select("anchor", (F.col("low") != F.col("high")).alias("several"))
+        .select("anchor", (F.col("low") != F.col("high")).alias("several")),
+        "repeat-shared",
     )
     candidates = materialize(anchors.join(repeated, "anchor"), "repeat-candidates")
     one = F.struct("doc_id", "text_hash", F.col("starts")[0].alias("start"))
