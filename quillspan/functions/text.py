@@ -68,9 +68,17 @@ def windows(tokens: Column, n: int) -> Column:
     return F.transform(F.array(tokens), runs)[0]
 
 
+def hashed_windows(tokens: Column, n: int) -> Column:
+    """Hashes of all runs of n tokens, straight from the array slices; none when there are fewer. Stable across runs."""
+    runs = lambda t: F.when(
+        F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.xxhash64(F.slice(t, i, n)))
+    ).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(F.array(tokens), runs)[0]
+
+
 def shingles(c: Column, n: int = 5) -> Column:
-    """Set of hashed word windows; the hash is stable across runs."""
-    return F.array_distinct(F.transform(windows(words(c), n), lambda s: F.xxhash64(s)))
+    """Set of hashed word windows."""
+    return F.array_distinct(hashed_windows(words(c), n))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # File endings that are no pages.
 ASSET = r"(?i)\.(jpe?g|png|gif|svg|webp|ico|css|js|pdf|zip|mp4|mp3|woff2?|ttf|xml|json)(\?|$)"
 LANGUAGES = ("fr", "en", "es", "de", "it", "pt", "nl")
+# Names of the languages.
+LANGUAGE_NAMES = {"fr": "français", "en": "anglais", "es": "espagnol", "de": "allemand", "it": "italien", "pt": "portugais", "nl": "néerlandais"}
 
 
 def host(c: Column) -> Column:
@@ -95,6 +97,12 @@ def language_code(c: Column, default: str = "fr") -> Column:
     return F.when(base.isin(*LANGUAGES), base).otherwise(F.lit(default))
 
 
+def language_name(c: Column) -> Column:
+    """Name of a language code, by its base language; that of the default for unknown ones."""
+    names = F.create_map(*(F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv))
+    return names[language_code(c)]
+
+
 def alternates(core: Column, languages: Column, origin: str) -> Column:
     """hreflang tags of one page in its languages ('' is the main one, which is also x-default)."""
     href = lambda p: F.concat(F.lit(origin), F.when(p == "", "").otherwise(F.concat(F.lit("/"), p)), F.lit("/"), core)

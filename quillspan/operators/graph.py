@@ -241,3 +241,30 @@ def health(m: DataFrame, nodes: DataFrame, anchors: DataFrame, silo_rows: DataFr
     )
     score = half_up((F.col("depth_pct") + F.col("linked_pct") + F.col("anchor_pct") + F.col("silo_pct")) / 4.0).cast("int")
     return parts.withColumn("score", score).withColumn("verdict", F.when(F.col("score") >= 80, "excellent").when(F.col("score") >= 60, "fair").otherwise("to improve"))
+
+
+# How many rows of each list a report shows.
+CAPS = {"deep": 40, "sinks": 15, "top_linked": 20, "cannibalisation": 60, "generic_anchors": 40, "over_optimised": 20, "suggestions": 150}
+
+
+def report(nodes: DataFrame, anchors: DataFrame, home, rounds: int = 50) -> dict[str, DataFrame]:
+    """The whole linking report: node metrics and types, and the lists cut to their caps in a fixed order."""
+    links = materialize(edges(nodes, anchors), "report-edges")
+    m = materialize(metrics(nodes, anchors, home, rounds), "report-metrics")
+    silo_rows = silos(nodes, links)
+    weak = orphans(m, home)
+    return {
+        "pages": m.withColumn("node_type", node_type(home)),
+        "orphans": weak.filter("orphan").select("url"),
+        "unreachable": weak.filter("unreachable").select("url"),
+        "deep": m.filter("depth >= 4").select("url", "depth").orderBy(F.desc("depth"), "url").limit(CAPS["deep"]),
+        "sinks": sinks(m, home, CAPS["sinks"]),
+        "top_linked": top_linked(m, CAPS["top_linked"]),
+        "clusters": clusters(nodes),
+        "silos": silo_rows,
+        "cannibalisation": cannibalisation(nodes).orderBy(F.desc("pages"), "cluster", "city").limit(CAPS["cannibalisation"]),
+        "generic_anchors": generic_anchors(nodes, anchors).orderBy("src", "dst").limit(CAPS["generic_anchors"]),
+        "over_optimised": over_optimised(nodes, anchors).orderBy(F.desc("total"), "dst").limit(CAPS["over_optimised"]),
+        "suggestions": suggestions(m, links, home, limit=CAPS["suggestions"]),
+        "health": health(m, nodes, anchors, silo_rows, home),
+    }

@@ -162,6 +162,11 @@ def keyword_list(keywords: DataFrame, sort: str = "position", limit: int = 100)
     return keywords.withColumn("delta", delta).orderBy(order, "site_id", "keyword").limit(max(1, min(limit, 500)))
 
 
+def known_keywords(rows: DataFrame, column: str, limit: int = 100) -> DataFrame:
+    """Distinct trimmed keywords that are not empty, at most ``limit`` in order (a cap of what one run may ask for)."""
+    return rows.select(F.trim(F.col(column)).alias("keyword")).filter("keyword <> ''").distinct().orderBy("keyword").limit(limit)
+
+
 def rank_summary(rows: DataFrame) -> DataFrame:
     """Per site: keywords tracked, with and without a rank of at most 50, top 3 and top 10, mean rank."""
     best = best_page(rows).withColumn("rank", F.when(F.col("position") <= 50, F.col("position")))

@@ -137,7 +137,7 @@ def entropy_column(d: Spark) -> str:
 
 def repetition_columns(rows: DataFrame, key: str) -> DataFrame:
     """(key, repeated_fourgrams, top_share): counts of 4-grams and long words, by aggregation over exploded tokens."""
-    grams = rows.select(F.col(key).alias("key"), F.explode(T.windows(F.col("words"), 4)).alias("g")).groupBy("key", F.xxhash64("g").alias("g")).agg(F.count("*").alias("c"))
+    grams = rows.select(F.col(key).alias("key"), F.explode(T.hashed_windows(F.col("words"), 4)).alias("g")).groupBy("key", "g").agg(F.count("*").alias("c"))
     four = grams.groupBy("key").agg((F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)) / F.sum("c")).alias("repeated_fourgrams"))
     longer = rows.select(F.col(key).alias("key"), F.explode(F.filter("words", lambda w: F.length(w) >= 5)).alias("w")).groupBy("key", "w").agg(F.count("*").alias("c"))
     top = longer.groupBy("key").agg((F.max("c") / F.sum("c")).alias("top_share"))

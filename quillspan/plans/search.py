@@ -101,6 +101,7 @@ QUERIES = {
     "search_history_rows": lambda s, d: sinks.history_rows(_best_in(s, d), F.lit("2024-01-28")),
     "search_history_change": lambda s, d: S.history_changes(_search(s, d)).withColumn("recorded_at", F.col("recorded_at").cast("string")),
     "search_indexed_pages": lambda s, d: S.indexed_pages(_search(s, d), None, TODAY).select("site_id", "indexed_pages"),
+    "known_keywords": lambda s, d: S.known_keywords(_search(s, d), "query"),
     "rank_summary": lambda s, d: S.rank_summary(_search(s, d)),
     "budget": lambda s, d: S.budget(_actions(s, d)),
     "action_queue": lambda s, d: S.action_queue(_actions(s, d), _sites(s, d)),
@@ -160,6 +161,7 @@ FROM b LEFT JOIN prv p ON b.site_id = p.site_id AND b.keyword = p.query"""),
 , day_ AS (SELECT site_id, query AS keyword, dt AS recorded_at, min(position) AS position FROM fx_search GROUP BY ALL)
 SELECT site_id, keyword, CAST(recorded_at AS STRING) AS recorded_at, position, position - lag(position) OVER w AS change, min(position) OVER w AS best_position FROM day_ WINDOW w AS (PARTITION BY site_id, keyword ORDER BY recorded_at)"""),
     "search_indexed_pages": oracle("fx_search", "SELECT site_id, count(DISTINCT page) AS indexed_pages FROM fx_search WHERE dt > DATE '2023-12-31' AND dt <= DATE '2024-01-28' GROUP BY site_id"),
+    "known_keywords": oracle("fx_search", "SELECT DISTINCT trim(query) AS keyword FROM fx_search WHERE trim(query) <> '' ORDER BY 1 LIMIT 100"),
     "rank_summary": oracle("fx_search", f", {_best('b')}, r AS (SELECT *, CASE WHEN position <= 50 THEN position END AS rank_ FROM b) SELECT site_id, count(*) AS tracked, count(rank_) AS ranked, count(*) FILTER (rank_ IS NULL) AS not_ranked, count(*) FILTER (rank_ <= 3) AS top3, count(*) FILTER (rank_ <= 10) AS top10, {R('avg(rank_)', 1)} AS avg_rank FROM r GROUP BY site_id"),
     "budget": oracle("fx_actions", f"""
 , b AS (SELECT action_type, coalesce(sum(actual_api_cost) FILTER (status = 'done'), 0) AS spent, coalesce(sum(estimated_api_cost) FILTER (status IN ('pending', 'validated', 'executing')), 0) AS waiting, count(*) FILTER (status = 'done') AS actions_done FROM fx_actions GROUP BY ROLLUP (action_type))

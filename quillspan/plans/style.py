@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.functions.numbers import half_up_sql as R
+from quillspan.operators import extract as X
 from quillspan.operators import similarity as SIM
 from quillspan.operators import stylometry as S
 from quillspan.operators.dialect import Oracle
@@ -23,6 +24,7 @@ QUERIES = {f"text_signals_{f.lower()}": (lambda s, d, f=f: S.family(S.score_sign
     "text_evidence": lambda s, d: S.evidence(S.sentence_labels(_docs(s, d))),
     "text_problems": lambda s, d: S.problems(S.score_signals(_docs(s, d))),
     "text_site_rollup": lambda s, d: S.site_rollup(S.text_scores(_docs(s, d), keep=("source",)), "source", SIM.title_similarity(_titles(s, d), "source", "doc_id", "title")),
+    "page_quality": lambda s, d: S.page_adjusted(S.text_scores(X.main_text(view(s, d, "pages")), "page_id", "main_text"), X.trust_signals(view(s, d, "pages"))).select("page_id", "n_words", "score", "verdict"),
     "text_sample": lambda s, d: S.systematic_sample(_docs(s, d).select("doc_id", "source"), "source", "doc_id", 8),
 }
 

@@ -67,6 +67,20 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*((safe_int(c) if k in REPORT_WHOLE else safe_float(c) if k in REPORT_DECIMAL else c).alias(k) for k, c in cols.items()))
 
 
+# Long and short header names of the overview, competitor and backlink reports.
+OVERVIEW_COLUMNS = {"domain": ("Domain", "Dn"), "rank": ("Rank", "Rk"), "keywords": ("Organic Keywords", "Or"), "traffic": ("Organic Traffic", "Ot"), "cost": ("Organic Cost", "Oc")}
+COMPETITOR_COLUMNS = {"domain": ("Domain", "Dn"), "relevance": ("Competitor Relevance", "Cr"), "common": ("Common Keywords", "Np"), "keywords": ("Organic Keywords", "Or"), "traffic": ("Organic Traffic", "Ot")}
+BACKLINK_COLUMNS = {"authority": ("ascore",), "total": ("total",), "domains": ("domains_num",), "follows": ("follows_num",)}
+
+
+def read_typed_report(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...]], text: tuple[str, ...] = ("domain",), decimal: tuple[str, ...] = ("cost", "relevance")) -> DataFrame:
+    """Any of the other reports: whole numbers but for the text and decimal columns, 0 where unreadable."""
+    raw = spark.read.option("sep", ";").option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    have = set(raw.columns)
+    pick = lambda names: F.coalesce(*(F.col(f"`{n}`") for n in names if n in have)) if have & set(names) else F.lit(None).cast("string")
+    return raw.select(*((pick(v) if k in text else safe_float(pick(v)) if k in decimal else safe_int(pick(v))).alias(k) for k, v in columns.items()))
+
+
 def sitemap_urls(bodies: DataFrame) -> DataFrame:
     """(sitemap, loc, lastmod) of each <url> in (sitemap, body); an index hands on to the children present in the table."""
     blocks = F.regexp_extract_all("body", F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1))

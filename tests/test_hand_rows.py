@@ -216,6 +216,15 @@ def test_graph_properties(spark, sf_dir):
     assert graph.pagerank(nodes.limit(0), links.limit(0)).count() == 0
 
 
+def test_linking_report_is_whole(spark):
+    nodes = spark.createDataFrame([(u, 100 * u, u % 2, "v", "fr") for u in range(8)], "url long, word_count int, cluster int, city string, language string")
+    anchors = spark.createDataFrame([(u, (u + 1) % 6, "ici" if u % 2 else "x", False, u) for u in range(6)], "src long, dst long, anchor string, nofollow boolean, pos long")
+    out = graph.report(nodes, anchors, 0, 20)
+    assert {r.url for r in out["orphans"].collect()} == {6, 7} and {r.url for r in out["deep"].collect()} == {4, 5}
+    assert out["pages"].count() == 8 and out["generic_anchors"].count() == 3 and out["silos"].count() == 2
+    assert {6, 7} <= {r.target for r in out["suggestions"].collect()} and out["health"].count() == 1
+
+
 def test_search_windows_do_not_overlap():
     today = dt.date(2024, 1, 31)
     assert search.date_window(today, 7) == (dt.date(2024, 1, 21), dt.date(2024, 1, 28))
