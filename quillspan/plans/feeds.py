@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import urls as U
 from quillspan.functions.numbers import half_up_sql as R
 from quillspan.operators import visibility as V
+from quillspan.plans.audit import HEAD, METRICS
 from quillspan.sources.fixtures import oracle, view
 
 DOMAIN = "site3.example.org"
@@ -76,7 +77,35 @@ FEED = "WITH a AS (SELECT * FROM conversations WHERE role = 'assistant'), src AS
 POLICY = "WITH h AS (SELECT DISTINCT " + U.host_sql("url") + " AS host FROM pages), ag(crawler) AS (VALUES " + ", ".join(f"('{c}')" for c in V.CRAWLERS) + """)
 , pol AS (SELECT host, crawler, CASE length(host) % 4 WHEN 3 THEN 'unknown' WHEN 1 THEN 'blocked' WHEN 0 THEN CASE WHEN crawler IN ('GPTBot', 'CCBot') THEN 'blocked' ELSE 'allowed' END ELSE 'allowed' END AS status,
   CASE length(host) % 4 WHEN 0 THEN crawler IN ('GPTBot', 'CCBot') WHEN 2 THEN crawler = 'Googlebot' ELSE FALSE END AS in_robots FROM h, ag)"""
+# the pages carry no JSON-LD, open-graph tags, framework marks or headers, so those checks are false here
+FACTS = POLICY + f"""
+, mx AS (WITH q AS (SELECT 1) {METRICS}), hx AS (WITH q AS (SELECT 1) {HEAD} SELECT * FROM head)
+, al AS (SELECT host, list(crawler) FILTER (status = 'allowed') AS allowed, list(crawler) FILTER (status = 'blocked') AS blocked FROM pol GROUP BY host)
+, fa AS (SELECT mx.*, title_len, meta_description <> '' AS described, canonical <> '' AS canon, html_lang, h2 + h3 + h4 + h5 + h6 AS heads, starts_with(hx.url, 'https://') AS https, len(regexp_extract_all(pages.html, '(?i)<p[\\s>]')) > 3 AS ssr,
+  coalesce(allowed, []) AS allowed, coalesce(blocked, []) AS blocked FROM mx JOIN hx USING (page_id) JOIN pages USING (page_id) LEFT JOIN al ON al.host = {U.host_sql('hx.url')})"""
+_sum = lambda *pairs: "least(" + " + ".join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for c, n in pairs) + ", 100)"
+_bot = lambda c: f"list_contains(allowed, '{c}')"
+CARDS = {
+    "google_aio": _sum(("words >= 800", 12), ("heads >= 3", 10), ("lists >= 1", 8), ("citability >= 20", 10), ("https", 5), (_bot("Googlebot"), 10), ("canon", 5)),
+    "chatgpt": _sum((_bot("GPTBot"), 20), (_bot("ChatGPT-User"), 5), ("citable_blocks >= 5", 15), ("citable_blocks >= 10", 10), ("described", 10), ("external_links >= 2", 8), ("words >= 500", 7)),
+    "perplexity": _sum((_bot("PerplexityBot"), 20), ("citable_blocks >= 3", 12), ("citable_blocks >= 8", 8), ("words >= 1000", 12), ("lists >= 2", 10), ("external_links >= 1", 10), ("external_links >= 3", 5), ("ssr", 10), ("https", 5)),
+    "gemini": _sum((_bot("Google-Extended"), 18), ("images_alt >= 2", 10), ("heads >= 4", 8), ("words >= 800", 7), ("https", 5), ("internal_links >= 3", 8)),
+    "bing_copilot": _sum((_bot("Bingbot"), 18), ("described", 15), ("title_len BETWEEN 10 AND 65", 10), ("words >= 500", 8), ("heads >= 3", 8), ("https", 8), ("canon", 7)),
+}
+COMPOSITE = f"""
+, cp AS (SELECT page_id, least(citability * 2.5::DOUBLE, 100.0::DOUBLE) AS raw, least(CASE WHEN words >= 1500 THEN 30 WHEN words >= 800 THEN 20 WHEN words >= 300 THEN 10 ELSE 0 END + {_sum(('heads >= 3', 20), ('lists >= 1', 15), ('images_alt >= 1', 15), ('external_links >= 1', 10), ('avg_paragraph_words <= 40', 10))}, 100) AS content_quality,
+  {_sum(('https', 25), ('ssr', 25), ('described', 15), ('title_len > 0', 10), ('canon', 10), ("html_lang <> ''", 5))} AS technical, floor(len(allowed) * 100.0::DOUBLE / {len(V.CRAWLERS)})::BIGINT AS crawler_access, 0 AS schema,
+  floor(({' + '.join(CARDS.values())}) / 5.0::DOUBLE)::BIGINT AS platform_readiness FROM fa)
+SELECT page_id, content_quality, technical, crawler_access, schema, platform_readiness, floor(raw * 0.25::DOUBLE + content_quality * 0.20::DOUBLE + technical * 0.15::DOUBLE + crawler_access * 0.15::DOUBLE + schema * 0.10::DOUBLE + platform_readiness * 0.15::DOUBLE + 1e-9::DOUBLE)::INT AS geo_score, floor(raw)::INT AS citability FROM cp"""
+ADVICE = (
+    ("NOT https", "critical", "technical", "serve the site over https"), ("NOT ssr", "critical", "technical", "render content on the server"), ("len(blocked) > 0", "critical", "crawlers", "unblock crawlers in robots.txt"),
+    ("TRUE", "high", "schema", "add an organization with sameAs"), ("words < 800", "high", "content", "write more than 800 words"), ("citability < 15", "high", "content", "add paragraphs of 20-60 words that answer questions"),
+    ("TRUE", "medium", "files", "publish llms.txt"), ("lists = 0", "medium", "content", "add lists"), ("images_alt < images", "medium", "content", "describe images"), ("TRUE", "medium", "schema", "add an article"), ("TRUE", "medium", "schema", "add breadcrumbs"),
+)
 ORACLES = {
+    "platform_readiness": FACTS + " " + " UNION ALL ".join(f"SELECT page_id, '{p}' AS platform, {e} AS score FROM fa" for p, e in CARDS.items()),
+    "geo_composite": FACTS + COMPOSITE,
+    "recommendations": FACTS + " " + " UNION ALL ".join(f"SELECT page_id, '{p}' AS priority, '{c}' AS category, '{a}' AS advice FROM fa WHERE {w}" for w, p, c, a in ADVICE),
     "serp_rank": oracle("fx_search", SERP + """, o AS (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY rank, url) AS n FROM it WHERE type = 'organic')
 SELECT keyword, min(CASE WHEN site_id = 3 THEN rank END) AS rank, min(CASE WHEN site_id = 3 THEN url END) AS url, string_agg(CASE WHEN n <= 3 THEN domain END, ',' ORDER BY n) AS top_domains FROM o GROUP BY keyword"""),
     "overview_presence": oracle("fx_search", SERP + "SELECT keyword, bool_or(type = 'ai_overview') AS present, bool_or(type = 'ai_overview' AND site_id = 3) AS cited FROM it GROUP BY keyword"),
