@@ -278,6 +278,17 @@ def test_licences(spark):
     assert got == [[("Apache-2.0", 1)], [("MIT", 2)], [("MIT", 1), ("CC-BY-NC-4.0", 1)], [], [], []]
 
 
+def test_licences_query(spark, sf_dir, documents):
+    """The notices of the tables stand on lines of their own: found by plain comparison of lines."""
+    notices = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    for i, r in rows_of(spark, sf_dir, "op9_licenses").items():
+        want = {notices[x] for x in documents[i].split("\n") if x in notices}
+        assert {x for x in r["licences"].split(",") if x and x != "Proprietary"} == want
+
+
 def test_licence_rules_are_ordered_with_gaps():
     rules = licenses.ordered_rules()
     assert licenses.match_rules([(0, "bsd-grant"), (1, "bsd-source"), (3, "bsd-binary"), (4, "bsd-names")], rules) == [("BSD-3-Clause", 0, 4)]
