@@ -243,9 +243,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         candidates.groupBy("anchor", "digest", "windows").agg(F.sum(F.size("starts")).alias("n"), F.first("several").alias("several"), F.min(one).alias("at")), "repeat-contents"
     )
     several = contents.filter("several")
-    chunks = several.groupBy("anchor").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    # few anchors need more than one chunk, so this side stays small and the other need not be dealt by anchor
+    chunks = several.groupBy("anchor").agg(F.count("*").alias("n_contents")).filter(F.col("n_contents") > chunk).select("anchor", F.ceil(F.col("n_contents") / chunk).cast("int").alias("chunks"))
     wanted = (
-        several.join(chunks, "anchor")
+        several.join(chunks, "anchor", "left")
+        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         .select(
             "at.doc_id", "at.text_hash",
             F.struct("anchor", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk"), "chunks", "digest", "windows", F.col("at.start").alias("start"), (F.col("windows") + length - 1).alias("size")).alias("w"),
