@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions.numbers import half_up
-from quillspan.workspace import materialize
+from quillspan.workspace import fresh_path, materialize
 
 # Anchors that say nothing about their target.
 GENERIC_ANCHORS = ("cliquez ici", "cliquer ici", "ici", "en savoir plus", "lire la suite", "lire plus", "plus", "voir plus", "read more", "en savoir +", "decouvrir", "voir", "ce lien", "lien", "click here", "")
-CUT_ROUNDS = 10
 DAMPING = 0.85
 DONORS_PER_GROUP = 20
 
@@ -67,19 +66,22 @@ def click_depth(nodes: DataFrame, links: DataFrame, home) -> DataFrame:
     start = nodes.select("url").filter(bare(F.col("url")) == str(home).rstrip("/"))
     if start.isEmpty():
         start = nodes.select("url").orderBy(F.length(F.col("url").cast("string")), "url").limit(1)
+    spark = nodes.sparkSession
     links = materialize(links, "bfs-edges")
-    frontier = materialize(start.limit(1).withColumn("depth", F.lit(0)), "bfs")
-    seen, depth = frontier, 0
+    # one folder per level below one root: what has been seen is one scan, however deep the search goes
+    root = fresh_path(spark, "bfs")
+    kind = nodes.select("url").schema
+    start.limit(1).write.parquet(f"{root}/depth=0")
+    schema = f"{kind.simpleString()[7:-1].replace(':', ' ')}, depth int"
+    depth = 0
     while True:
         depth += 1
+        seen = spark.read.schema(schema).parquet(root)
+        frontier = spark.read.schema(kind).parquet(f"{root}/depth={depth - 1}")
         reached = frontier.select(F.col("url").alias("src")).join(links, "src").select(F.col("dst").alias("url")).distinct()
-        frontier = materialize(reached.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "bfs")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        if depth % CUT_ROUNDS == 0:
-            seen = materialize(seen, "bfs-seen")
-    return nodes.select("url").join(seen, "url", "left")
+        reached.join(seen.select("url"), "url", "left_anti").write.parquet(f"{root}/depth={depth}")
+        if spark.read.schema(kind).parquet(f"{root}/depth={depth}").isEmpty():
+            return nodes.select("url").join(spark.read.schema(schema).parquet(root), "url", "left")
 
 
 def metrics(nodes: DataFrame, anchors: DataFrame, home, rounds: int = 50, rank: bool = True, depth: bool = True) -> DataFrame:
