@@ -243,6 +243,14 @@ def test_similarity_is_symmetric_and_finds_near_copies(spark):
     assert got == {1: (3, 100), 3: (1, 100), 2: (1, 99), 4: (None, 0), 5: (None, 0), 6: (None, 0)}
 
 
+def test_uniqueness_across_runs(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "g", " ".join(f"w{(i // 2) * 10 + j}" for j in range(8))) for i in range(9)], "doc_id long, source string, text string")
+    whole = one(similarity.uniqueness(rows, "source"))
+    monkeypatch.setattr(similarity, "RUN", 2)
+    assert one(similarity.uniqueness(rows, "source")) == whole and whole.pairs == 8
+    assert one(similarity.uniqueness(rows, "source", samples=3)).pairs == 3
+
+
 def test_nearest_without_neighbours(spark):
     df = spark.createDataFrame([(1, 48.0, 2.0), (2, -40.0, 170.0)], "place_id long, lat double, lng double")
     assert {(r.place_id, r.neighbour) for r in geo.nearest(df).collect()} == {(1, 2), (2, 1)}
