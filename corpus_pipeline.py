@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, mixing, quality_rules, sharding, simhash_dedup
+from quillspan.llm import decontaminate, mixing, quality_rules, sharding, shingle_dedup
 from quillspan.workspace import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    return simhash_dedup.keep_one(docs).select(*COLUMNS)
+    """One document, that with the smallest id, of each group linked by a similarity of 0.8 over five-word shingles."""
+    return shingle_dedup.keep_one(docs).select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

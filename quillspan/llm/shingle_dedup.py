@@ -1,0 +1,168 @@
+"""Near-duplicates by exact Jaccard over five-word shingles.
+
+Texts with equal shingle sets are one node.  Two sets of similarity ``LEAST`` or
+more share a shingle among the first ``n - ceil(LEAST n) + 1`` of each, in any
+order of all shingles that is the same for both: only these prefixes meet.  The
+order puts shingles that many texts hold last; which those are is counted within
+runs of texts and need not be exact, as every order finds every pair.
+
+A shard is a prefix shingle with its nodes.  First each node meets one node of
+each of its shards, drawn by hash, which joins large groups of near copies
+without their pairs.  Then all pairs of a shard that are not yet in one group
+meet.  Every candidate is verified on the whole sets before it links.
+
+Shingles are compared as 64-bit hashes.  Null and empty texts are one node.
+Words are cut at ASCII white space and lower-cased (A-Z).  Rows without an id
+take no part.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillspan.llm.components import components
+from quillspan.llm.docstats import texts_as_bytes
+from quillspan.workspace import materialize
+
+SEED = 42
+SHINGLE = 5
+LEAST = 0.8
+COMMON = 200_000
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_RUN = 1 << 21
+_FLUSH = 1 << 20
+
+
+def shingle_set(text: bytes, known: dict[bytes, int], width: int = SHINGLE) -> np.ndarray:
+    """Distinct shingle hashes in ascending order; ``known`` keeps word hashes. Shorter texts are one shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w, SEED)
+    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    size = min(width, len(words))
+    key = np.zeros(len(words) - size + 1, np.uint64)
+    for k in range(size):
+        key = key * _FACTOR + h[k : len(key) + k]
+    return np.unique(key.view(np.int64))
+
+
+def node_of(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+
+
+def prefix_length(n: int, least: float) -> int:
+    return n - math.ceil(n * least - 1e-9) + 1
+
+
+def _sets_of(column, width: int):
+    known: dict[bytes, int] = {}
+    for text in texts_as_bytes(column):
+        yield shingle_set(text, known, width)
+        if len(known) > _FLUSH:
+            known.clear()
+
+
+def _common(width: int, least_count: int = 5):
+    def run(batches):
+        kept, size = [], 0
+
+        def counted():
+            h, n = np.unique(np.concatenate(kept), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n >= least_count]), pa.array(n[n >= least_count])], names=["h", "n"])
+
+        for batch in batches:
+            for s in _sets_of(batch.column(1), width):
+                kept.append(s)
+                size += len(s)
+                if size > _RUN:
+                    yield counted()
+                    kept, size = [], 0
+        if kept:
+            yield counted()
+
+    return run
+
+
+def _by_rarity(shared, width: int, least: float):
+    """(doc_id, node, n, prefix)."""
+
+    def run(batches):
+        common, times = shared.value
+        for batch in batches:
+            nodes, sizes, prefixes = [], [], []
+            for s in _sets_of(batch.column(1), width):
+                nodes.append(node_of(s)), sizes.append(len(s))
+                if len(s) and len(common):
+                    slot = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    s = s[np.argsort(np.where(common[slot] == s, times[slot], 0), kind="stable")]
+                prefixes.append(s[: prefix_length(len(s), least)] if len(s) else s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "prefix"])
+
+    return run
+
+
+def _whole(width: int):
+    def run(batches):
+        for batch in batches:
+            sets = list(_sets_of(batch.column(1), width))
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose sets have a Jaccard of at least ``least``."""
+    left, right = sets.select(F.col("node").alias("u"), F.col("shingles").alias("us")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("vs"))
+    shared = F.size(F.array_intersect("us", "vs"))
+    scored = pairs.join(left, "u").join(right, "v").select("u", "v", shared.alias("shared"), (F.size("us") + F.size("vs")).alias("both"))
+    return scored.filter(F.col("shared") / (F.col("both") - F.col("shared")) >= least).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, least: float = LEAST, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, node, component_id) for every row with an id; component_id is the smallest id reachable over links."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    common = rows.mapInArrow(_common(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).toPandas().sort_values("h")
+    shared = docs.sparkSession.sparkContext.broadcast((common["h"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
+    marked = materialize(rows.mapInArrow(_by_rarity(shared, width, least), "doc_id long, node long, n int, prefix array<long>"), "shingle-prefixes")
+    heads = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+
+    prefixes = marked.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("h")).repartition("h")
+    drawn = F.struct(F.xxhash64("node", "h").alias("draw"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+    shards = prefixes.groupBy("h").agg(F.min(drawn).alias("hub"), F.count("*").alias("size")).filter("size > 1").select("h", "hub.hub", "hub.hub_n")
+    members = materialize(prefixes.join(shards, "h"), "shingle-shards")
+    held = members.select("node").distinct().join(heads, "node").select("node", F.col("first_id").alias("doc_id"))
+    whole = rows.join(held, "doc_id", "left_semi").mapInArrow(_whole(width), "node long, shingles array<long>")
+    sets = materialize(whole.dropDuplicates(["node"]), "shingle-sets")
+
+    near_size = lambda a, b: (F.col(a) >= F.col(b) * least - 1e-9) & (F.col(b) >= F.col(a) * least - 1e-9)
+    tried = materialize(members.filter(F.col("node") != F.col("hub")).filter(near_size("n", "hub_n")).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "shingle-drawn")
+    links = materialize(_verified(tried, sets, least), "shingle-links")
+    grouped = members.select("h", "node", "n").join(components(links), "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
+    # shards of one group can link nothing more
+    mixed = grouped.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
+    open_ = materialize(grouped.join(mixed, "h"), "shingle-open")
+    other = open_.select("h", F.col("node").alias("o"), F.col("n").alias("m"), F.col("root").alias("o_root"))
+    left = open_.join(other, "h").filter((F.col("root") < F.col("o_root")) & near_size("n", "m")).select(F.least("node", "o").alias("u"), F.greatest("node", "o").alias("v"))
+    left = left.distinct().join(tried, ["u", "v"], "left_anti")
+    roots = components(links.unionByName(_verified(left, sets, least)))
+
+    labelled = heads.join(roots.withColumnRenamed("root", "group"), "node", "left").select("node", "first_id", F.coalesce("group", "node").alias("group"))
+    smallest = labelled.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    named = labelled.join(smallest, "group").select("node", "component_id")
+    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id")
+
+
+def keep_one(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group, one row per id; rows without an id stay."""
+    heads = near_duplicates(docs, least, id_col=id_col, text_col=text_col).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(heads, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
