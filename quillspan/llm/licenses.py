@@ -1,8 +1,11 @@
 """Licence recognition by sentence rules.
 
-Texts are cut into sentences (line ends and sentence punctuation before white
-space), each normalised to lower-case words of ASCII letters and digits.
-Sentences that are known map to identifiers; the sequence of identifiers of a
+Texts are cut into pieces (line ends and punctuation before white space), each
+normalised to lower-case words of ASCII letters and digits.  Pieces in a row
+whose words make up a known sentence are that sentence, the longest first, so
+neither wrapped lines nor a colon or semicolon within it matter.  Other pieces
+join up to the next full stop, exclamation or question mark, blank line or known
+sentence.  Sentences that are known map to identifiers; the sequence of identifiers of a
 document is matched against ordered rules, longest first.  Unknown sentences
 may stand between the sentences of a rule, at most ``GAP`` in a row.
 
@@ -14,6 +17,7 @@ sentences and no licences.  Repeated rows repeat their results.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,6 +78,13 @@ TEXT_SENTENCES = {
     "public-domain": "this is free and unencumbered software released into the public domain",
     "rights": "all rights reserved",
 }
+# --- fixed values: other wordings of these ------------------------------------------------
+VARIANTS = {
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-copy",
+}
+# --- fixed values: what may follow the name in a notice, and the identifier in a tag ------
+TAILS = ("", " the license")
+SPDX_TAILS = ("", " only", " or later")
 # --- fixed values: ordered rules, (licence, sentences in order) -------------------------
 TEXT_RULES = (
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
@@ -96,42 +107,91 @@ TEXT_RULES = (
 
 _BREAK = re.compile(r"[.!?;:]+(?=\s|$)|[\r\n]+")
 _OTHER = re.compile(r"[^a-z0-9]+")
+_CLOSING = re.compile(r"[.!?]|\n[^\n]*\n|\r[^\r\n]*\r")
 _ENUMERATION = re.compile(r"^(?:[0-9]{1,2}|[a-h]) (?=[a-z]{3})")
 
 
 def normalise(sentence: str) -> str:
     """Lower-case ASCII words; a list number or letter in front goes."""
-    return _ENUMERATION.sub("", _OTHER.sub(" ", sentence.lower()).strip())
+    return _ENUMERATION.sub("", _words(sentence))
+
 
+def _words(piece: str) -> str:
+    return _OTHER.sub(" ", piece.lower()).strip()
 
+
+@cache
 def known_sentences() -> dict[str, str]:
     """Normalised sentence to identifier; notices are made from openings, an optional article and names."""
-    out = {text: name for name, text in TEXT_SENTENCES.items()}
+    out = {text: name for name, text in TEXT_SENTENCES.items()} | VARIANTS
     for opening in OPENINGS:
         for licence, name in LICENCE_NAMES.items():
             for article in ("", "the ", "the terms of the ", "a "):
-                for tail in ("", " license") if licence.startswith("CC") else ("",):
+                for tail in (*TAILS, " license") if licence.startswith("CC") else TAILS:
                     out[f"{opening} {article}{name}{tail}"] = f"ref:{licence}"
     for licence in LICENCE_NAMES:
-        out["spdx license identifier " + _OTHER.sub(" ", licence.lower())] = f"ref:{licence}"
+        for tail in SPDX_TAILS if "GPL" in licence else ("",):
+            out["spdx license identifier " + _OTHER.sub(" ", licence.lower()) + tail] = f"ref:{licence}"
     return out
 
 
+@cache
+def known_beginnings() -> frozenset[str]:
+    """The first words of each known sentence, one more at a time."""
+    return frozenset(" ".join(words[:k]) for words in map(str.split, known_sentences()) for k in range(1, len(words) + 1))
+
+
 def ordered_rules() -> list[tuple[str, tuple[str, ...]]]:
     """Longest first, then in the order given; a single reference to a licence comes last."""
     rules = [*TEXT_RULES, *((name, (f"ref:{name}",)) for name in LICENCE_NAMES)]
     return sorted(rules, key=lambda r: -len(r[1]))
 
 
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, normalised) of each sentence that has a word; code points."""
-    out, at = [], 0
+def _pieces(text: str) -> list[list]:
+    """[start, end, words, whether a sentence ends here] of each piece that has a word; code points."""
+    out, at, after = [], 0, ""
     for m in _BREAK.finditer(text):
-        if key := normalise(text[at : m.start()]):
-            out.append((at, m.end(), key))
+        own = m[0]
+        if words := _words(text[at : m.start()]):
+            out.append([at, m.end(), words, bool(_CLOSING.search(own))])
+        elif out and _CLOSING.search(after + own):
+            out[-1][3] = True
+        after = "\n" if own[-1] in "\r\n" else ""
         at = m.end()
-    if key := normalise(text[at:]):
-        out.append((at, len(text), key))
+    if words := _words(text[at:]):
+        out.append([at, len(text), words, True])
+    return out
+
+
+def sentences(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, normalised) of each sentence that has a word; code points."""
+    known, beginnings = known_sentences(), known_beginnings()
+    pieces, out, unknown, k = _pieces(text), [], [], 0
+
+    def close():
+        if unknown:
+            out.append((unknown[0][0], unknown[-1][1], normalise(" ".join(p[2] for p in unknown))))
+            unknown.clear()
+
+    while k < len(pieces):
+        key, found, last = _ENUMERATION.sub("", pieces[k][2]), None, k
+        while key in beginnings:
+            if key in known:
+                found = (last, key)
+            last += 1
+            if last == len(pieces):
+                break
+            key += " " + pieces[last][2]
+        if found:
+            close()
+            out.append((pieces[k][0], pieces[found[0]][1], found[1]))
+            k = found[0] + 1
+            continue
+        unknown.append(pieces[k])
+        if pieces[k][3]:
+            close()
+        k += 1
+    close()
     return out
 
 
