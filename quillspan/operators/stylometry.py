@@ -210,11 +210,11 @@ def text_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     return out.select(key, *keep, *SCORE_COLUMNS)
 
 
-def sentence_labels(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 300) -> DataFrame:
-    """(key, pos, score, label) of the first ``most`` sentences."""
+def sentence_labels(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, score, label) of every sentence."""
     d = Spark()
     rows = prepared(docs, key, text)
-    each = rows.select(key, "french", "mean_len", F.posexplode(F.slice("sents", 1, most)).alias("pos", "s")).withColumn("sl", F.lower("s")).withColumn("ws", T.wide_words(F.col("s")))
+    each = rows.select(key, "french", "mean_len", F.posexplode("sents").alias("pos", "s")).withColumn("sl", F.lower("s")).withColumn("ws", T.wide_words(F.col("s")))
     pick = lambda fr, en: F.expr(by_language(d, fr, en))
     has = lambda phrases: "(" + " + ".join(f"CASE WHEN contains(sl, {d.text(p)}) THEN 1 ELSE 0 END" for p in phrases) + ")"
     starts = lambda words: "(" + " OR ".join(f"startswith(sl, {d.text(c)})" for c in words) + ")"
