@@ -13,17 +13,25 @@ would be one task's work, so strings are first dealt out by content:
 3. Anchors with several different segments keep one copy of each.  Partitions
    of them are indexed: run-compressed BWT, sampled run ends, and matching
    statistics streamed from the samples mark the windows that repeat.
-   Anchors with more than ``CHUNK`` different segments are cut into chunks; what
-   no chunk has matched is compared across chunks by window hash.
-4. Marked windows are joined back to their documents and merged into spans.
-
-Null and empty texts have no bytes; texts shorter than ``length`` keep all.
-Repeated rows repeat each other's bytes and are removed like other copies.
-Hashes have 64 bits; within one anchor both anchor and digest must agree.
+4. Segments of an anchor with more than ``FIT`` different ones are dealt again.
+   Windows of one anchor are equal only if the anchor stands at the same offset
+   in both, so a segment is cut at fixed offsets into pieces of ``LEVELS`` windows;
+   the key of a piece is what all its windows have in common (369 bytes of 400 at
+   32 windows).  Keys that one piece has go, keys with few different pieces are
+   indexed, the rest is cut finer.  The last level has one window to a piece, and
+   there equal keys are equal windows.
+5. Marked windows are joined back to their texts and merged into spans.
+
+Texts are known by a 64-bit hash, not by id: null ids, equal ids with different
+texts and repeated rows all have their result.  A text of ``length`` bytes or
+more that occurs in two rows is removed whole.  Null and empty texts have no
+bytes; texts shorter than ``length`` keep all.  Hashes have 64 bits; within one
+anchor both anchor and digest must agree.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -38,8 +46,12 @@ from quillspan.workspace import materialize, table
 
 LENGTH = 400
 KGRAM = 32
-#: Different segments of one anchor in one index: 3 MB of text at most, some 250 MB of arrays while sorting.
-CHUNK = 4_096
+#: Different segments of one key in one index: 0.8 MB of text at most.
+FIT = 1_024
+#: Windows in a piece when a hot key is dealt again, level by level.
+LEVELS = (32, 4, 1)
+#: Hot keys are broadcast up to this number; each has over ``FIT`` segments.
+BROADCAST_KEYS = 100_000
 PIECE = 1 << 19
 INDEX_BYTES = 1 << 20
 _POSITION_BITS = np.uint64(24)
@@ -90,11 +102,11 @@ def segments_of(buffer: bytes, doc_ends: np.ndarray, length: int = LENGTH, k: in
     return doc[first], grams[anchor[first]].view(np.int64), digest.view(np.int64), first, count
 
 
-ANCHOR_DDL = "doc_id long, text_hash long, anchor long, digest long, windows int, starts array<int>"
+ANCHOR_DDL = "text_hash long, anchor long, digest long, windows int, starts array<int>"
 
 
 def _anchors(length: int, k: int):
-    def emit(ids, hashes, texts, shifts):
+    def emit(hashes, texts, shifts):
         """One concatenation; shifts: where each piece starts in its text."""
         buffer = b"".join(texts)
         ends = np.cumsum([len(t) for t in texts])
@@ -108,32 +120,35 @@ def _anchors(length: int, k: int):
         offsets = np.append(head, len(doc)).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, pa.int64()).take(pa.array(doc[head])),
                 pa.array(np.array(hashes, np.uint64).view(np.int64)[doc[head]]),
                 pa.array(anchor[head]),
                 pa.array(digest[head]),
                 pa.array(count[head].astype(np.int32)),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(start.astype(np.int32))),
             ],
-            names=["doc_id", "text_hash", "anchor", "digest", "windows", "starts"],
+            names=["text_hash", "anchor", "digest", "windows", "starts"],
         )
 
     def run(batches):
-        ids, hashes, texts, shifts, held = [], [], [], [], 0
+        hashes, texts, shifts, held = [], [], [], 0
+        seen: set[int] = set()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1))):
+            for text in texts_as_bytes(batch.column(0)):
                 if len(text) < length:
                     continue
                 h = xxhash.xxh64_intdigest(text, 42)
+                if h in seen:  # a copy marks nothing that its first does not
+                    continue
+                seen.add(h)
                 for at in range(0, len(text) - length + 1, PIECE):
                     piece = text[at : at + PIECE + length - 1]
-                    ids.append(doc_id), hashes.append(h), texts.append(piece), shifts.append(at)
+                    hashes.append(h), texts.append(piece), shifts.append(at)
                     held += len(piece)
                     if held >= PIECE:
-                        yield emit(ids, hashes, texts, shifts)
-                        ids, hashes, texts, shifts, held = [], [], [], [], 0
-        if ids:
-            yield emit(ids, hashes, texts, shifts)
+                        yield emit(hashes, texts, shifts)
+                        hashes, texts, shifts, held = [], [], [], 0
+        if hashes:
+            yield emit(hashes, texts, shifts)
 
     return run
 
@@ -142,76 +157,65 @@ def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def anchor_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = KGRAM) -> DataFrame:
-    return _text_rows(docs, id_col, text_col).mapInArrow(_anchors(length, k), ANCHOR_DDL)
+def anchor_table(rows: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataFrame:
+    """Segments of the distinct texts of each task; copies of a text in several tasks give equal rows."""
+    return rows.select("text").mapInArrow(_anchors(length, k), ANCHOR_DDL)
+
+
+CUT_DDL = "key long, digest long, windows int, segment binary"
 
 
 def _cutter(batches):
-    """Cuts the wanted segments out of each text."""
-    names = ["anchor", "chunk", "chunks", "digest", "windows", "segment"]
+    """Cuts the wanted segments out of each text, once for copies that stand together."""
+    names, kinds = ["key", "digest", "windows", "segment"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    seen: set[int] = set()
     for batch in batches:
         cols = [[] for _ in names]
-        for text, wanted in zip(texts_as_bytes(batch.column(0)), batch.column(1).to_pylist()):
+        for h, text, wanted in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            if h in seen:
+                continue
+            seen.add(h)
             for w in wanted:
-                values = (w["anchor"], w["chunk"], w["chunks"], w["digest"], w["windows"], text[w["start"] : w["start"] + w["size"]])
-                for c, v in zip(cols, values):
+                for c, v in zip(cols, (w["key"], w["digest"], w["windows"], text[w["start"] : w["start"] + w["size"]])):
                     c.append(v)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
 
-INDEXED_DDL = "anchor long, digest long, windows int, low int, high int, hash long"
+INDEXED_DDL = "key long, digest long, windows int, low int, high int"
 
 
 def _indexer(length: int):
-    """Rows of (low, high): window offsets that repeat; rows with a hash: windows of chunked anchors, for comparison across chunks."""
+    """Rows of (low, high): window offsets of a segment that repeat. Partitions hold whole keys, sorted."""
 
     def emit(groups):
-        """groups: [(anchor, chunks, {(digest, windows): bytes})], indexed together."""
-        rows = [(a, c, d, w, s) for a, c, own in groups for (d, w), s in own.items()]
-        if len(rows) < 2 and all(r[1] == 1 for r in rows):
+        """groups: [(key, {(digest, windows): bytes})], indexed together."""
+        rows = [(a, d, w, s) for a, own in groups for (d, w), s in own.items()]
+        if len(rows) < 2:
             return None
-        index = RunIndex([r[4] for r in rows])
+        index = RunIndex([r[3] for r in rows])
         hit = index.long_matches(length)
-        out = [[] for _ in range(6)]
-
-        def put(*values):
-            for c, v in zip(out, values):
-                c.append(v)
-
-        for (anchor, chunks, digest, windows, segment), at in zip(rows, index.starts.tolist()):
+        out = [[] for _ in range(5)]
+        for (key, digest, windows, _), at in zip(rows, index.starts.tolist()):
             own = hit[at : at + windows]
             edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
             for low, high in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                put(anchor, digest, windows, low, high, None)
-        matched: set[tuple[int, int]] = set()
-        for (anchor, chunks, digest, windows, _), at in zip(rows, index.starts.tolist()):
-            if chunks == 1:
-                continue
-            p = np.arange(at, at + windows)
-            hashes = span_hash(index.prefix, p, p + length).view(np.int64).tolist()
-            for k, (h, done) in enumerate(zip(hashes, hit[at : at + windows].tolist())):
-                if done:
-                    matched.add((anchor, h))
-                else:
-                    put(anchor, digest, windows, k, k + 1, h)
-        for anchor, h in matched:
-            put(anchor, None, None, None, None, h)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["anchor", "digest", "windows", "low", "high", "hash"])
+                for c, v in zip(out, (key, digest, windows, low, high)):
+                    c.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["key", "digest", "windows", "low", "high"])
 
     def run(batches):
-        groups, held, key = [], 0, None
+        groups, held, last = [], 0, None
         for batch in batches:
-            for anchor, chunk, chunks, digest, windows, segment in zip(*(c.to_pylist() for c in batch.columns)):
-                if (anchor, chunk) != key:
+            for key, digest, windows, segment in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != last:
                     if held >= INDEX_BYTES:
                         if (out := emit(groups)) is not None:
                             yield out
                         groups, held = [], 0
-                    key = (anchor, chunk)
-                    groups.append((anchor, chunks, {}))
-                own = groups[-1][2]
+                    last = key
+                    groups.append((key, {}))
+                own = groups[-1][1]
                 if (digest, windows) not in own:
                     own[digest, windows] = segment
                     held += len(segment)
@@ -221,59 +225,154 @@ def _indexer(length: int):
     return run
 
 
+def index_segments(cut: DataFrame, length: int) -> DataFrame:
+    """Windows (low, high) of the segments of ``cut`` that repeat within their key."""
+    return cut.repartition("key").sortWithinPartitions("key", "digest", "windows").mapInArrow(_indexer(length), INDEXED_DDL)
+
+
+PIECE_DDL = "anchor long, digest long, windows int, low int, n int, key long, content long"
+
+
+def _splitter(block: int, length: int, k: int):
+    """Cuts ranges of windows of each segment into pieces of ``block`` windows at fixed offsets from the anchor."""
+
+    def run(batches):
+        for batch in batches:
+            cols = [[] for _ in range(7)]
+            for anchor, digest, windows, segment, lows, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                codes = BYTE_CODE[np.frombuffer(segment, np.uint8)]
+                # the anchor is the smallest k-gram of the segment, by the bits that segments_of() compares
+                at = int(np.argmin(_kgram_hashes(codes, k) & ~_POSITION_MASK))
+                prefix = prefix_hashes(codes)
+                for low, count in zip(lows, counts):
+                    offset = at - np.arange(low, low + count)
+                    place = offset // block
+                    head = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                    n = np.diff(np.append(head, count))
+                    first, place = low + head, place[head]
+                    core = at - place * block  # start of the last window that a whole piece at this place has
+                    common = span_hash(prefix, core, core - block + 1 + length)
+                    # the anchor and the place are part of the key
+                    salt = np.uint64(anchor & (1 << 64) - 1) * MULTIPLIER + place.astype(np.uint64) * BYTE_CODE[7] + np.uint64(block)
+                    mixed = (common ^ salt) * BYTE_CODE[11]
+                    mixed ^= mixed >> np.uint64(29)
+                    content = span_hash(prefix, first, first + n + length - 1)
+                    size = len(first)
+                    for c, v in zip(cols, ([anchor] * size, [digest] * size, [windows] * size, first.tolist(), n.tolist(), mixed.view(np.int64).tolist(), content.view(np.int64).tolist())):
+                        c.extend(v)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["anchor", "digest", "windows", "low", "n", "key", "content"])
+
+    return run
+
+
+def _slices(length: int):
+    """Cuts the bytes of pieces out of their segments."""
+
+    def run(batches):
+        for batch in batches:
+            cols = [[] for _ in range(4)]
+            for segment, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for w in wanted:
+                    for c, v in zip(cols, (w["key"], w["content"], w["n"], segment[w["low"] : w["low"] + w["n"] + length - 1])):
+                        c.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "digest", "windows", "segment"])
+
+    return run
+
+
+SEGMENT = ["anchor", "digest", "windows"]
+
+
+def _dealt_again(hot: DataFrame, length: int, k: int, fit: int) -> DataFrame:
+    """(anchor, digest, windows, low, high) of the windows that repeat among the segments of hot anchors; hot: (anchor, digest, windows, segment)."""
+    found, level = [], hot.withColumn("lows", F.array(F.lit(0))).withColumn("counts", F.array("windows"))
+    for depth, block in enumerate(LEVELS):
+        pieces = materialize(level.select(*SEGMENT, "segment", "lows", "counts").mapInArrow(_splitter(block, length, k), PIECE_DDL), "repeat-pieces")
+        one = F.min(F.struct(*SEGMENT, "low", "n"))
+        contents = materialize(pieces.groupBy("key", "content").agg(F.count("*").alias("copies"), one.alias("at")), "repeat-piece-contents")
+        keys = contents.groupBy("key").agg(F.count("*").alias("different"), F.sum("copies").alias("total")).filter("total > 1")
+        known = materialize(contents.join(materialize(keys, "repeat-piece-keys"), "key"), "repeat-piece-known")
+        whole = known.filter("copies > 1").select("key", "content", F.lit(0).alias("a"), F.col("at.n").alias("b"))
+        last = depth == len(LEVELS) - 1
+        wanted = known.filter("different > 1").filter(F.lit(False) if last else F.col("different") <= fit)
+        asked = wanted.select(*(f"at.{c}" for c in SEGMENT), F.struct("key", "content", "at.n", "at.low").alias("w")).groupBy(*SEGMENT).agg(F.collect_list("w").alias("wanted"))
+        cut = hot.join(asked, SEGMENT).select("segment", "wanted").mapInArrow(_slices(length), CUT_DDL)
+        indexed = index_segments(cut, length).select("key", F.col("digest").alias("content"), F.col("low").alias("a"), F.col("high").alias("b"))
+        hits = materialize(whole.unionByName(indexed), "repeat-piece-hits")
+        found.append(pieces.join(hits, ["key", "content"]).select(*SEGMENT, (F.col("low") + F.col("a")).alias("low"), (F.col("low") + F.col("b")).alias("high")))
+        if last:
+            break
+        rest = known.filter(F.col("different") > fit).select("at.*").groupBy(*SEGMENT).agg(F.collect_list(F.struct("low", "n")).alias("r"))
+        rest = materialize(rest.select(*SEGMENT, F.col("r.low").alias("lows"), F.col("r.n").alias("counts")), "repeat-open")
+        if rest.isEmpty():
+            break
+        level = hot.join(rest, SEGMENT)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 MARK_TYPE = "array<struct<start:int,end:int>>"
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = KGRAM, chunk: int = CHUNK) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = KGRAM, fit: int = FIT) -> DataFrame:
     """(doc_id, text, marks): marks are covered byte ranges, not yet merged; null where nothing repeats."""
     rows = _text_rows(docs, id_col, text_col)
-    anchors = materialize(anchor_table(docs, id_col, text_col, length, k), "repeat-anchors")
-    content = F.struct("digest", "windows")
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    anchors = materialize(anchor_table(rows, length, k), "repeat-anchors")
+    # rows are counted by where they stand, so copies of a text count once; copied texts go whole below
+    first = F.xxhash64("text_hash", F.col("starts")[0])
+    final = F.xxhash64("text_hash", F.element_at("starts", -1))
     # written before it is joined: both sides of the join are then plain exchanges, whose skewed partitions can be split
     repeated = materialize(
         anchors.groupBy("anchor")
-        .agg(F.sum(F.size("starts")).alias("n"), F.min(content).alias("low"), F.max(content).alias("high"))
-        .filter("n > 1")
+        .agg(F.min(F.least(first, final)).alias("one"), F.max(F.greatest(first, final)).alias("other"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+        .filter("one <> other")
         .select("anchor", (F.col("low") != F.col("high")).alias("several")),
         "repeat-shared",
     )
     candidates = materialize(anchors.join(repeated, "anchor"), "repeat-candidates")
-    one = F.struct("doc_id", "text_hash", F.col("starts")[0].alias("start"))
+    at = F.min(F.struct("text_hash", F.col("starts")[0].alias("start")))
     contents = materialize(
-        candidates.groupBy("anchor", "digest", "windows").agg(F.sum(F.size("starts")).alias("n"), F.first("several").alias("several"), F.min(one).alias("at")), "repeat-contents"
+        candidates.groupBy(*SEGMENT)
+        .agg(F.min(F.least(first, final)).alias("one"), F.max(F.greatest(first, final)).alias("other"), F.first("several").alias("several"), at.alias("at"))
+        .select(*SEGMENT, "several", "at", (F.col("one") != F.col("other")).alias("again")),
+        "repeat-contents",
     )
     several = contents.filter("several")
-    # few anchors need more than one chunk, so this side stays small and the other need not be dealt by anchor
-    chunks = several.groupBy("anchor").agg(F.count("*").alias("n_contents")).filter(F.col("n_contents") > chunk).select("anchor", F.ceil(F.col("n_contents") / chunk).cast("int").alias("chunks"))
-    wanted = (
-        several.join(chunks, "anchor", "left")
-        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .select(
-            "at.doc_id", "at.text_hash",
-            F.struct("anchor", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk"), "chunks", "digest", "windows", F.col("at.start").alias("start"), (F.col("windows") + length - 1).alias("size")).alias("w"),
-        )
-        .groupBy("doc_id", "text_hash")
-        .agg(F.collect_list("w").alias("wanted"))
-    )
-    hashed = rows.withColumn("text_hash", F.xxhash64("text")).filter(F.octet_length("text") >= length)
-    cut = hashed.join(wanted, ["doc_id", "text_hash"]).select("text", "wanted").mapInArrow(_cutter, "anchor long, chunk int, chunks int, digest long, windows int, segment binary")
-    indexed = materialize(
-        cut.repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk", "digest", "windows").mapInArrow(_indexer(length), INDEXED_DDL), "repeat-indexed"
+    crowded = materialize(several.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > fit).select("anchor", F.lit(True).alias("hot")), "repeat-hot-anchors")
+    n_crowded = crowded.count()
+    marked = several.join(F.broadcast(crowded) if n_crowded <= BROADCAST_KEYS else crowded, "anchor", "left")
+    wanted = marked.select(
+        F.col("at.text_hash").alias("text_hash"),
+        F.struct(F.col("anchor").alias("key"), "digest", "windows", F.col("at.start").alias("start"), (F.col("windows") + length - 1).alias("size")).alias("w"),
+        F.coalesce("hot", F.lit(False)).alias("hot"),
     )
-    across = indexed.filter("hash is not null")
-    shared = across.groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "hash")
-    found = indexed.filter("hash is null").drop("hash").unionByName(across.filter("digest is not null").join(shared, ["anchor", "hash"]).drop("hash"))
-    parts = found.groupBy("anchor", "digest", "windows").agg(F.collect_list(F.struct("low", "high")).alias("parts"))
+
+    def cut(which):
+        asked = materialize(which.groupBy("text_hash").agg(F.collect_list("w").alias("wanted")), "repeat-wanted")
+        texts = hashed.filter(F.octet_length("text") >= length)
+        return texts.join(asked, "text_hash").select("text_hash", "text", "wanted").mapInArrow(_cutter, CUT_DDL)
+
+    found = materialize(index_segments(cut(wanted.filter("not hot")), length).withColumnRenamed("key", "anchor"), "repeat-indexed")
+    if n_crowded:
+        hot = materialize(cut(wanted.filter("hot")).withColumnRenamed("key", "anchor").dropDuplicates(SEGMENT), "repeat-hot")
+        found = found.unionByName(_dealt_again(hot, length, k, fit))
+    parts = found.groupBy(*SEGMENT).agg(F.collect_list(F.struct("low", "high")).alias("parts"))
     whole = F.array(F.struct(F.lit(0).alias("low"), F.col("windows").alias("high")))
-    verdict = contents.select("anchor", "digest", "windows", "n").join(parts, ["anchor", "digest", "windows"], "left").select("anchor", "digest", "windows", F.when(F.col("n") > 1, whole).otherwise(F.col("parts")).alias("parts")).filter("parts is not null")
+    verdict = materialize(
+        contents.select(*SEGMENT, "again").join(parts, SEGMENT, "left").select(*SEGMENT, F.when(F.col("again"), whole).otherwise(F.col("parts")).alias("parts")).filter("parts is not null"),
+        "repeat-verdicts",
+    )
     marks = (
-        candidates.join(verdict, ["anchor", "digest", "windows"])
-        .select("doc_id", "text_hash", F.explode("starts").alias("start"), "parts")
-        .select("doc_id", "text_hash", F.transform("parts", lambda p: F.struct((F.col("start") + p["low"]).alias("start"), (F.col("start") + p["high"] + length - 1).alias("end"))).alias("m"))
-        .groupBy("doc_id", "text_hash")
-        .agg(F.flatten(F.collect_list("m")).alias("marks"))
+        candidates.join(verdict, SEGMENT)
+        .select("text_hash", F.explode("starts").alias("start"), "parts")
+        .select("text_hash", F.transform("parts", lambda p: F.struct((F.col("start") + p["low"]).alias("start"), (F.col("start") + p["high"] + length - 1).alias("end"))).alias("m"))
     )
-    return rows.withColumn("text_hash", F.xxhash64("text")).join(marks, ["doc_id", "text_hash"], "left").select("doc_id", "text", "marks")
+    copied = hashed.select("text_hash", F.octet_length("text").alias("end")).filter(F.col("end") >= length).groupBy("text_hash", "end").count().filter("count > 1")
+    copied = copied.select("text_hash", F.array(F.struct(F.lit(0).alias("start"), "end")).alias("m"))
+    by_text = materialize(marks.unionByName(copied).groupBy("text_hash").agg(F.flatten(F.collect_set("m")).alias("marks")), "repeat-marks")
+    return hashed.join(by_text, "text_hash", "left").select("doc_id", "text", "marks")
 
 
 def merge_marks(starts, ends) -> list[tuple[int, int]]:

@@ -144,15 +144,26 @@ def test_repeats_query(spark, sf_dir, documents):
     assert got == plain_repeats(documents, 400)
 
 
-@pytest.mark.parametrize("chunk", [3, 2000])
-def test_repeats_with_hot_anchors(spark, chunk):
-    """One passage in most texts with different surroundings; small chunks force the comparison across chunks."""
+@pytest.mark.parametrize("fit", [3, 20, 2000])
+def test_repeats_with_hot_anchors(spark, fit):
+    """One passage in most texts with different surroundings; small groups force further dealing, level by level."""
     passage = prose(9, 120)
     texts = [prose(100 + i, 30) + " " + (passage if i % 4 else passage[: 450 + i]) + " " + prose(200 + i, 25) for i in range(60)] + ["ab" * 700, "xyz" * 300, "q" * 1000, prose(5, 20) * 8]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in suffix_dedup.remove_repeats(frame(spark, texts), chunk=chunk).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in suffix_dedup.remove_repeats(frame(spark, texts), fit=fit).collect()}
     assert got == plain_repeats(dict(enumerate(texts)), 400)
 
 
+def test_repeats_with_null_and_equal_ids(spark):
+    """A null id, one id with two texts, and many equal rows: every row has the result of its text."""
+    shared, other = prose(9, 120), prose(12, 150)
+    rows = [(None, shared + " a b c"), (2, "x y z " + shared), (2, prose(3, 100)), *[(3, other)] * 30, (None, prose(4, 90) + other[:500])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((str(i), *r) for (i, _), r in zip(rows, plain_repeats(dict(enumerate(t for _, t in rows)), 400).values()))
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == want
+    assert suffix_dedup.repeated_spans(docs).selectExpr("max(size(marks))").first()[0] < 20
+
+
 def test_sharding_law(spark, sf_dir, documents):
     rows = list(registry.QUERIES["op6_sharding"](spark, sf_dir).collect())
     loads, by_text = collections.Counter(), collections.defaultdict(set)
