@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "file:///tmp/checkpoints/quillspan"
 
@@ -40,3 +41,12 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; works with any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Rows of keys that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys``, a written table of narrow rows, with a broadcast hint where its count allows it."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
