@@ -1,24 +1,42 @@
 """SimHash near-duplicates through BK-trees.
 
-Each text becomes a 64-bit fingerprint of its word shingles; equal fingerprints
-collapse to one node.  Two fingerprints within ``radius`` bits agree exactly on
-at least one of ``radius + 1`` bit blocks, so (block, value) shards hold every
-pair that can link.  Each shard's fingerprints go into a BK-tree (children keyed
-by their Hamming distance to the parent) and queries follow only the edges
-within the radius.
+Each text becomes a 64-bit fingerprint of its word shingles.  A shard's
+fingerprints go into a BK-tree (children keyed by their Hamming distance to the
+parent) and queries follow only the edges within the radius.  Two ways:
+
+``near_duplicates`` links fingerprints at most ``radius`` bits apart.  Of
+``radius + 2`` bit blocks at least two agree, so the shards (two blocks, their
+values) hold every pair.  Equal fingerprints collapse to one node.
+
+``similar_texts`` links texts whose shingle sets have a Jaccard of ``least`` or
+more; the fingerprints choose the candidates and the whole sets decide.  A pair
+at 0.8 differs in 9.7 of 64 bits on average, far too many for bit blocks, so
+shards are made of the rarest shingles of each set (see ``shingles``): every
+pair shares one.
+
+1. Each set meets the closest of the hubs of its shards, one drawn per shard.
+   Sets within ``LOOSE`` bits of a hub form loose clusters; nothing is decided yet.
+2. Each cluster's sets go into BK-trees once; pairs within ``WIDE`` bits that are
+   not yet in one group are compared on the spot, and only a spanning forest of
+   the links leaves the task.  So a large group of copies, similar or not quite,
+   is compared where it lies and never becomes rows of pairs.
+3. Shards that hold several clusters go into BK-trees of fingerprints; pairs
+   within ``WIDE`` bits of different clusters are few, and are verified by joins.
 
 The trees of all shards together grow with the corpus, so they are not
 broadcast: a shard's tree is built in the task that its queries are shuffled
 to.  Shards of more than ``CHUNK`` fingerprints are cut into chunks, and the
 tree of each chunk meets the queries of every other chunk in a task of its own.
-A task emits a spanning forest of its links, never all pairs; components then
-come from star contraction.
+Components come from star contraction.
 
-Null and empty texts have fingerprint zero and link like any other.
+Null and empty texts have fingerprint zero and link like any other.  Rows
+without an id have a component and are never its name; ``keep_one`` leaves them.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,12 +45,21 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.components import components
 from quillspan.llm.docstats import texts_as_bytes
-from quillspan.workspace import materialize, table
+from quillspan.llm.shingles import common_shingles, node_of, rarest, sets_of
+from quillspan.workspace import few, materialize, table
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
 CHUNK = 2_000
+#: Similarity, shingle width and candidate radius of similar_texts(); 20 bits are 3.5 standard deviations from the mean at 0.8.
+LEAST = 0.8
+WIDE_SHINGLE = 5
+WIDE = 20
+LOOSE = 16
+HUB_ROUNDS = 2
+#: Shingles in one chunk of a cluster.
+CLUSTER_SHINGLES = 200_000
 _PIECE = 1 << 16
 
 
@@ -175,9 +202,11 @@ def _linker(radius: int):
 
 def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """(u, v): spanning edges between distinct fingerprints at most ``radius`` bits apart."""
-    n = radius + 1
+    n = radius + 2
     bounds = [64 * i // n for i in range(n + 1)]
-    blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", 64 - hi), 64 - hi + lo).alias("value")) for i, (lo, hi) in enumerate(zip(bounds, bounds[1:]))))
+    part = [F.shiftrightunsigned(F.shiftleft("fp", 64 - hi), 64 - hi + lo) for lo, hi in zip(bounds, bounds[1:])]
+    # at most `radius` blocks differ, so two agree: with radius 2 a shard has 32 of 64 bits in common
+    blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftleft(part[x], bounds[y + 1] - bounds[y]).bitwiseOR(part[y]).alias("value")) for i, (x, y) in enumerate(combinations(range(n), 2))))
     keyed = fps.select("fp", F.explode(blocks).alias("k")).select("fp", "k.block", "k.value")
     # shards of one fingerprint can link nothing
     shards = keyed.groupBy("block", "value").agg(F.count("*").alias("size")).filter("size > 1")
@@ -205,11 +234,272 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, one row per id; rows without an id stay."""
-    heads = near_duplicates(docs, radius, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(heads, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+def _fingerprint_of(shingles: np.ndarray) -> int:
+    """Signed fingerprint of a set of hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(shingles), _PIECE):
+        piece = shingles[k : k + _PIECE].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(piece, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view(np.int64)[0])
+
+
+def _marker(shared, width: int, least: float):
+    """(doc_id, text_hash, node, n, fp, prefix); the prefix of a set that the task has met before is null."""
+
+    def run(batches):
+        common, seen = shared.value, set()
+        for batch in batches:
+            nodes, sizes, fps, prefixes = [], [], [], []
+            for s in sets_of(batch.column(2), width):
+                node = node_of(s)
+                nodes.append(node), sizes.append(len(s)), fps.append(_fingerprint_of(s) if len(s) else 0)
+                prefixes.append(None if node in seen else rarest(s, common, least))
+                seen.add(node)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "node", "n", "fp", "prefix"],
+            )
+
+    return run
+
+
+def _shared_only(batches):
+    """Rows (h, node), sorted: those of shingles that two different nodes hold, each once."""
+    last_h, last_node, held = None, None, False  # held: the last row waits for a second node
+    for batch in batches:
+        h, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        fresh = np.append((h[:1] != last_h) | (node[:1] != last_node) if last_h is not None else np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
+        h, node = h[fresh], node[fresh]
+        if not len(h):
+            continue
+        if held:
+            h, node = np.append(last_h, h), np.append(last_node, node)
+        same = h[1:] == h[:-1]
+        with_last = not held and last_h is not None and h[0] == last_h
+        out = np.append(with_last, same) | np.append(same, False)
+        last_h, last_node, held = h[-1], node[-1], not out[-1]
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(node[out])], names=["h", "node"])
+
+
+def _whole_sets(width: int):
+    """(node, shingles); 32 bits of each hash, of which 400 x 400 agree by chance once in 27,000 pairs."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            new = {}
+            for s in sets_of(batch.column(0), width):
+                if (node := node_of(s)) not in seen:
+                    seen.add(node)
+                    new[node] = np.unique((s & 0xFFFFFFFF).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.list_(pa.int32()))], names=["node", "shingles"])
+
+    return run
+
+
+def _sets(nodes: DataFrame, rows: DataFrame, heads: DataFrame, width: int) -> DataFrame:
+    """(node, n, fp, shingles) of the given nodes; their texts are read again."""
+    held = materialize(nodes.join(heads.select("node", "text_hash"), "node").select("text_hash").distinct(), "similar-held")
+    texts = rows.join(few(held), "text_hash", "left_semi").select("text")
+    sets = texts.mapInArrow(_whole_sets(width), "node long, shingles array<int>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return materialize(sets.join(heads.select("node", "n", "fp"), "node"), "similar-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets have a Jaccard of at least ``least``."""
+    left, right = sets.select(F.col("node").alias("u"), F.col("shingles").alias("us")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("vs"))
+    shared = F.size(F.array_intersect("us", "vs"))
+    scored = pairs.join(left, "u").join(right, "v").select("u", "v", shared.alias("shared"), (F.size("us") + F.size("vs")).alias("both"))
+    return scored.filter(F.col("shared") / (F.col("both") - F.col("shared")) >= least - 1e-12).select("u", "v")
+
+
+def _cluster_linker(radius: int, least: float):
+    """Per cell (cluster, a, b): spanning forest of the verified links within chunk a, or between chunks a and b."""
+
+    def linked(left, right):
+        tree, entries, parent, edges = BKTree(), {}, {}, []
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def ask(fp, node, own):
+            n = len(own)
+            for k in tree.within(fp, radius):
+                for other, theirs in entries[tree.values[k]]:
+                    m = len(theirs)
+                    if n < m * least - 1e-9 or m < n * least - 1e-9 or root(node) == root(other):
+                        continue
+                    shared = len(own & theirs)
+                    if shared / (n + m - shared) >= least - 1e-12:
+                        parent[root(node)] = root(other)
+                        edges.append((node, other))
+
+        def add(fp, node, own):
+            if fp not in entries:
+                tree.add(fp)
+            entries.setdefault(fp, []).append((node, own))
+
+        for x in left:
+            if not right:
+                ask(*x)
+            add(*x)
+        for x in right:
+            ask(*x)
+        return edges
+
+    def run(batches):
+        key, left, right, out = None, [], [], []
+
+        def flush():
+            found = pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            out.clear()
+            return found
+
+        for batch in batches:
+            shingles = batch.column(6)
+            offsets, values = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+            for i, (cluster, a, b, own, fp, node) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)))):
+                if (cluster, a, b) != key:
+                    # a cell (a, b) links only across
+                    if key is not None and (key[1] == key[2] or (left and right)):
+                        out.extend(linked(left, right))
+                    key, left, right = (cluster, a, b), [], []
+                (left if own == a else right).append((fp & (1 << 64) - 1, node, set(values[offsets[i] : offsets[i + 1]].tolist())))
+            if len(out) > 50_000:
+                yield flush()
+        if key is not None and (key[1] == key[2] or (left and right)):
+            out.extend(linked(left, right))
+        yield flush()
+
+    return run
+
+
+def _cluster_links(clusters: DataFrame, sets: DataFrame, radius: int, least: float) -> DataFrame:
+    """(u, v): links within each cluster; clusters: (node, root)."""
+    held = materialize(clusters.join(sets, "node"), "similar-clusters")
+    sizes = held.groupBy("root").agg(F.ceil(F.sum("n") / CLUSTER_SHINGLES).cast("int").alias("chunks"))
+    cells = (
+        held.join(materialize(sizes, "similar-cluster-sizes"), "root")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp", "node", "shingles")
+    )
+    cell = ["root", "a", "b"]
+    return cells.repartition(*cell).sortWithinPartitions(*cell, "node").mapInArrow(_cluster_linker(radius, least), "u long, v long")
+
+
+def _bit_distance(a, b):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _near_size(a, b, least: float):
+    return (F.col(a) >= F.col(b) * least - 1e-9) & (F.col(b) >= F.col(a) * least - 1e-9)
+
+
+def _tree_candidates(radius: int, least: float):
+    """Per cell (h, chunk): a BK-tree of its members; queries meet the members of other groups within the radius."""
+
+    def run(batches):
+        key, members, queries = None, [], []
+        out: list[tuple[int, int]] = []
+
+        def close():
+            tree, entries = BKTree(), {}
+            for fp, node, n, root in members:
+                if fp not in entries:
+                    tree.add(fp)
+                entries.setdefault(fp, []).append((node, n, root))
+            for fp, node, n, root in queries:
+                for k in tree.within(fp, radius):
+                    for other, m, o_root in entries[tree.values[k]]:
+                        if o_root != root and n >= m * least - 1e-9 and m >= n * least - 1e-9:
+                            out.append((min(node, other), max(node, other)))
+
+        def flush():
+            pairs = list(dict.fromkeys(out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for h, cell, asks, fp, node, n, root in zip(*(c.to_pylist() for c in batch.columns)):
+                if (h, cell) != key:
+                    close()
+                    key, members, queries = (h, cell), [], []
+                    if len(out) > 50_000:
+                        yield flush()
+                (queries if asks else members).append((fp & (1 << 64) - 1, node, n, root))
+        close()
+        yield flush()
+
+    return run
+
+
+def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the shards that hold more than one cluster, with their cluster as root."""
+    grouped = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = grouped.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
+    return materialize(grouped.join(materialize(mixed, "similar-mixed"), "h").select("h", "node", "n", "fp", "root"), "similar-open")
+
+
+def similar_texts(docs: DataFrame, least: float = LEAST, width: int = WIDE_SHINGLE, radius: int = WIDE, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, text_hash, node, component) for every row; a component's name is its smallest node."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(rows.select("text"), width))
+    marked = materialize(rows.mapInArrow(_marker(shared, width, least), "doc_id long, text_hash long, node long, n int, fp long, prefix array<long>"), "similar-marked")
+    heads = materialize(marked.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("fp").alias("fp")), "similar-heads")
+
+    prefixes = marked.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("h"), "node").repartition("h").sortWithinPartitions("h", "node")
+    members = prefixes.mapInArrow(_shared_only, "h long, node long").join(heads.select("node", "n", "fp"), "node")
+    members = materialize(members.select("h", "node", "n", "fp"), "similar-members")
+
+    loose, open_ = None, members.withColumn("root", F.col("node"))
+    for k in range(HUB_ROUNDS):
+        drawn = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("draw"), F.col("node").alias("hub"), F.col("n").alias("m"), F.col("fp").alias("hub_fp"), F.col("root").alias("hub_root")))
+        hubs = materialize(open_.groupBy("h").agg(drawn.alias("d")).select("h", "d.hub", "d.m", "d.hub_fp", "d.hub_root"), "similar-hubs")
+        met = open_.join(hubs, "h").filter((F.col("root") != F.col("hub_root")) & _near_size("n", "m", least)).withColumn("bits", _bit_distance("fp", "hub_fp")).filter(F.col("bits") <= LOOSE)
+        closest = met.groupBy("node").agg(F.min(F.struct("bits", "hub")).alias("c")).select(F.col("node").alias("u"), F.col("c.hub").alias("v"))
+        loose = materialize(closest if loose is None else loose.unionByName(closest), "similar-loose")
+        roots = materialize(components(loose), "similar-roots")
+        open_ = _with_roots(members, roots)
+    sizes = open_.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("most"))
+    sizes = materialize(sizes.select("h", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"), F.col("most.root").alias("main")), "similar-sizes")
+    # the largest group of a shard need not ask: all others ask it
+    placed = open_.join(sizes, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    asking = placed.filter("root <> main").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cols = ["h", "cell", "asks", "fp", "node", "n", "root"]
+    cells = placed.withColumn("cell", F.col("own")).withColumn("asks", F.lit(False)).select(*cols).unionByName(asking.withColumn("asks", F.lit(True)).select(*cols))
+    pairs = cells.repartition("h", "cell").sortWithinPartitions("h", "cell", "asks", "node").mapInArrow(_tree_candidates(radius, least), "u long, v long")
+    rest = materialize(pairs.distinct(), "similar-rest")
+    asked = roots.select("node").unionByName(rest.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    sets = _sets(asked, rows, heads, width)
+    roots = components(_cluster_links(roots, sets, radius, least).unionByName(_verified(rest, sets, least)))
+    named = heads.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    return marked.select("doc_id", "text_hash", "node").join(materialize(named, "similar-named"), "node").select("doc_id", "text_hash", "node", "component")
+
+
+def keep_one(docs: DataFrame, least: float = LEAST, width: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of similar texts: the smallest id, then the smallest text hash; rows without an id stay.
+
+    Ids may repeat: rows with one id and different texts are told apart by
+    their text, and of equal rows one stays.
+    """
+    own = docs.filter(F.col(id_col).isNotNull())
+    groups = materialize(similar_texts(own, least, width, id_col=id_col, text_col=text_col), "similar-groups")
+    keys = groups.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    first = keys.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    judged = keys.join(first, "component").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), (F.struct("doc_id", "text_hash") == F.col("first")).alias("_kept"), (F.col("times") > 1).alias("_several"))
+    # keys that change something: texts stay where they are while these are few
+    verdicts = few(materialize(judged.filter("NOT _kept OR _several"), "similar-verdicts"))
+    hashed = own.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    seen = hashed.join(verdicts, (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_hash") == F.col("_text")), "left").filter("_kept IS NULL OR _kept")
+    alone = seen.filter("_kept IS NULL").select(*docs.columns)
+    several = seen.filter("_kept").dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    return alone.unionByName(several).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op7_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -27,3 +27,24 @@ def with_clashes(df):
     for name in ("fp", "size", "shard", "n", "anchor", "spans", "score", "topic", "weight", "u", "v", "rank", "text_hash"):
         df = df.withColumn(name, F.lit(1))
     return df
+
+
+def jaccard_groups(texts, least=0.8, width=5):
+    bags = []
+    for t in texts:
+        w = (t or "").lower().encode().split()
+        bags.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            same = bags[a] == bags[b]
+            if same or (bags[a] & bags[b] and len(bags[a] & bags[b]) / len(bags[a] | bags[b]) >= least):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(texts))]

@@ -4,28 +4,7 @@ import random
 
 import pytest
 
-from .helpers import frame, odd_texts, prose
-
-
-def jaccard_groups(texts, least=0.8, width=5):
-    bags = []
-    for t in texts:
-        w = (t or "").lower().encode().split()
-        bags.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
-    parent = list(range(len(texts)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(texts)):
-        for b in range(a):
-            same = bags[a] == bags[b]
-            if same or (bags[a] & bags[b] and len(bags[a] & bags[b]) / len(bags[a] | bags[b]) >= least):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    return [root(i) for i in range(len(texts))]
+from .helpers import frame, jaccard_groups, odd_texts, prose
 
 
 def edited(text, rng, n):
@@ -50,6 +29,22 @@ def test_stage_joins_edited_copies(spark, boilerplate):
     assert got == set(want)
 
 
+def test_small_chunks_and_nulls_and_equal_ids(spark, monkeypatch):
+    """Clusters and shards cut into chunks; one id with two texts, equal rows, and rows without an id."""
+    from quillspan.llm import simhash_dedup
+
+    monkeypatch.setattr(simhash_dedup, "CLUSTER_SHINGLES", 700)
+    rng = random.Random(5)
+    hot = prose(99, 100)
+    texts = [edited(hot, rng, rng.randrange(1, 7)) for _ in range(60)] + [edited(prose(7, 120), rng, 2) for _ in range(10)]
+    rows = list(enumerate(texts)) + [(3, prose(50, 80)), (3, prose(50, 80)), (None, hot), (None, hot), (3, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i for g, i in zip(jaccard_groups(texts), range(len(texts))) if g == i}
+    kept = [tuple(r) for r in simhash_dedup.keep_one(docs).collect()]
+    assert sorted(i for i, t in kept if i is not None and t != prose(50, 80)) == sorted(want)
+    assert kept.count((3, prose(50, 80))) == 1 and kept.count((None, hot)) == 2
+
+
 def test_stage_on_the_tables(spark, sf_dir):
     import corpus_pipeline
 
