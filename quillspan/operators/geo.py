@@ -5,13 +5,15 @@ Places: (place_id, name, slug, department, region, population, lat, lng).
 
 from __future__ import annotations
 
-import math
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions.numbers import half_up, haversine_km
+from quillspan.workspace import materialize
 
 
 def places(rows: DataFrame, departments: list[str] | None = None, regions: list[str] | None = None, min_population: int = 0, limit: int | None = None) -> DataFrame:
@@ -48,33 +50,43 @@ def with_departments(rows: DataFrame) -> DataFrame:
     return d.unionByName(p)
 
 
-def nearest(rows: DataFrame, k: int = 5, cell_degrees: float = 0.5, max_rings: int = 9) -> DataFrame:
-    """(place_id, neighbour, km, rank): the k nearest other places, by id on equal distance.
+EARTH_KM = 6371.0
 
-    Places meet in grid cells: ring by ring only those whose k-th distance is
-    not yet certain look one cell further, so dense cells stay local.  Beyond
-    ``max_rings`` the few places left over are compared with all, in one pass.
+
+def nearest(rows: DataFrame, k: int = 5, first_km: float = 10.0, growth: int = 2) -> DataFrame:
+    """(place_id, neighbour, km, rank): the k nearest other places, by id on equal distance; places without coordinates take no part.
+
+    Places meet in cubes around points of the sphere in space, which have no
+    meridian and no pole: what is not in the 27 cubes around a place is at least
+    a cube's side away.  Cube by cube size, only places whose k-th distance is
+    not yet below the side look further, so dense areas stay local; the last
+    cubes hold the globe.  Of places with equal coordinates only the first
+    ``k + 1`` ids can be anyone's neighbours.
     """
-    here = rows.select("place_id", "lat", "lng", F.floor(F.col("lat") / cell_degrees).cast("int").alias("cy"), F.floor(F.col("lng") / cell_degrees).cast("int").alias("cx")).filter("lat IS NOT NULL AND lng IS NOT NULL")
-    there = here.select(F.col("place_id").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.col("cy").alias("y"), F.col("cx").alias("x"))
+    lat, lng = F.radians("lat"), F.radians("lng")
+    point = {"px": F.cos(lat) * F.cos(lng), "py": F.cos(lat) * F.sin(lng), "pz": F.sin(lat)}
+    here = rows.filter("lat IS NOT NULL AND lng IS NOT NULL").select("place_id", "lat", "lng", *((e * EARTH_KM).alias(n) for n, e in point.items()))
+    first = here.withColumn("nth", F.row_number().over(Window.partitionBy("lat", "lng").orderBy("place_id"))).filter(F.col("nth") <= k + 1)
+    there = materialize(first.select(F.col("place_id").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "px", "py", "pz"), "nearest-places")
     w = Window.partitionBy("place_id").orderBy("km", "neighbour")
-    done, todo = None, here
-    bounds = rows.agg(F.max(F.abs("lat"))).first()[0] or 0.0
-    for ring in (1, 3, max_rings):
-        offsets = F.explode(F.sequence(F.lit(-ring), F.lit(ring)))
-        spread = todo.withColumn("dy", offsets).withColumn("dx", F.explode(F.sequence(F.lit(-ring), F.lit(ring)))).select("place_id", "lat", "lng", (F.col("cy") + F.col("dy")).alias("y"), (F.col("cx") + F.col("dx")).alias("x"))
-        found = spread.join(there, ["y", "x"]).filter("place_id <> neighbour").withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")))
-        top = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("place_id", "neighbour", "km", "rank")
-        # a place further than this many whole cells away cannot be closer: width of the narrowest cell row reached
-        reach = ring * cell_degrees * math.pi / 180 * 6371.0 * math.cos(math.radians(min(89.0, bounds + ring * cell_degrees)))
-        sure = top.filter(F.col("rank") == k).filter(F.col("km") <= reach).select("place_id")
-        part = top.join(sure, "place_id", "left_semi")
-        done = part if done is None else done.unionByName(part)
-        todo = todo.join(sure, "place_id", "left_anti")
-    rest = todo.select("place_id", "lat", "lng")
-    far = rest.join(there, F.col("place_id") != F.col("neighbour")).withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")))
-    last = far.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("place_id", "neighbour", "km", "rank")
-    return done.unionByName(last).withColumn("km", half_up(F.col("km"), 1))
+    around = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("dx", "dy", "dz"), d))) for d in product((-1, 0, 1), repeat=3)))
+    done, todo, side = [], materialize(here, "nearest-todo"), first_km
+    while True:
+        cube = {c: F.floor(F.col(f"p{c}") / side).cast("int") for c in "xyz"}
+        asking = todo.withColumn("d", F.explode(around)).select("place_id", "lat", "lng", *((e + F.col(f"d.d{c}")).alias(c) for c, e in cube.items()))
+        found = asking.join(there.select("neighbour", "lat2", "lng2", *(e.alias(c) for c, e in cube.items())), list("xyz")).filter("place_id <> neighbour")
+        found = found.select("place_id", "neighbour", haversine_km(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")).alias("km"))
+        top = materialize(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "nearest-top")
+        if side >= 2 * EARTH_KM:
+            done.append(top)
+            break
+        sure = top.filter((F.col("rank") == k) & (F.col("km") < side)).select("place_id")
+        done.append(top.join(sure, "place_id", "left_semi"))
+        todo = materialize(todo.join(sure, "place_id", "left_anti"), "nearest-todo")
+        if todo.isEmpty():
+            break
+        side *= growth
+    return reduce(DataFrame.unionByName, done).withColumn("km", half_up(F.col("km"), 1))
 
 
 COST_PER_ROW = 0.03

@@ -27,7 +27,8 @@ def _ramp(d: Spark, v: str, low: float, high: float, invert: bool = False) -> st
 
 
 def _occurrences(d: Spark, x: str, phrases: list[str]) -> str:
-    each = [f"CAST(round((length({x}) - length(replace({x}, {d.text(p)}, ''))) / {d.real(len(p))}) AS BIGINT)" for p in phrases]
+    # most phrases are in no text: a plain search is far cheaper than a replacement
+    each = [f"CASE WHEN contains({x}, {d.text(p)}) THEN CAST(round((length({x}) - length(replace({x}, {d.text(p)}, ''))) / {d.real(len(p))}) AS BIGINT) ELSE 0 END" for p in phrases]
     return "(" + " + ".join(each) + ")"
 
 
@@ -69,15 +70,16 @@ def by_language(d: Spark, french: str, english: str) -> str:
 def count_columns(d: Spark) -> dict[str, str]:
     """Third step: raw counts by lexicon and pattern."""
     occ = lambda fr, en: by_language(d, _occurrences(d, "low", fr), _occurrences(d, "low", en))
-    starts = lambda words: " OR ".join(f"{d.starts}(lower(s), {d.text(c)})" for c in words)
+    starts = lambda words: " OR ".join(f"{d.starts}(s, {d.text(c)})" for c in words)
+    lowered = d.map("sents", "s", "lower(s)")
     heads = d.every(r"(?m)^\s*#{1,4}\s*([^\n<]{4,90})", "t", 1)
     title = d.every(T.WIDE_WORD, f"lower({d.at('lines', 1)})")
     three = d.map(d.steps("1", f"greatest({d.size(title)} - 2, 1)", "1"), "i", d.join(d.slice(title, "i", "3"), " "))
     return {
         "phrases": occ(L.PHRASES_FR + L.PHRASES_EN, L.PHRASES_EN), "stock": by_language(d, _share(d, "words", L.WORDS_FR), _share(d, "words", L.WORDS_EN)),
-        "connected": by_language(d, d.size(d.filter("sents", "s", starts(L.CONNECTORS_FR))), d.size(d.filter("sents", "s", starts(L.CONNECTORS_EN)))),
+        "connected": by_language(d, d.size(d.filter(lowered, "s", starts(L.CONNECTORS_FR))), d.size(d.filter(lowered, "s", starts(L.CONNECTORS_EN)))),
         "triples": f"({d.count(r'(?i)[a-zà-ÿ0-9_’-]+,\s+[a-zà-ÿ0-9_’-]+\s+(?:et|and|ou|or)\s+[a-zà-ÿ0-9_’-]+', 't')} + {d.count(r'(?i),\s+[^,.;:\n]{4,60},\s+(?:et|and|ou|or)\s+', 't')})",
-        "listed": d.count(r"(?:[^,.\n:]{2,45},\s+){2,}[^,.\n:]{2,45}\s*:", "t"), "not_only": d.count("(?:ce n'est pas (?:seulement|juste|simplement)|not (?:just|only|merely))", "low"),
+        "listed": f"CASE WHEN contains(t, ':') THEN {d.count(r'(?:[^,.\n:]{2,45},\s+){2,}[^,.\n:]{2,45}\s*:', 't')} ELSE 0 END", "not_only": d.count("(?:ce n'est pas (?:seulement|juste|simplement)|not (?:just|only|merely))", "low"),
         "superlatives": _share(d, "words", L.SUPERLATIVES), "bullets": d.count(rf"(?m)^\s*(?:[-*•]|\d+\.)\s*(?:\*\*)?{_CAP}[^:\n]{{2,40}}\s*:", "t"),
         "concluded": d.count(r"(?m)^\s*(?:#{1,4}\s*)?(?:en )?(?:conclusion|pour conclure|en résumé|en somme|le mot de la fin|final thoughts|wrapping up)(?:[^a-zà-ÿ]|$)", "low"),
         "n_heads": d.size(heads), "q_heads": d.size(d.filter(heads, "h", "trim(h) LIKE '%?'")), "c_heads": d.size(d.filter(heads, "h", "h LIKE '%:%'")),
@@ -135,13 +137,19 @@ def entropy_column(d: Spark) -> str:
     return f"-{d.total(d.map('marks', 'm', 'm / mark_total * log2(m / mark_total)'))}"
 
 
-def repetition_columns(rows: DataFrame, key: str) -> DataFrame:
-    """(key, repeated_fourgrams, top_share): counts of 4-grams and long words, by aggregation over exploded tokens."""
-    grams = rows.select(F.col(key).alias("key"), F.explode(T.hashed_windows(F.col("words"), 4)).alias("g")).groupBy("key", "g").agg(F.count("*").alias("c"))
-    four = grams.groupBy("key").agg((F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)) / F.sum("c")).alias("repeated_fourgrams"))
-    longer = rows.select(F.col(key).alias("key"), F.explode(F.filter("words", lambda w: F.length(w) >= 5)).alias("w")).groupBy("key", "w").agg(F.count("*").alias("c"))
-    top = longer.groupBy("key").agg((F.max("c") / F.sum("c")).alias("top_share"))
-    return rows.join(four, rows[key] == four["key"], "left").drop("key").join(top, rows[key] == top["key"], "left").drop("key").withColumn("repeated_fourgrams", F.coalesce("repeated_fourgrams", F.lit(0.0)))
+def repetition_columns(rows: DataFrame) -> DataFrame:
+    """Adds repeated_fourgrams and top_share: counts of 4-grams and of words of five letters or more, inside each row."""
+    same = lambda h, i: (F.get(h, i) == F.get(h, i - 1)) | (F.get(h, i) == F.get(h, i + 1))
+    positions = lambda h: F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
+    # neighbours in sorted order; bound to a lambda variable, so that the array is sorted once
+    share = lambda h: F.try_divide(F.size(F.filter(positions(h), lambda i: F.coalesce(same(h, i), F.lit(False)))).cast("double"), F.size(h).cast("double"))
+    four = F.transform(F.array(F.array_sort(T.hashed_windows(F.col("words"), 4))), share)[0]
+    run = lambda a, w: F.when(w == a["last"], a["run"] + 1).otherwise(F.lit(1).cast("bigint"))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("most"))
+    step = lambda a, w: F.struct(w.alias("last"), run(a, w).alias("run"), F.greatest(a["most"], run(a, w)).alias("most"))
+    most = lambda ws: F.try_divide(F.aggregate(ws, start, step, lambda a: a["most"]).cast("double"), F.size(ws).cast("double"))
+    top = F.transform(F.array(F.array_sort(F.filter("words", lambda w: F.length(w) >= 5))), most)[0]
+    return rows.withColumns({"repeated_fourgrams": F.coalesce(four, F.lit(0.0)), "top_share": top})
 
 
 def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -151,11 +159,11 @@ def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tup
     for step in (shape_columns(d), count_columns(d), lexical_columns(d)):
         out = out.withColumns({n: F.expr(e) for n, e in step.items()})
     out = out.withColumn("mark_total", F.greatest(F.aggregate("marks", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))).withColumn("entropy", F.expr(entropy_column(d)))
-    return repetition_columns(out, key)
+    return repetition_columns(out)
 
 
 def rejected(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, word_count) of texts that are too short to score."""
+    """(key, word_count) of texts that are too short to score; a null text has no words and is one of them."""
     return docs.select(key, F.size(T.wide_words(F.trim(F.col(text)))).cast("bigint").alias("word_count")).filter(F.col("word_count") < MIN_WORDS)
 
 

@@ -11,10 +11,11 @@ from quillspan.operators import stylometry as S
 from quillspan.operators.dialect import Oracle
 from quillspan.plans.texts import TITLE, _titles
 from quillspan.sources.fixtures import view
+from quillspan.workspace import spread
 
 
 def _docs(s, d):
-    return view(s, d, "documents")
+    return spread(view(s, d, "documents"))
 
 
 QUERIES = {f"text_signals_{f.lower()}": (lambda s, d, f=f: S.family(S.score_signals(_docs(s, d)), f)) for f in S.FAMILIES} | {

@@ -50,3 +50,9 @@ BROADCAST_ROWS = 1_000_000
 def few(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``keys``, a written table of narrow rows, with a broadcast hint where its count allows it."""
     return F.broadcast(keys) if keys.count() <= rows else keys
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in fewer partitions than there are cores is dealt over them; a larger one stays as it is. For heavy work per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -256,12 +256,34 @@ def test_nearest_without_neighbours(spark):
     assert {(r.place_id, r.neighbour) for r in geo.nearest(df).collect()} == {(1, 2), (2, 1)}
 
 
+def test_nearest_at_the_date_line_the_poles_and_equal_coordinates(spark):
+    """Against all pairs: the 180th meridian, both poles, a crowd at one point, far islands."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    at = [(rng.uniform(-2, 2), rng.choice([179.99, -179.99, 180.0, -180.0]) + rng.uniform(-0.005, 0.005)) for _ in range(20)]
+    at += [(rng.choice([89.9, -89.9]) + rng.uniform(-0.1, 0.1), rng.uniform(-180, 180)) for _ in range(20)] + [(48.0, 2.0)] * 12 + [(rng.uniform(-60, 60), rng.uniform(-180, 180)) for _ in range(40)]
+
+    def km(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h)))
+
+    got = geo.nearest(spark.createDataFrame([(i, *p) for i, p in enumerate(at)] + [(999, None, 1.0)], "place_id long, lat double, lng double"))
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString()
+    want = {(i, r + 1): round(d, 4) for i, a in enumerate(at) for r, d in enumerate(sorted(km(a, b) for j, b in enumerate(at) if j != i)[:5])}
+    rows = got.collect()
+    assert len(rows) == len(want) and all(abs(r["km"] - want[r["place_id"], r["rank"]]) <= 0.0501 for r in rows)
+    crowd = range(40, 52)
+    assert all([r["neighbour"] for r in sorted(rows, key=lambda r: r["rank"]) if r["place_id"] == i] == [j for j in crowd if j != i][:5] for i in crowd)
+
+
 def test_style_scores_stay_in_range(spark):
     text = "De plus, il est important de noter que tout va bien. " * 30
     rows = spark.createDataFrame([(1, text), (2, "short text"), (3, None)], "doc_id long, text string")
     r = stylometry.text_scores(rows).collect()
     assert [x.doc_id for x in r] == [1] and 0 <= r[0].score <= 100 and r[0].fam_b == 28.6
-    assert {x.doc_id for x in stylometry.rejected(rows).collect()} == {2}
+    assert {x.doc_id: x.word_count for x in stylometry.rejected(rows).collect()} == {2: 2, 3: 0}  # null: no words
     assert stylometry.evidence(stylometry.sentence_labels(rows)).count() == 6
 
 
