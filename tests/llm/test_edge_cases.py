@@ -67,6 +67,20 @@ def test_warc_odd_rows(spark):
     assert warc.read_archives(spark, warc.resolve_revisits(spark, warc.write_archives(empty))).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_warc_null_and_equal_ids(spark, monkeypatch, broadcast):
+    """Every row comes back once; a null id is no original while another has the payload; equal ids have one response."""
+    monkeypatch.setattr(warc, "BROADCAST_VERDICTS", broadcast)
+    long, other = "x" * 1500, "y" * 1200
+    rows = [(None, "a", long), (4, "b", long), (2, "c", long), (7, "d", other), (7, "e", other), (None, "f", "z" * 1100), (None, "g", "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.read_archives(spark, warc.resolve_revisits(spark, warc.write_archives(pages)), with_payload=True).collect()
+    shown = sorted((r["uri"], r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got if r["uri"] not in "de")
+    assert shown == [("a", None, "revisit", 4, 1500), ("b", 4, "response", None, 1500), ("c", 2, "revisit", 4, 1500), ("f", None, "response", None, 1100), ("g", None, "response", None, 5)]
+    twins = sorted((r["record_type"], r["refers_to"]) for r in got if r["uri"] in "de")
+    assert twins == [("response", None), ("revisit", 7)] and {r["payload"] for r in got if r["record_type"] == "response"} == {long, other, "z" * 1100, "short"}
+
+
 def test_pipeline_stages_on_odd_rows(spark, sf_dir):
     import corpus_pipeline
 
