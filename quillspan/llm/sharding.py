@@ -93,7 +93,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
         .select("bucket", "bytes", "group_key")
         .mapInArrow(_bucket_filler(loads, buckets), "group_key binary, shard int")
     )
-    placed_rows = materialize(rows.join(first.unionByName(small), "group_key").select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
+    # the few large groups are broadcast: a text that a third of all rows share stays where its rows are
+    first = F.broadcast(first)
+    held = rows.join(first, "group_key").unionByName(rows.join(first, "group_key", "left_anti").join(small, "group_key"))
+    placed_rows = materialize(held.select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
     # slots: a salt by id splits every shard, however many of its rows are copies of one text
     salts = max(1, -(-n_rows // SLOT_ROWS))
     salted = placed_rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
