@@ -162,12 +162,13 @@ def anchor_table(rows: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataF
     return rows.select("text").mapInArrow(_anchors(length, k), ANCHOR_DDL)
 
 
-CUT_DDL = "key long, digest long, windows int, segment binary"
+PLAIN_DDL = "key long, digest long, windows int, segment binary"
+CUT_DDL = f"{PLAIN_DDL}, hot boolean"
 
 
 def _cutter(batches):
     """Cuts the wanted segments out of each text, once for copies that stand together."""
-    names, kinds = ["key", "digest", "windows", "segment"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names, kinds = ["key", "digest", "windows", "segment", "hot"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
     seen: set[int] = set()
     for batch in batches:
         cols = [[] for _ in names]
@@ -176,7 +177,7 @@ def _cutter(batches):
                 continue
             seen.add(h)
             for w in wanted:
-                for c, v in zip(cols, (w["key"], w["digest"], w["windows"], text[w["start"] : w["start"] + w["size"]])):
+                for c, v in zip(cols, (w["key"], w["digest"], w["windows"], text[w["start"] : w["start"] + w["size"]], w["hot"])):
                     c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
@@ -298,7 +299,7 @@ def _dealt_again(hot: DataFrame, length: int, k: int, fit: int) -> DataFrame:
         last = depth == len(LEVELS) - 1
         wanted = known.filter("different > 1").filter(F.lit(False) if last else F.col("different") <= fit)
         asked = wanted.select(*(f"at.{c}" for c in SEGMENT), F.struct("key", "content", "at.n", "at.low").alias("w")).groupBy(*SEGMENT).agg(F.collect_list("w").alias("wanted"))
-        cut = hot.join(asked, SEGMENT).select("segment", "wanted").mapInArrow(_slices(length), CUT_DDL)
+        cut = hot.join(asked, SEGMENT).select("segment", "wanted").mapInArrow(_slices(length), PLAIN_DDL)
         indexed = index_segments(cut, length).select("key", F.col("digest").alias("content"), F.col("low").alias("a"), F.col("high").alias("b"))
         hits = materialize(whole.unionByName(indexed), "repeat-piece-hits")
         found.append(pieces.join(hits, ["key", "content"]).select(*SEGMENT, (F.col("low") + F.col("a")).alias("low"), (F.col("low") + F.col("b")).alias("high")))
@@ -343,21 +344,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     crowded = materialize(several.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > fit).select("anchor", F.lit(True).alias("hot")), "repeat-hot-anchors")
     n_crowded = crowded.count()
     marked = several.join(F.broadcast(crowded) if n_crowded <= BROADCAST_KEYS else crowded, "anchor", "left")
-    wanted = marked.select(
+    asked = marked.select(
         F.col("at.text_hash").alias("text_hash"),
-        F.struct(F.col("anchor").alias("key"), "digest", "windows", F.col("at.start").alias("start"), (F.col("windows") + length - 1).alias("size")).alias("w"),
-        F.coalesce("hot", F.lit(False)).alias("hot"),
+        F.struct(F.col("anchor").alias("key"), "digest", "windows", F.coalesce("hot", F.lit(False)).alias("hot"), F.col("at.start").alias("start"), (F.col("windows") + length - 1).alias("size")).alias("w"),
     )
-
-    def cut(which):
-        asked = materialize(which.groupBy("text_hash").agg(F.collect_list("w").alias("wanted")), "repeat-wanted")
-        texts = hashed.filter(F.octet_length("text") >= length)
-        return texts.join(asked, "text_hash").select("text_hash", "text", "wanted").mapInArrow(_cutter, CUT_DDL)
-
-    found = materialize(index_segments(cut(wanted.filter("not hot")), length).withColumnRenamed("key", "anchor"), "repeat-indexed")
+    asked = materialize(asked.groupBy("text_hash").agg(F.collect_list("w").alias("wanted")), "repeat-wanted")
+    texts = hashed.filter(F.octet_length("text") >= length)
+    # one pass over the texts for hot anchors and others; segments are written, as both ways read them
+    cut = materialize(texts.join(asked, "text_hash").select("text_hash", "text", "wanted").mapInArrow(_cutter, CUT_DDL), "repeat-segments")
+    found = materialize(index_segments(cut.filter("not hot").drop("hot"), length).withColumnRenamed("key", "anchor"), "repeat-indexed")
     if n_crowded:
-        hot = materialize(cut(wanted.filter("hot")).withColumnRenamed("key", "anchor").dropDuplicates(SEGMENT), "repeat-hot")
-        found = found.unionByName(_dealt_again(hot, length, k, fit))
+        hot = cut.filter("hot").select(F.col("key").alias("anchor"), "digest", "windows", "segment").dropDuplicates(SEGMENT)
+        found = found.unionByName(_dealt_again(materialize(hot, "repeat-hot"), length, k, fit))
     parts = found.groupBy(*SEGMENT).agg(F.collect_list(F.struct("low", "high")).alias("parts"))
     whole = F.array(F.struct(F.lit(0).alias("low"), F.col("windows").alias("high")))
     verdict = materialize(
