@@ -212,9 +212,10 @@ def suggestions(m: DataFrame, links: DataFrame, home, per_donor: int = 8, limit:
     budget = Window.partitionBy("donor").orderBy(F.desc("impact"), "target")
     kept = materialize(scored.withColumn("_n", F.row_number().over(budget)).filter(F.col("_n") <= per_donor).drop("_n"), "suggest-kept")
     n = kept.count()
-    ordered = kept.orderBy(F.desc("impact"), "target").limit(max(limit, n // 2 + 1)).select("impact")
-    ranked = ordered.withColumn("r", F.row_number().over(Window.orderBy(F.desc("impact"))))
-    cut = ranked.agg(F.max(F.when(F.col("r") == (max(1, n // 5) if n > 5 else 1), F.col("impact"))).alias("hi"), F.max(F.when(F.col("r") == max(1, n // 2), F.col("impact"))).alias("mid"))
+    # exact order statistics from counts per value: impacts have one decimal, so values are far fewer than rows
+    values = kept.groupBy("impact").agg(F.count("*").alias("c")).withColumn("up_to", F.sum("c").over(Window.orderBy(F.desc("impact"))))
+    at = lambda r: F.max(F.when(F.col("up_to") >= r, F.col("impact")))
+    cut = values.agg(at(max(1, n // 5) if n > 5 else 1).alias("hi"), at(max(1, n // 2)).alias("mid"))
     return (
         kept.orderBy(F.desc("impact"), "target").limit(limit).crossJoin(F.broadcast(cut))
         .select("donor", "target", "impact", "reason", F.when(F.col("impact") >= F.col("hi"), "high").when(F.col("impact") >= F.col("mid"), "medium").otherwise("low").alias("priority"))

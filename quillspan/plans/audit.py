@@ -11,6 +11,7 @@ from quillspan.operators import audit as A
 from quillspan.operators import extract as X
 from quillspan.operators import indexation as I
 from quillspan.sources.fixtures import oracle, view
+from quillspan.workspace import spread
 
 
 def lit(s: str) -> str:
@@ -118,7 +119,7 @@ QUERIES = {
     "language_histogram": lambda s, d: A.language_histogram(X.head(_pages(s, d))),
     "title_h1_match": lambda s, d: X.head(_pages(s, d)).join(X.headings(_pages(s, d)), "page_id").select("page_id", A.title_h1_match(F.col("title"), F.col("h1")).alias("matches")),
     "url_list": lambda s, d: A.url_list(_pages(s, d)),
-    "language_detect": lambda s, d: A.detect_language(view(s, d, "documents")).select("doc_id", "language"),
+    "language_detect": lambda s, d: A.detect_language(spread(view(s, d, "documents"))).select("doc_id", "language"),
     "document_slugs": lambda s, d: view(s, d, "part").select("p_partkey", T.slugify(F.col("p_name")).alias("slug")),
     "document_folded": lambda s, d: view(s, d, "documents").select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded_md5"), T.short_key(F.col("text")).alias("short_key"), T.word_count(F.col("text")).alias("n_words"), F.size(T.wide_words(F.col("text"))).alias("n_wide_words")),
     "index_rate_by_language": lambda s, d: I.rate_by_language(view(s, d, "fx_coverage")),

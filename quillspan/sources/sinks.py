@@ -30,14 +30,19 @@ def merge_keywords(snapshot: DataFrame, current: DataFrame, previous: DataFrame)
     )
 
 
+FILE_ROWS = 5_000_000
+#: Entries that one sitemap file may hold by the sitemap protocol.
+SITEMAP_URLS = 50_000
+
+
 def history_rows(current: DataFrame, recorded) -> DataFrame:
     """One history row for each synced keyword; ``recorded`` is a date column or literal."""
     return current.select("site_id", F.col("query").alias("keyword"), "position", "impressions", "clicks", recorded.alias("recorded_date"))
 
 
 def append_history(rows: DataFrame, path: str) -> None:
-    """Append, one folder per day, so that a day's rows are read alone."""
-    rows.repartition("recorded_date").write.mode("append").partitionBy("recorded_date").parquet(path)
+    """Append, one folder per day, so that a day's rows are read alone; a large day is cut into several tasks and files."""
+    rows.hint("rebalance", "recorded_date").write.mode("append").option("maxRecordsPerFile", FILE_ROWS).partitionBy("recorded_date").parquet(path)
 
 
 def append_actions(candidates: DataFrame, path: str) -> None:
@@ -72,8 +77,9 @@ def sitemap_index(urls: DataFrame) -> DataFrame:
 
 
 def write_sitemaps(urls: DataFrame, path: str) -> DataFrame:
-    """Text files of <url> entries, one folder per segment; returns the index rows."""
-    urls.select("segment", url_entry(F.col("loc"), F.col("lastmod")).alias("value")).repartition("segment").write.mode("overwrite").partitionBy("segment").text(path)
+    """Text files of at most SITEMAP_URLS <url> entries, one folder per segment; returns the index rows."""
+    entries = urls.select("segment", url_entry(F.col("loc"), F.col("lastmod")).alias("value")).hint("rebalance", "segment")
+    entries.write.mode("overwrite").option("maxRecordsPerFile", SITEMAP_URLS).partitionBy("segment").text(path)
     return sitemap_index(urls)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "file:///tmp/checkpoints/quillspan"
+_written: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,7 +29,19 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder; for when results have been read or written. Returns the number of folders."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:

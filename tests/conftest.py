@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from quillspan.workspace import cleanup  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,6 +21,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    cleanup(session)
     session.stop()
 
 
