@@ -17,7 +17,7 @@ match nothing.  Equal items are all reported.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -42,83 +42,87 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def shingles(words: list[bytes], width: int = SHINGLE) -> list[tuple[bytes, ...]]:
-    if not words:
-        return []
-    return list(zip(*(words[k:] for k in range(width)))) if len(words) >= width else [tuple(words)]
+def shingle_keys(h: np.ndarray, width: int) -> np.ndarray:
+    """Keys of all runs of ``width`` words from the words' hashes."""
+    n = len(h) - width + 1
+    key = np.zeros(max(n, 0), np.uint64)
+    for k in range(width):
+        key = key * _FACTOR + h[k : n + k]
+    return key
 
 
-def weighted_similarity(a: Counter, b: Counter) -> float:
-    low = sum(min(n, b[s]) for s, n in a.items() if s in b)
-    high = sum(a.values()) + sum(b.values()) - low
-    return low / high if high else 0.0
-
-
-def _bits(shingle: tuple[bytes, ...]) -> np.ndarray:
-    value = xxhash.xxh64(b" ".join(shingle), seed=7).digest()
-    return np.unpackbits(np.frombuffer(value, np.uint8)).astype(np.int32) * 2 - 1
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """64 signs of each shingle."""
+    x = (keys ^ (keys >> np.uint64(31))) * _FACTOR
+    x ^= x >> np.uint64(29)
+    return np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
 
 
 def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=-1)
 
 
-_WITHIN = {r: [[x for x in range(256) if (x ^ v).bit_count() <= r] for v in range(256)] for r in range(RADIUS // 8 + 1)}
+def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Sum of smaller over sum of larger multiplicities of two bags (keys in ascending order, counts)."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    low = int(np.minimum(a[1][i], b[1][j]).sum())
+    high = int(a[1].sum()) + int(b[1].sum()) - low
+    return low / high if high else 0.0
+
+
+_WITHIN = {r: np.array([[x for x in range(256) if (x ^ v).bit_count() <= r] for v in range(256)], np.uint8) for r in range(RADIUS // 8 + 1)}
 
 
 class ItemIndex:
-    """Fingerprints of one block of items, with multi-index tables per item length."""
+    """Fingerprints of one block of items with multi-index tables per item length, all in flat arrays.
+
+    Beside the dictionary of words an item costs 12 bytes a shingle and, at
+    radius 20, 1.2 KB of postings.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]], width: int = SHINGLE, radius: int = RADIUS):
         self.width, self.radius = width, radius
-        self.ids, self.bags, self.lengths = [], [], []
-        self.by_length: dict[int, list[int]] = defaultdict(list)
-        self.lengths_of: dict[tuple, set[int]] = defaultdict(set)
-        codes: dict[bytes, int] = {}
-        fps = []
+        self.codes: dict[bytes, int] = {}
+        held = []
         for item_id, text in items:
             words = words_of(text)
-            if not words:
-                continue
-            bag = Counter(shingles(words, width))
-            k = len(self.ids)
-            self.ids.append(item_id), self.bags.append(bag), self.lengths.append(len(words))
-            self.by_length[len(words)].append(k)
-            for s in bag:
-                self.lengths_of[s].add(len(words))
-            for w in words:
-                codes.setdefault(w, len(codes) + 1)
-            fps.append(_pack(sum(_bits(s) * n for s, n in bag.items())))
-        self.codes = codes
+            if words:
+                held.append((item_id, np.fromiter((self.codes.setdefault(w, len(self.codes) + 1) for w in words), np.int32, len(words))))
+        self.ids = [i for i, _ in held]
+        self.word_hash = np.random.default_rng(3).integers(1, 1 << 63, len(self.codes) + 1, dtype=np.uint64)
+        lengths = np.array([len(w) for _, w in held], np.int32)
+        self.bags, fps, by_width = [], [], defaultdict(list)
+        for (_, words), n in zip(held, lengths.tolist()):
+            w = min(width, n)
+            keys, counts = np.unique(shingle_keys(self.word_hash[words], w), return_counts=True)
+            self.bags.append((keys, counts.astype(np.int32)))
+            fps.append(_pack((_bits(keys) * counts[:, None]).sum(axis=0)))
+            by_width[w].append((keys, n))
         self.fps = np.array(fps, np.uint8).reshape(-1, 8)
-        rng = np.random.default_rng(3)
-        self.word_hash = rng.integers(1, 1 << 63, len(codes) + 1, dtype=np.uint64)
-        # widths: full shingles, and the whole of each item that is shorter
-        self.keys: dict[int, np.ndarray] = {}
-        for s in self.lengths_of:
-            ids = np.array([codes[w] for w in s])
-            self.keys.setdefault(len(s), []).append(int(self._keys(ids, len(s))[0]))
-        self.keys = {w: np.unique(np.array(v, np.uint64)) for w, v in self.keys.items()}
-        flips = radius // 8
-        self.tables: dict[int, list[list[list[int]]]] = {}
-        for n, own in self.by_length.items():
-            tables = [[[] for _ in range(256)] for _ in range(8)]
-            for k in own:
-                for b in range(8):
-                    for v in _WITHIN[flips][int(self.fps[k, b])]:
-                        tables[b][v].append(k)
-            self.tables[n] = tables
-
-    def _keys(self, ids: np.ndarray, width: int) -> np.ndarray:
-        h = self.word_hash[ids]
-        n = len(ids) - width + 1
-        key = np.zeros(max(n, 0), np.uint64)
-        for k in range(width):
-            key = key * _FACTOR + h[k : n + k]
-        return key
+        self.fps64 = self.fps.view(np.uint64).ravel()
+        #: per shingle width: keys, and the item lengths of each as (offsets, lengths)
+        self.keys, self.key_lengths = {}, {}
+        for w, own in by_width.items():
+            key, n = np.concatenate([k for k, _ in own]), np.concatenate([np.full(len(k), n, np.int32) for k, n in own])
+            order = np.lexsort((n, key))
+            key, n = key[order], n[order]
+            fresh = np.append(True, (key[1:] != key[:-1]) | (n[1:] != n[:-1]))
+            key, n = key[fresh], n[fresh]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            self.keys[w], self.key_lengths[w] = key[first], (np.append(first, len(key)), n)
+        self.tables = {}
+        near = _WITHIN[radius // 8]
+        for n in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == n).astype(np.int32)
+            blocks = []
+            for b in range(8):
+                values = near[self.fps[own, b]]
+                order = np.argsort(values.ravel(), kind="stable")
+                blocks.append((np.repeat(own, values.shape[1])[order], np.searchsorted(values.ravel()[order], np.arange(257))))
+            self.tables[n] = blocks
 
     def seeds(self, ids: np.ndarray) -> dict[int, np.ndarray]:
-        """By shingle width, the word positions whose shingle may be an item's."""
+        """By shingle width, the word positions whose shingle is an item's."""
         known = (ids > 0).astype(np.int32)
         run = np.concatenate([[0], np.cumsum(known)])
         out = {}
@@ -127,7 +131,7 @@ class ItemIndex:
                 continue
             at = np.flatnonzero(run[width:] - run[:-width] == width)
             if len(at):
-                key = self._keys(ids, width)[at]
+                key = shingle_keys(self.word_hash[ids], width)[at]
                 slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 at = at[keys[slot] == key]
             if len(at):
@@ -136,41 +140,39 @@ class ItemIndex:
 
     def near(self, length: int, fp: np.ndarray) -> list[int]:
         """Items of a length whose fingerprints are within the radius."""
-        tables, found = self.tables[length], set()
-        for b in range(8):
-            found.update(tables[b][int(fp[b])])
-        return [k for k in sorted(found) if int(np.unpackbits(self.fps[k] ^ fp).sum()) <= self.radius]
+        found = [order[off[v] : off[v + 1]] for (order, off), v in zip(self.tables[length], fp.tolist())]
+        found = np.unique(np.concatenate(found))
+        return found[np.bitwise_count(self.fps64[found] ^ fp.view(np.uint64)[0]) <= self.radius].tolist()
 
-    def search(self, words: list[bytes], seeds: dict[int, list[int]], threshold: float):
+    def search(self, words: list[bytes], ids: np.ndarray, seeds: dict[int, list[int]], threshold: float):
         """Best window of each item: {item position: (similarity, start, length, windows over the threshold)}."""
         best: dict[int, tuple[float, int, int, int]] = {}
         starts: dict[int, set[int]] = defaultdict(set)
         n = len(words)
+        h = self.word_hash[ids]
+        for i in np.flatnonzero(ids == 0).tolist():  # words that no item has
+            h[i] = xxhash.xxh64_intdigest(words[i], 7)
         for width, positions in seeds.items():
-            for p in positions:
-                for length in self.lengths_of.get(tuple(words[p : p + width]), ()):
+            offsets, lengths = self.key_lengths[width]
+            slots = np.searchsorted(self.keys[width], shingle_keys(h, width)[positions])
+            for p, slot in zip(positions, slots.tolist()):
+                for length in lengths[offsets[slot] : offsets[slot + 1]].tolist():
                     if length >= n:
                         starts[length].add(0)
                     else:
                         starts[length].update(range(max(0, p - max(0, length - width)), min(p, n - length) + 1))
-        cache: dict[tuple, np.ndarray] = {}
         for length, own in starts.items():
             size, width = min(length, n), min(length, n, self.width)
-            for run in _runs(sorted(own)):
-                first, last = run
-                grams = shingles(words[first : last + size], width) if size >= width else []
-                for s in grams:
-                    if s not in cache:
-                        cache[s] = _bits(s)
-                bits = np.array([cache[s] for s in grams])
-                sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(bits, axis=0)])
-                per = size - width + 1
+            per = size - width + 1
+            for first, last in _runs(sorted(own)):
+                keys = shingle_keys(h[first : last + size], width)
+                sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(_bits(keys), axis=0)])
                 fps = _pack(sums[per:] - sums[:-per])
                 for k in range(last - first + 1):
                     close = self.near(length, fps[k])
                     if not close:
                         continue
-                    bag = Counter(grams[k : k + per])
+                    bag = np.unique(keys[k : k + per], return_counts=True)
                     for item in close:
                         sim = weighted_similarity(self.bags[item], bag)
                         if sim >= threshold:
@@ -218,7 +220,7 @@ def _scan_batch(index: ItemIndex, texts: list[bytes], threshold: float) -> list[
             for d, p in zip(doc.tolist(), positions.tolist()):
                 found[d].setdefault(width, []).append(p - (ends[d - 1] if d else 0))
         for d, seeds in found.items():
-            out[group[d]] = index.search(words[d], seeds, threshold)
+            out[group[d]] = index.search(words[d], ids[ends[d - 1] if d else 0 : ends[d] - 1], seeds, threshold)
     return out
 
 
