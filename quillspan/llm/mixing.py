@@ -16,6 +16,8 @@ id's draw.  A corpus without tokens keeps every document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,11 +62,14 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("n_tokens", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")).withColumn("topic", topic(text))
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``fitted``: tokens raked to the tempered marginals.
+def rake(cells: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with ``fitted``: tokens raked to target marginals, and the targets in tokens.
 
-    A marginal's target share is its present share to the power ``temper``, made
-    to sum to 1.  Each step is one window per marginal over the cell table, and the table is
+    ``targets`` names shares by marginal and value, as ``{"lang": {"en": 0.6}}``.
+    Values not named share what the named ones leave, in proportion to their
+    present shares to the power ``temper``; a marginal not named is tempered as a
+    whole.  Shares of values that do not occur are given to the others in
+    proportion.  Each step is one window per marginal over the cell table, and the table is
     written every CUT_ROUNDS rounds, so plans and lineage stay short.
     """
     everything = Window.partitionBy(F.lit(0))
@@ -72,6 +77,12 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER) -> Data
     for m in MARGINS:
         own = Window.partitionBy(m)
         raw = F.pow(F.sum("tokens").over(own) / F.col("total"), F.lit(temper))
+        if named := (targets or {}).get(m):
+            given = F.create_map(*(F.lit(x) for pair in named.items() for x in (pair[0], float(pair[1]))))[F.col(m)]
+            out = out.withColumn("_given", given).withColumn("_other", F.when(F.col("_given").isNull(), raw)).withColumn("_own", F.sum("tokens").over(own))
+            others = F.sum(F.col("_other") * F.col("tokens") / F.col("_own")).over(everything)
+            out = out.withColumn("_raw", F.coalesce("_given", F.lit(max(0.0, 1.0 - sum(named.values()))) * F.col("_other") / others)).drop("_given", "_other", "_own")
+            raw = F.col("_raw")
         # each value's raw share counts once: divide it among its cells by tokens
         out = out.withColumn("_raw", raw).withColumn("_part", F.col("_raw") * F.col("tokens") / F.sum("tokens").over(own))
         out = out.withColumn(f"target_{m}", F.col("_raw") / F.sum("_part").over(everything) * F.col("total")).drop("_raw", "_part")
@@ -80,7 +91,13 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER) -> Data
             out = out.withColumn("fitted", F.col("fitted") * F.col(f"target_{m}") / F.sum("fitted").over(Window.partitionBy(m)))
         if i % CUT_ROUNDS == CUT_ROUNDS - 1:
             out = materialize(out, "mix-rake")
-    return out.select(*MARGINS, "tokens", "total", "fitted")
+    return out.select(*MARGINS, "tokens", "total", "fitted", *(f"target_{m}" for m in MARGINS))
+
+
+def marginal_errors(raked: DataFrame) -> DataFrame:
+    """(margin, value, target, fitted) as shares of all tokens: how far each marginal of rake()'s result is from its target."""
+    each = [raked.groupBy(F.col(m).alias("value")).agg((F.first(f"target_{m}") / F.first("total")).alias("target"), (F.sum("fitted") / F.first("total")).alias("fitted")).select(F.lit(m).alias("margin"), "value", "target", "fitted") for m in MARGINS]
+    return reduce(DataFrame.unionByName, each)
 
 
 def calibrate(raked: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
@@ -112,11 +129,11 @@ def draw(id_col: str, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_share: float = KEEP_SHARE, rounds: int = ROUNDS, temper: float = TEMPER, features: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_share: float = KEEP_SHARE, rounds: int = ROUNDS, temper: float = TEMPER, features: DataFrame | None = None, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """All rows of ``docs`` with n_tokens, topic, weight (raked over present tokens), probability and kept."""
     rows = with_features(docs, text_col) if features is None else features
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
-    fitted = materialize(calibrate(rake(cells, rounds, temper), keep_share), "mix-cells").withColumnsRenamed({m: f"cell_{m}" for m in MARGINS})
+    fitted = materialize(calibrate(rake(cells, rounds, temper, targets), keep_share), "mix-cells").withColumnsRenamed({m: f"cell_{m}" for m in MARGINS})
     same = [rows[m].eqNullSafe(fitted[f"cell_{m}"]) for m in MARGINS]
     if fitted.count() <= BROADCAST_CELLS:
         joined = rows.join(F.broadcast(fitted), same, "left")

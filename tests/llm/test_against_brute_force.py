@@ -271,6 +271,18 @@ def test_mixing_meets_marginals_and_budget(spark, sf_dir):
     assert abs(expected / tokens - mixing.KEEP_SHARE) < 0.01
 
 
+def test_mixing_at_the_shipped_rounds_and_with_given_targets(spark, sf_dir):
+    docs = mixing.with_features(spark.read.parquet(f"{sf_dir}/documents.parquet").drop("n_chars"))
+    cells = docs.groupBy(*mixing.MARGINS).agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "tokens")
+    errors = mixing.marginal_errors(mixing.rake(cells)).collect()
+    assert max(abs(r["target"] - r["fitted"]) for r in errors) < 1e-3
+    languages = sorted({r["value"] for r in errors if r["margin"] == "lang"})
+    wanted = {languages[0]: 0.5, languages[1]: 0.2, "no such language": 0.0}
+    got = {r["value"]: r for r in mixing.marginal_errors(mixing.rake(cells, rounds=40, targets={"lang": wanted})).filter("margin = 'lang'").collect()}
+    assert all(abs(got[x]["target"] - wanted[x]) < 1e-9 for x in languages[:2]) and abs(sum(r["target"] for r in got.values()) - 1) < 1e-9
+    assert max(abs(r["target"] - r["fitted"]) for r in got.values()) < 1e-3
+
+
 def test_mixing_by_shuffle_equals_broadcast(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     one = sorted(tuple(r) for r in mixing.mix(docs).select("doc_id", "probability", "kept").collect())
