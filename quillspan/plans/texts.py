@@ -72,12 +72,13 @@ WITH a AS (SELECT conv_id, turn, conv_id % 4 AS platform, text, lower(text) AS l
 ORACLES = {
     "near_duplicates": SETS + f"""
 , f AS (SELECT doc_id, list_sort(sh) AS sh, len(sh) AS n FROM s WHERE len(sh) > 0), c AS (SELECT *, min(doc_id) OVER (PARTITION BY sh) AS class_id FROM f)
-, c2 AS (SELECT *, min(CASE WHEN doc_id <> class_id THEN doc_id END) OVER (PARTITION BY sh) AS second FROM c)
+, c2 AS (SELECT *, min(CASE WHEN doc_id <> class_id THEN doc_id END) OVER (PARTITION BY sh) AS second, count(*) OVER (PARTITION BY sh) AS members FROM c)
 , x AS (SELECT doc_id, n, unnest(sh) AS h FROM c2 WHERE doc_id = class_id)
 , j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS j FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE >= 0.8)
 , bst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY j DESC, b) AS r FROM j) WHERE r = 1)
-SELECT doc_id, CASE WHEN second IS NOT NULL THEN CASE WHEN doc_id = class_id THEN second ELSE class_id END ELSE bst.b END AS partner, CASE WHEN second IS NOT NULL THEN 100 ELSE {R('coalesce(bst.j, 0.0) * 100.0::DOUBLE')}::INT END AS similarity
-FROM c2 LEFT JOIN bst ON bst.a = class_id UNION ALL SELECT doc_id, NULL, 0 FROM s WHERE len(sh) = 0 OR sh IS NULL""",
+, lk AS (SELECT j.a, sum(h.members) AS near FROM j JOIN c2 h ON h.doc_id = j.b GROUP BY j.a)
+SELECT doc_id, CASE WHEN second IS NOT NULL THEN CASE WHEN doc_id = class_id THEN second ELSE class_id END ELSE bst.b END AS partner, CASE WHEN second IS NOT NULL THEN 100 ELSE {R('coalesce(bst.j, 0.0) * 100.0::DOUBLE')}::INT END AS similarity, class_id, (members - 1 + coalesce(lk.near, 0))::BIGINT AS n_links
+FROM c2 LEFT JOIN bst ON bst.a = class_id LEFT JOIN lk ON lk.a = class_id UNION ALL SELECT doc_id, NULL, 0, doc_id, 0 FROM s WHERE len(sh) = 0 OR sh IS NULL""",
     "title_near_duplicates": TITLE + f"""
 , c AS (SELECT *, min(doc_id) OVER (PARTITION BY ws) AS class_id FROM f), h AS (SELECT * FROM c WHERE doc_id = class_id)
 , x AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM h)

@@ -243,6 +243,17 @@ def test_similarity_is_symmetric_and_finds_near_copies(spark):
     assert got == {1: (3, 100), 3: (1, 100), 2: (1, 99), 4: (None, 0), 5: (None, 0), 6: (None, 0)}
 
 
+def test_links_between_groups_of_copies_are_counted(spark):
+    """Two groups of copies near each other: every link shows in the counts, copies or not; against all pairs."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base)] * 3 + [" ".join(base + ["tail"])] * 2 + [" ".join(["head"] + base)] + ["other words here only once", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    sets = [{tuple((t or "").split()[i : i + 5]) for i in range(len((t or "").split()) - 4)} for t in texts]
+    want = {i: (min([j for j, b in enumerate(sets, 1) if a and b == a], default=i), sum(j != i and bool(a & b) and len(a & b) / len(a | b) >= 0.8 for j, b in enumerate(sets, 1))) for i, a in enumerate(sets, 1)}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in similarity.best_partner(rows).collect()} == want
+    assert want[1] == (1, 5) and want[5] == (4, 5) and want[6] == (6, 5)
+
+
 def test_uniqueness_across_runs(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "g", " ".join(f"w{(i // 2) * 10 + j}" for j in range(8))) for i in range(9)], "doc_id long, source string, text string")
     whole = one(similarity.uniqueness(rows, "source"))
