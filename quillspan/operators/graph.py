@@ -184,9 +184,12 @@ def suggestions(m: DataFrame, links: DataFrame, home, per_donor: int = 8, limit:
     language, so the best donors of each sharing group stand for all pages: the
     join is on the group, never target x page.  Each group offers its
     DONORS_PER_GROUP strongest donors; a target already linked by all of a
-    group's takes the next wider group, and at last the home page.  A donor
-    gives at most ``per_donor`` links, those of highest impact (the sequential
-    budget of the original order is not kept, so results do not depend on it).
+    group's takes the next wider group, and at last the home page unless that
+    links it already (so do targets of unknown language).  A donor gives at
+    most ``per_donor`` links, those of highest impact; the home page as the last
+    resort is not bound by that.  The sequential budget of the original order is
+    not kept, so results do not depend on it; targets past a donor's budget get
+    no row.
     """
     m = materialize(m, "suggest-nodes")
     power = F.col("pagerank") / (F.col("followed_out") + 1)
@@ -201,6 +204,12 @@ def suggestions(m: DataFrame, links: DataFrame, home, per_donor: int = 8, limit:
         pairs = part if pairs is None else pairs.unionByName(part)
     open_pairs = pairs.join(links.select(F.col("src").alias("donor"), F.col("dst").alias("target")), ["donor", "target"], "left_anti")
     chosen = open_pairs.groupBy("target").agg(F.min_by(F.struct("donor", "power", "relevance"), F.struct(-F.col("score"), -F.col("relevance"), F.col("donor"))).alias("b")).select("target", "b.*")
+    first = donors.filter(F.col("url").cast("string") == str(home)).select(F.col("url").alias("donor"), "power", *(F.col(c).alias(f"home_{c}") for c in ("cluster", "city", "language")))
+    bare = want.join(chosen.select(F.col("target").alias("url")), "url", "left_anti").crossJoin(F.broadcast(first))
+    bare = bare.join(links.select(F.col("src").alias("donor"), F.col("dst").alias("url")), ["donor", "url"], "left_anti")
+    alike = lambda c, r: F.when((F.col(c) == F.col(f"home_{c}")) & (F.col(c) != ""), r).otherwise(0.0)
+    to_home = F.when(F.col("language") != F.col("home_language"), 0.0).otherwise(0.3 + alike("cluster", 0.5) + alike("city", 0.2))
+    chosen = chosen.withColumn("last", F.lit(False)).unionByName(bare.select(F.col("url").alias("target"), "donor", "power", to_home.alias("relevance"), F.lit(True).alias("last")))
     top_words = m.agg(F.greatest(F.coalesce(F.max("word_count"), F.lit(1)), F.lit(1)).alias("top_words"))
     rows = chosen.join(want.withColumnRenamed("url", "target"), "target").crossJoin(F.broadcast(top_words))
     potential = F.col("word_count") / F.col("top_words") * (1 - F.col("pagerank") / 100.0)
@@ -208,9 +217,10 @@ def suggestions(m: DataFrame, links: DataFrame, home, per_donor: int = 8, limit:
     urgency = 1 + F.coalesce("depth", F.lit(0)) / 4.0 + F.when(lonely, 2.0).otherwise(0.0)
     impact = half_up(potential * F.col("power") * F.greatest("relevance", F.lit(0.1)) * urgency * 100.0, 1)
     reason = F.when(F.col("inlinks") == 0, "orphan").when(F.col("depth").isNull(), "unreachable").when(F.col("depth") >= 4, "deep").otherwise("potential")
-    scored = rows.select("donor", "target", impact.alias("impact"), reason.alias("reason"))
+    scored = rows.select("donor", "target", impact.alias("impact"), reason.alias("reason"), "last")
     budget = Window.partitionBy("donor").orderBy(F.desc("impact"), "target")
-    kept = materialize(scored.withColumn("_n", F.row_number().over(budget)).filter(F.col("_n") <= per_donor).drop("_n"), "suggest-kept")
+    given = scored.filter("NOT last").withColumn("_n", F.row_number().over(budget)).filter(F.col("_n") <= per_donor).drop("_n")
+    kept = materialize(given.unionByName(scored.filter("last")).drop("last"), "suggest-kept")
     n = kept.count()
     # exact order statistics from counts per value: impacts have one decimal, so values are far fewer than rows
     values = kept.groupBy("impact").agg(F.count("*").alias("c")).withColumn("up_to", F.sum("c").over(Window.orderBy(F.desc("impact"))))

@@ -77,9 +77,12 @@ SUGGEST = METRICS + f"""
 , want AS (SELECT * FROM m WHERE url <> {HOME} AND (inlinks = 0 OR depth IS NULL OR depth >= 4 OR (inlinks <= 2 AND word_count >= 300)))
 , pairs AS ({' UNION ALL '.join(_group(r, ', '.join(['language', *c])) for r, c in G.RELEVANCE)})
 , best AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY target ORDER BY score DESC, relevance DESC, donor) AS r FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = p.donor AND e.dst = p.target)) WHERE r = 1)
-, scored AS (SELECT donor, target, {R("word_count / (SELECT max(word_count) FROM m)::DOUBLE * (1 - pagerank / 100.0::DOUBLE) * power * greatest(relevance, 0.1::DOUBLE) * (1 + coalesce(depth, 0) / 4.0::DOUBLE + CASE WHEN inlinks = 0 OR depth IS NULL THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) * 100.0::DOUBLE", 1)} AS impact,
-  CASE WHEN inlinks = 0 THEN 'orphan' WHEN depth IS NULL THEN 'unreachable' WHEN depth >= 4 THEN 'deep' ELSE 'potential' END AS reason FROM best JOIN want ON want.url = best.target)
-, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY donor ORDER BY impact DESC, target) AS n FROM scored) WHERE n <= 8)
+, last AS (SELECT w.url AS target, h.donor, h.power, CASE WHEN w.language <> h.language THEN 0.0::DOUBLE ELSE 0.3::DOUBLE + CASE WHEN w.cluster = h.cluster AND w.cluster <> '' THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN w.city = h.city AND w.city <> '' THEN 0.2::DOUBLE ELSE 0 END END AS relevance
+  FROM want w JOIN donors h ON h.donor = {HOME} WHERE w.url NOT IN (SELECT target FROM best) AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = h.donor AND e.dst = w.url))
+, picked AS (SELECT target, donor, power, relevance, FALSE AS last FROM best UNION ALL SELECT target, donor, power, relevance, TRUE FROM last)
+, scored AS (SELECT donor, target, last, {R("word_count / (SELECT max(word_count) FROM m)::DOUBLE * (1 - pagerank / 100.0::DOUBLE) * power * greatest(relevance, 0.1::DOUBLE) * (1 + coalesce(depth, 0) / 4.0::DOUBLE + CASE WHEN inlinks = 0 OR depth IS NULL THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) * 100.0::DOUBLE", 1)} AS impact,
+  CASE WHEN inlinks = 0 THEN 'orphan' WHEN depth IS NULL THEN 'unreachable' WHEN depth >= 4 THEN 'deep' ELSE 'potential' END AS reason FROM picked JOIN want ON want.url = picked.target)
+, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY donor, last ORDER BY impact DESC, target) AS n FROM scored) WHERE last OR n <= 8)
 , cnt AS (SELECT count(*) AS c FROM kept), rk AS (SELECT impact, row_number() OVER (ORDER BY impact DESC) AS r FROM kept)
 , hi AS (SELECT (SELECT max(impact) FROM rk WHERE r = (SELECT CASE WHEN c > 5 THEN greatest(1, c // 5) ELSE 1 END FROM cnt)) AS hi, (SELECT max(impact) FROM rk WHERE r = (SELECT greatest(1, c // 2) FROM cnt)) AS mid)
 SELECT donor, target, impact, reason, CASE WHEN impact >= hi THEN 'high' WHEN impact >= mid THEN 'medium' ELSE 'low' END AS priority FROM kept, hi ORDER BY impact DESC, target LIMIT 150"""

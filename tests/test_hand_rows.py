@@ -225,6 +225,16 @@ def test_linking_report_is_whole(spark):
     assert {6, 7} <= {r.target for r in out["suggestions"].collect()} and out["health"].count() == 1
 
 
+def test_home_page_is_the_last_donor(spark):
+    """Targets whose donors all link them, or of unknown language, get the home page; targets it links already get none."""
+    cell = lambda url, lang, inlinks: (url, "c", "x", lang, 50.0, 1, 1, inlinks, 400)
+    m = [(0, None, None, "fr", 100.0, 3, 0, 5, 300), cell(1, "fr", 9), cell(2, "fr", 1), cell(3, None, 0), cell(4, None, 0), *(cell(10 + i, None, 0) for i in range(12))]
+    nodes = spark.createDataFrame(m, "url long, cluster string, city string, language string, pagerank double, followed_out long, depth int, inlinks long, word_count long")
+    links = spark.createDataFrame([(1, 2), (0, 4)], "src long, dst long")
+    got = {r.target: r.donor for r in graph.suggestions(nodes, links, 0).collect()}
+    assert got == {2: 0, 3: 0, **{10 + i: 0 for i in range(12)}}
+
+
 def test_search_windows_do_not_overlap():
     today = dt.date(2024, 1, 31)
     assert search.date_window(today, 7) == (dt.date(2024, 1, 21), dt.date(2024, 1, 28))
