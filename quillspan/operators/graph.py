@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions.numbers import half_up
+from quillspan.operators.audit import STOP_WORDS
+from quillspan.operators.similarity import title_groups
 from quillspan.workspace import fresh_path, materialize
 
 # Anchors that say nothing about their target.
@@ -167,6 +169,12 @@ def cannibalisation(nodes: DataFrame) -> DataFrame:
     return rows.groupBy("cluster", "city").agg(F.count("*").alias("pages"), F.min("url").alias("first_url")).filter("pages > 1")
 
 
+def same_titles(nodes: DataFrame) -> DataFrame:
+    """Groups of pages with nearly equal titles (column ``title``), headed by pages that no service and city group holds."""
+    held = nodes.filter(F.col("cluster").isNotNull() & (F.coalesce("city", F.lit("")) != "")).join(cannibalisation(nodes).select("cluster", "city"), ["cluster", "city"], "left_semi")
+    return title_groups(nodes, [w for words in STOP_WORDS.values() for w in words.split()], held.select("url"))
+
+
 def targets(m: DataFrame, home) -> DataFrame:
     """Pages that need links: orphans, unreachable, deep, or at most two in-links and 300 words or more."""
     away = m.filter(F.col("url").cast("string") != str(home))
@@ -261,12 +269,13 @@ CAPS = {"deep": 40, "sinks": 15, "top_linked": 20, "cannibalisation": 60, "gener
 
 
 def report(nodes: DataFrame, anchors: DataFrame, home, rounds: int = 50) -> dict[str, DataFrame]:
-    """The whole linking report: node metrics and types, and the lists cut to their caps in a fixed order."""
+    """The whole linking report: node metrics and types, and the lists cut to their caps in a fixed order; same_titles where nodes have titles."""
     links = materialize(edges(nodes, anchors), "report-edges")
     m = materialize(metrics(nodes, anchors, home, rounds), "report-metrics")
     silo_rows = silos(nodes, links)
     weak = orphans(m, home)
-    return {
+    titles = {"same_titles": same_titles(nodes).orderBy(F.desc("pages"), "first_url").limit(CAPS["cannibalisation"])} if "title" in nodes.columns else {}
+    return titles | {
         "pages": m.withColumn("node_type", node_type(home)),
         "orphans": weak.filter("orphan").select("url"),
         "unreachable": weak.filter("unreachable").select("url"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import text as T
 from quillspan.functions import urls as U
 from quillspan.functions.numbers import half_up_sql as R
+from quillspan.operators import audit
 from quillspan.operators import geo as G
 from quillspan.operators import similarity as S
 from quillspan.operators import visibility as V
@@ -32,11 +33,13 @@ def _urls(s, d):
     return _places(s, d).select(F.col("department").alias("segment"), F.concat(F.lit("https://example.org/"), "slug").alias("loc"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("population") % 365).alias("lastmod"))
 
 
+STOP = sorted({w for words in audit.STOP_WORDS.values() for w in words.split()})
 KEYWORDS, LANGS = ["plombier", "serrurier"], ["fr", "en"]
 
 QUERIES = {
     "near_duplicates": lambda s, d: S.best_partner(_docs(s, d)),
     "title_near_duplicates": lambda s, d: S.title_pairs(_titles(s, d), "doc_id", "title"),
+    "title_groups": lambda s, d: S.title_groups(_titles(s, d).withColumn("city", F.lit(None).cast("string")), STOP, url="doc_id"),
     "title_similarity": lambda s, d: S.title_similarity(_titles(s, d), "source", "doc_id", "title"),
     "uniqueness": lambda s, d: S.uniqueness(_docs(s, d), "source"),
     "word_repetition": lambda s, d: S.repetition(_docs(s, d), 1),
@@ -84,6 +87,12 @@ FROM c2 LEFT JOIN bst ON bst.a = class_id LEFT JOIN lk ON lk.a = class_id UNION
 , x AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM h)
 , j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS j FROM x a JOIN x b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT a, b, {R('j', 4)} AS similarity FROM j WHERE j >= 0.85 UNION ALL SELECT class_id, doc_id, 1.0 FROM c WHERE doc_id <> class_id""",
+    "title_groups": TITLE.replace("WITH t AS", "WITH RECURSIVE t AS") + f"""
+, k AS (SELECT doc_id, list_filter(ws, lambda w: length(w) > 2 AND w NOT IN ({', '.join("'" + w.replace("'", "''") + "'" for w in STOP)})) AS ws FROM f), v AS MATERIALIZED (SELECT * FROM k WHERE len(ws) > 0)
+, later AS (SELECT a.doc_id, list(b.doc_id) AS dup FROM v a JOIN v b ON a.doc_id < b.doc_id AND len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE >= 0.85 GROUP BY 1)
+, nb AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM later)
+, g AS (SELECT 0::BIGINT AS r, NULL::BIGINT AS head, []::BIGINT[] AS seen UNION ALL SELECT nb.r, CASE WHEN list_contains(seen, doc_id) THEN NULL ELSE doc_id END, CASE WHEN list_contains(seen, doc_id) THEN seen ELSE list_concat(seen, dup) END FROM g JOIN nb ON nb.r = g.r + 1)
+SELECT head AS first_url, substr(array_to_string(ws, ' '), 1, 50) AS key, len(dup) + 1 AS pages FROM g JOIN nb ON nb.doc_id = head JOIN v ON v.doc_id = head""",
     "title_similarity": TITLE + f"""
 , r AS (SELECT source AS site, ws, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM f), p AS (SELECT a.site, len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE AS j FROM r a JOIN r b ON a.site = b.site AND a.r < b.r WHERE a.r <= 12 AND b.r <= 12)
 SELECT site, count(*) AS pairs, {R('avg(j)', 4)} AS mean_jaccard FROM p GROUP BY site""",
