@@ -114,6 +114,10 @@ SELECT keyword, min(CASE WHEN site_id = 3 THEN rank END) AS rank, min(CASE WHEN
     "brand_entities": "SELECT 'brand' || (conv_id % 11) AS title, count(*) AS n, min('c' || (conv_id % 2)) AS category FROM conversations WHERE role = 'assistant' GROUP BY 1",
     "cocited_domains": FEED + " SELECT domain, count(*) AS n, domain = 'h3.example.org' AS own FROM src GROUP BY 1 ORDER BY n DESC, domain LIMIT 30",
     "mentions_by_platform": f"WITH p AS (SELECT 'p' || (conv_id % 3) AS platform, count(*) AS mentions, sum(conv_id % 100)::BIGINT AS volume FROM conversations WHERE role = 'assistant' GROUP BY 1) SELECT *, {R('mentions * 100.0::DOUBLE / sum(mentions) OVER ()', 1)} AS share FROM p",
+    "domain_report": """WITH a AS (SELECT *, conv_id % 5 = 3 OR conv_id % 7 = 3 AS cited FROM conversations WHERE role = 'assistant')
+, t AS (SELECT count(*) AS mentions, count(*) FILTER (cited) AS citations, count(DISTINCT conv_id % 3) AS platforms, count(DISTINCT turn % 3) FILTER (cited) AS pages FROM a)
+SELECT 'h3.example.org' AS domain, *, NULL::DOUBLE AS readiness, least(100, floor(CASE WHEN mentions >= 500 THEN 40 WHEN mentions >= 100 THEN 30 WHEN mentions >= 50 THEN 20 WHEN mentions >= 10 THEN 10 WHEN mentions >= 1 THEN 5 ELSE 0 END
+  + CASE WHEN citations >= 50 THEN 20 WHEN citations >= 20 THEN 15 WHEN citations >= 5 THEN 10 WHEN citations >= 1 THEN 5 ELSE 0 END + least(platforms * 2.5::DOUBLE, 10) + CASE WHEN pages >= 10 THEN 10 WHEN pages >= 5 THEN 7 WHEN pages >= 1 THEN 3 ELSE 0 END))::INT AS visibility FROM t""",
     "top_cited_pages": FEED + " SELECT url, count(*) AS n FROM src WHERE domain = 'h3.example.org' GROUP BY 1 ORDER BY n DESC, url LIMIT 20",
     "crawler_policy": POLICY + " SELECT * FROM pol",
     "schema_score": "SELECT page_id, 0 AS blocks, 0 AS schema_score, '' AS types FROM pages WHERE NOT contains(html, 'ld+json')",
