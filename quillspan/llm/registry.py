@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspan.llm.decontaminate import op10_decontaminate
+from quillspan.llm.html_density import op12_main_text
 from quillspan.llm.licenses import op9_licenses
 from quillspan.llm.mixing import OP8_SQL, op8_mixing
 from quillspan.llm.pii import op1_pii
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,
     "op10_decontaminate": op10_decontaminate,
+    "op12_main_text": op12_main_text,
 }
 
 ORACLES = {"op2_warc": OP2_SQL, "op8_mixing": OP8_SQL}
