@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from quillspan.llm.decontaminate import op10_decontaminate
+from quillspan.llm.fim import OP11_SQL, op11_fim
 from quillspan.llm.html_density import op12_main_text
 from quillspan.llm.licenses import op9_licenses
+from quillspan.llm.merkle import OP13_SQL, op13_merkle
 from quillspan.llm.mixing import OP8_SQL, op8_mixing
 from quillspan.llm.pii import op1_pii
 from quillspan.llm.quality_gbt import op4_quality_gbt
@@ -25,7 +27,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fim": op11_fim,
     "op12_main_text": op12_main_text,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLES = {"op2_warc": OP2_SQL, "op8_mixing": OP8_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op8_mixing": OP8_SQL, "op11_fim": OP11_SQL, "op13_merkle": OP13_SQL}
