@@ -155,8 +155,10 @@ def densities(tree: Tree, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     one = lambda x: np.maximum(x, 1.0)
 
     def composite(c, lc, t, lt):
+        empty = c == 0
+        c = one(c)
         base = np.log(np.log(c / one(c - lc) * one(lc) + ratio * c + np.e))
-        return np.where(c == 0, 0.0, c / one(t) * np.log(one(c / one(lc) * one(t) / one(lt))) / base)
+        return np.where(empty, 0.0, c / one(t) * np.log(one(c / one(lc) * one(t) / one(lt))) / base)
 
     density = composite(chars, link_chars, tags, link_tags)
     sums = composite(own, own * link, np.zeros(n), np.zeros(n))  # an element's own text is a child without tags
