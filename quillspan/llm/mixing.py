@@ -11,7 +11,9 @@ combination that occurs; it is joined back by broadcast while it has at most
 
 Null and empty texts have no tokens and probability 1 of their cell's making;
 null sources and languages are cells of their own.  Repeated rows share their
-id's draw.  A corpus without tokens keeps every document.
+id's draw.  A corpus without tokens keeps every document.  The columns that
+``mix`` adds (n_tokens, topic, weight, probability, kept) replace columns of the
+input that have their names; all other columns, whatever they are called, stay.
 """
 
 from __future__ import annotations
@@ -134,20 +136,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_sh
     rows = with_features(docs, text_col) if features is None else features
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     fitted = materialize(calibrate(rake(cells, rounds, temper, targets), keep_share), "mix-cells").withColumnsRenamed({m: f"cell_{m}" for m in MARGINS})
-    same = [rows[m].eqNullSafe(fitted[f"cell_{m}"]) for m in MARGINS]
+    names = rows.columns
+    rows = rows.toDF(*(f"c{k}" for k in range(len(names))))  # so that no name of the input meets one of the cells
+    own = dict(zip(names, rows.columns))
+    same = [rows[own[m]].eqNullSafe(fitted[f"cell_{m}"]) for m in MARGINS]
     if fitted.count() <= BROADCAST_CELLS:
         joined = rows.join(F.broadcast(fitted), same, "left")
     else:
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
         copies = fitted.withColumn("cell_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(copies, [*(salted[m].eqNullSafe(copies[f"cell_{m}"]) for m in MARGINS), salted["_salt"] == copies["cell_salt"]], "left").drop("_salt", "cell_salt")
+        joined = rows.join(copies, [*same, F.pmod(F.xxhash64(rows[own[id_col]]), F.lit(SALTS)) == copies["cell_salt"]], "left")
     weight, probability = F.coalesce("ratio", F.lit(1.0)), F.coalesce("probability", F.lit(1.0))
-    return (
-        joined.withColumn("weight", weight)
-        .withColumn("probability", probability)
-        .withColumn("kept", draw(id_col) < F.col("probability"))
-        .drop("ratio", *(f"cell_{m}" for m in MARGINS))
-    )
+    kept = draw(own[id_col]) < probability
+    before = [F.col(own[c]).alias(c) for c in names if c not in ("weight", "probability", "kept")]
+    return joined.select(*before, weight.alias("weight"), probability.alias("probability"), kept.alias("kept"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -85,7 +85,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         at = text.find("@", at + 1)
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            parts = [p.lstrip("0") for p in m[0].split(".")]  # of any length: int() refuses thousands of digits
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
                 out.append(("ip", m.start(), m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14:

@@ -492,13 +492,15 @@ def keep_one(docs: DataFrame, least: float = LEAST, width: int = WIDE_SHINGLE, i
     groups = materialize(similar_texts(own, least, width, id_col=id_col, text_col=text_col), "similar-groups")
     keys = groups.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("times"))
     first = keys.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    judged = keys.join(first, "component").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), (F.struct("doc_id", "text_hash") == F.col("first")).alias("_kept"), (F.col("times") > 1).alias("_several"))
+    judged = keys.join(first, "component").select("doc_id", "text_hash", (F.struct("doc_id", "text_hash") == F.col("first")).alias("stays"), (F.col("times") > 1).alias("several"))
     # keys that change something: texts stay where they are while these are few
-    verdicts = few(materialize(judged.filter("NOT _kept OR _several"), "similar-verdicts"))
-    hashed = own.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    seen = hashed.join(verdicts, (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_hash") == F.col("_text")), "left").filter("_kept IS NULL OR _kept")
-    alone = seen.filter("_kept IS NULL").select(*docs.columns)
-    several = seen.filter("_kept").dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    verdicts = few(materialize(judged.filter("NOT stays OR several"), "similar-verdicts"))
+    columns = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # so that no name of the input meets one of the verdicts
+    rows = own.toDF(*columns.values()).withColumns({"own_id": F.col(columns[id_col]).cast("long"), "own_hash": F.xxhash64(F.coalesce(F.col(columns[text_col]).cast("string"), F.lit("")))})
+    seen = rows.join(verdicts, (F.col("own_id") == F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left").filter("stays IS NULL OR stays")
+    back = [F.col(new).alias(old) for old, new in columns.items()]
+    alone = seen.filter("stays IS NULL").select(*back)
+    several = seen.filter("stays").dropDuplicates(["own_id", "own_hash"]).select(*back)
     return alone.unionByName(several).unionByName(docs.filter(F.col(id_col).isNull()))
 
 

@@ -24,7 +24,7 @@ def with_clashes(df):
     """Extra columns named like ones that operators make."""
     from pyspark.sql import functions as F
 
-    for name in ("fp", "size", "shard", "n", "anchor", "spans", "score", "topic", "weight", "u", "v", "rank", "text_hash"):
+    for name in ("fp", "size", "shard", "n", "anchor", "spans", "score", "topic", "weight", "u", "v", "rank", "text_hash", "ratio", "probability", "kept", "_id", "_kept", "_salt", "n_tokens", "stays", "several", "c0", "own_id", "cell_topic"):
         df = df.withColumn(name, F.lit(1))
     return df
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, licenses, mixing, pii, quality_gbt, quality_rules, sharding, simhash_dedup, suffix_dedup, warc
 
-from .helpers import SCHEMA, frame, odd_texts, with_clashes
+from .helpers import SCHEMA, frame, odd_texts, prose, with_clashes
 
 
 def labels(spark):
@@ -25,7 +25,7 @@ OPERATORS = {
     "sharding": lambda s, d: sharding.assign(d),
     "simhash": lambda s, d: simhash_dedup.near_duplicates(d),
     "keep_one": lambda s, d: simhash_dedup.keep_one(d),
-    "mixing": lambda s, d: mixing.mix(d.drop("topic", "weight")),
+    "mixing": lambda s, d: mixing.mix(d),
     "licences": lambda s, d: licenses.scan_licences(d),
     "leaks": lambda s, d: decontaminate.find_leaks(d, bench(s)),
     "drop_leaks": lambda s, d: decontaminate.drop_leaks(d, bench(s)),
@@ -67,6 +67,30 @@ def test_warc_odd_rows(spark):
     assert warc.read_archives(spark, warc.resolve_revisits(spark, warc.write_archives(empty))).count() == 0
 
 
+def test_long_runs_of_digits(spark):
+    """Leading zeros do not count, in any part and at any length."""
+    texts = [".".join("0" * (n if k == part else 0) + "7" for k in range(4)) for n in (5_000, 100_000) for part in range(4)] + ["0" * 5000 + "256.1.1.1", "0.0.0." + "0" * 9000]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] == "ip"] for r in pii.detect_pii(frame(spark, texts)).collect()}
+    assert got == {i: [("ip", 0, len(t))] if i != 8 else [] for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("cells", [0, 100_000])
+def test_names_of_the_input_survive(spark, monkeypatch, cells):
+    """Columns named like working columns keep their values; those that mix() makes are replaced."""
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", cells)
+    plain = frame(spark, [*odd_texts(), "the token of the mail", prose(2, 60)])
+    names = ("ratio", "_id", "_kept", "_salt", "stays", "several", "c0", "own_id", "cell_topic", "cell_salt", "text_hash")
+    extra = plain.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names}).withColumns({c: F.lit("old") for c in ("topic", "weight", "probability", "kept", "n_tokens")})
+    mixed = ["doc_id", "n_tokens", "topic", "weight", "probability", "kept"]
+    want = sorted(mixing.mix(plain).select(*mixed).collect())
+    got = mixing.mix(extra)
+    assert sorted(got.select(*mixed).collect()) == want and sorted(got.columns) == sorted(extra.columns)
+    rows = got.collect() + simhash_dedup.keep_one(extra).collect()
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names)
+    kept = sorted(r["doc_id"] for r in simhash_dedup.keep_one(extra).collect())
+    assert kept == sorted(r["doc_id"] for r in simhash_dedup.keep_one(plain).collect()) and len(kept) < len(rows)
+
+
 @pytest.mark.parametrize("broadcast", [0, 200_000])
 def test_warc_null_and_equal_ids(spark, monkeypatch, broadcast):
     """Every row comes back once; a null id is no original while another has the payload; equal ids have one response."""
@@ -86,7 +110,7 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
 
     for docs in (frame(spark, odd_texts()), spark.createDataFrame([], SCHEMA)):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            out = stage(spark, with_clashes(docs).drop("topic", "weight"), sf_dir)
+            out = stage(spark, with_clashes(docs), sf_dir)
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == list(corpus_pipeline.COLUMNS)
             out.count()
