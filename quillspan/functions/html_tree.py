@@ -90,15 +90,15 @@ class Tree:
             out[i] = out[self.parent[i]] or self.name[i] in names
         return out
 
-    def text(self, i: int, between: str, hidden: list[bool] | None = None) -> str:
-        """Trimmed text runs inside element i, without empty ones, joined by ``between``; what ``hidden`` marks is left out."""
+    def text(self, i: int, between: str, hidden: list[bool] | None = None, trim: bool = True) -> str:
+        """Text runs inside element i joined by ``between``, each trimmed and none empty unless ``trim`` is off; what ``hidden`` marks is left out."""
         lo, hi = i, self.last[i]
         parts = []
         for k in range(self._first_run(i), len(self.runs)):
             at, run, order = self.runs[k]
             if order > hi:
                 break
-            if lo <= at <= hi and not (hidden and hidden[at]) and (s := run.strip()):
+            if lo <= at <= hi and not (hidden and hidden[at]) and (s := run.strip() if trim else run):
                 parts.append(s)
         return between.join(parts)
 

@@ -1,8 +1,10 @@
 """Fields of raw pages, as column expressions over (page_id, url, html).
 
-Markup is read by tolerant patterns, not by repairing a tree, so unclosed tags
-cost at most the text of their own block.  One projection serves a whole table;
-no Python runs per row.
+What depends on which element stands inside which (visible and main text,
+blocks, profile, skim) is read from the page's tree (``sources/html.py``, one
+Arrow pass); the rest by tolerant patterns over the markup.  One projection
+serves a whole table, and nothing shuffles.  Lists and texts are whole unless a
+limit is given.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions import urls as U
+from quillspan.sources.html import first_of, named, read_elements, squeezed
 
 # Blocks that are no visible text.
 HIDDEN_BLOCKS = ("script", "style", "nav", "footer", "header", "aside", "noscript")
@@ -67,14 +70,17 @@ def tight_sql(x: str) -> str:
     return _sql_chain(x, "")
 
 
-def _without_hidden(c: Column) -> Column:
-    for tag in HIDDEN_BLOCKS:
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b.*?</{tag}>", " ")
-    return F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", " "), r"(?is)<title[^>]*>.*?</title>", " ")
+def visible_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), hidden: tuple[str, ...] = (*HIDDEN_BLOCKS, "title")) -> DataFrame:
+    """``keep`` and ``t``: the text outside hidden elements, pieces parted by single spaces."""
+    return read_elements(pages, hidden=hidden, keep=keep).select(*keep, squeezed(F.array_join("runs", " ")).alias("t"))
+
+
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
 
 
-def visible_text(c: Column) -> Column:
-    return plain(_without_hidden(c))
+def _up_to(text: Column, n: int | None) -> Column:
+    return text if n is None else F.substring(text, 1, n)
 
 
 def visible_text_sql(x: str) -> str:
@@ -111,40 +117,51 @@ def head(pages: DataFrame) -> DataFrame:
     return rows.withColumns({"title_len": F.length("title"), "desc_len": F.length("meta_description"), "indexable": indexable})
 
 
-def headings(pages: DataFrame, limit: int = 60, most: int = 120) -> DataFrame:
+def headings(pages: DataFrame, limit: int | None = None, most: int | None = None) -> DataFrame:
     """First h1, counts of h1-h3, and the ordered outline of h1-h4 as structs (level, text)."""
     h = F.coalesce(F.col("html"), F.lit(""))
     levels = F.regexp_extract_all(h, F.lit(HEADING), F.lit(1))
-    texts = F.transform(F.regexp_extract_all(h, F.lit(HEADING), F.lit(2)), lambda t: F.substring(tight(t), 1, most))
+    texts = F.transform(F.regexp_extract_all(h, F.lit(HEADING), F.lit(2)), lambda t: _up_to(tight(t), most))
     pairs = F.zip_with(levels, texts, lambda a, b: F.struct(a.cast("int").alias("level"), b.alias("text")))
     count = lambda k: F.size(F.filter("pairs", lambda p: p["level"] == k))
     return pages.select("page_id", pairs.alias("pairs")).select(
         "page_id", F.coalesce(F.try_element_at(F.filter("pairs", lambda p: p["level"] == 1), F.lit(1))["text"], F.lit("")).alias("h1"),
-        count(1).alias("h1_count"), count(2).alias("h2_count"), count(3).alias("h3_count"), F.slice(F.filter("pairs", lambda p: p["text"] != ""), 1, limit).alias("outline"),
+        count(1).alias("h1_count"), count(2).alias("h2_count"), count(3).alias("h3_count"), _first(F.filter("pairs", lambda p: p["text"] != ""), limit).alias("outline"),
     )
 
 
-def outline(pages: DataFrame) -> DataFrame:
-    """Outline of at most 40 headings, 40 paragraphs over 40 characters, 30 list items over 10."""
-    h = F.coalesce(F.col("html"), F.lit(""))
-    longer = lambda pattern, least, most: F.slice(F.filter(F.transform(F.regexp_extract_all(h, F.lit(pattern), F.lit(1)), plain), lambda t: F.length(t) > least), 1, most)
-    return headings(pages, 40).select("page_id", "outline").join(pages.select("page_id", longer(PARAGRAPH, 40, 40).alias("paragraphs"), longer(LIST_ITEM, 10, 30).alias("list_items")), "page_id")
+def outline(pages: DataFrame, most_headings: int | None = None, most_paragraphs: int | None = None, most_items: int | None = None) -> DataFrame:
+    """Outline of the headings, paragraphs over 40 characters and list items over 10, in page order."""
+    rows = read_elements(pages, ("h1", "h2", "h3", "h4", "p", "li"))
+    texts = lambda least, *names: F.filter(F.transform(named(*names), lambda e: squeezed(e["joined"])), lambda t: F.length(t) > least)
+    heads = F.transform(named("h1", "h2", "h3", "h4"), lambda e: F.struct(F.substring(e["name"], 2, 1).cast("int").alias("level"), squeezed(e["joined"]).alias("text")))
+    return rows.select(
+        "page_id", _first(F.filter(heads, lambda h: h["text"] != ""), most_headings).alias("outline"),
+        _first(texts(40, "p"), most_paragraphs).alias("paragraphs"), _first(texts(10, "li"), most_items).alias("list_items"),
+    )
 
 
-def page_text(pages: DataFrame, most: int = 20_000) -> DataFrame:
-    """Visible text (for similarity, at most ``most`` characters) and the word count of all of it."""
-    return pages.select("page_id", visible_text(F.coalesce(F.col("html"), F.lit(""))).alias("t")).select("page_id", F.substring("t", 1, most).alias("text"), T.word_count(F.col("t")).alias("word_count"))
+def page_text(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """Visible text (at most ``most`` characters, if given) and the word count of all of it."""
+    return visible_text(pages).select("page_id", _up_to(F.col("t"), most).alias("text"), T.word_count(F.col("t")).alias("word_count"))
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """Blocks of the main part (main, article or body) parted by blank lines; h2-h4 are marked by ##."""
-    h = F.coalesce(F.col("html"), F.lit(""))
-    part = lambda tag: F.regexp_extract(h, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1)
-    root = F.coalesce(*(F.nullif(part(t), F.lit("")) for t in ("main", "article", "body")), h)
-    kinds = F.regexp_extract_all(F.col("root"), F.lit(BLOCK), F.lit(1))
-    texts = F.transform(F.regexp_extract_all(F.col("root"), F.lit(BLOCK), F.lit(2)), plain)
-    lines = F.zip_with(kinds, texts, lambda k, t: F.when(F.lower(k).isin("h2", "h3", "h4"), F.concat(F.lit("## "), t)).otherwise(t))
-    return pages.select("page_id", root.alias("root")).select("page_id", F.array_join(F.filter(lines, lambda t: ~t.isin("", "## ")), "\n\n").alias("main_text"))
+#: What is taken out before the main text is read, and the blocks that make it.
+NO_MAIN_TEXT = ("script", "style", "nav", "footer", "header", "aside", "form")
+MAIN_BLOCKS = ("h1", "h2", "h3", "h4", "p", "li")
+
+
+def main_text(pages: DataFrame, least: int = 3) -> DataFrame:
+    """Blocks of the first main, else first article, else body, else the page, parted by blank lines; h2-h4 are marked by ##.
+
+    Menus, asides, forms and the like are out wherever they stand.  A block has
+    at least ``least`` characters; one inside another (a list in an item) shows
+    in both.
+    """
+    rows = read_elements(pages, MAIN_BLOCKS, NO_MAIN_TEXT, ("main", "article", "body"))
+    blocks = F.filter(named(*MAIN_BLOCKS, within=F.col("root")), lambda e: F.length(e["text"]) >= least)
+    lines = F.transform(blocks, lambda e: F.when(e["name"].isin("h2", "h3", "h4"), F.concat(F.lit("## "), e["text"])).otherwise(e["text"]))
+    return rows.withColumn("root", first_of("main", "article", "body")).select("page_id", F.array_join(lines, "\n\n").alias("main_text"))
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -169,31 +186,39 @@ def hreflangs(pages: DataFrame) -> DataFrame:
     return rows.select("url", F.lower(F.trim(attribute(F.col("t"), "hreflang"))).alias("hreflang"), U.join(F.col("url"), attribute(F.col("t"), "href")).alias("href")).filter("hreflang <> ''")
 
 
+# Patterns of author, date and comment traces in lower-case markup.
+TRUST = {
+    "has_author": r"rel=[\"']author|class=[\"'][^\"']*author|\"author\"\s*:",
+    "has_date": r"<time|datepublished|datemodified",
+    "has_comments": r"id=[\"']comments|class=[\"'][^\"']*comment",
+}
+ABSOLUTE_HREF = r"href\s*=\s*[\"'](https?://[^\"']+)"
+
+
 def trust_signals(pages: DataFrame) -> DataFrame:
     """Author, date and comment traces, and the number of other hosts linked."""
     low = F.lower(F.coalesce(F.col("html"), F.lit("")))
-    hosts = F.transform(F.regexp_extract_all(low, F.lit(r"href\s*=\s*[\"'](https?://[^\"']+)"), F.lit(1)), U.host)
+    hosts = F.transform(F.regexp_extract_all(low, F.lit(ABSOLUTE_HREF), F.lit(1)), U.host)
     return pages.select(
-        "page_id", low.rlike(r"rel=[\"']author|itemprop=[\"']author|class=[\"'][^\"']*author|\"author\"\s*:").alias("has_author"),
-        low.rlike(r"<time\b|datepublished|article:published_time").alias("has_date"), low.rlike(r"id=[\"']comments|class=[\"'][^\"']*comment").alias("has_comments"),
+        "page_id", *(low.rlike(p).alias(c) for c, p in TRUST.items()),
         F.size(F.array_distinct(F.filter(hosts, lambda x: x != U.host(F.col("url"))))).alias("external_hosts"),
     )
 
 
 SECURITY_HEADERS = ("strict-transport-security", "content-security-policy", "x-frame-options", "x-content-type-options", "referrer-policy")
-# Marks of page frameworks.
-FRAMEWORKS = {"next": "__next", "nuxt": "__nuxt", "wordpress": "wp-content", "react": "data-reactroot", "angular": "ng-version", "vue": "data-v-", "gatsby": "___gatsby"}
-RENDERED = ("next", "nuxt", "gatsby")
+# Marks of page frameworks in lower-case markup; the first four render on the server.
+FRAMEWORKS = {"next": "__next", "nuxt": "nuxt", "gatsby": "___gatsby", "wordpress": "wp-content|wordpress", "react": "data-reactroot", "angular": "ng-version", "vue": "data-v-"}
+RENDERED = ("next", "nuxt", "gatsby", "wordpress")
 
 
-def technical(pages: DataFrame) -> DataFrame:
-    """Meta map, og: map, security headers, framework marks in the first 5,000 characters, server-side rendering."""
+def technical(pages: DataFrame, within: int | None = None) -> DataFrame:
+    """Meta map (the last of each name that has content), og: map, security headers, framework marks (in the first ``within`` characters, if given), server-side rendering."""
     h = F.coalesce(F.col("html"), F.lit(""))
     tags = F.regexp_extract_all(h, F.lit(META_TAG), F.lit(1))
-    named = F.filter(F.transform(tags, lambda t: F.struct(F.lower(F.coalesce(F.nullif(attribute(t, "name"), F.lit("")), attribute(t, "property"))).alias("key"), attribute(t, "content").alias("value"))), lambda s: s["key"] != "")
-    meta = F.aggregate(named, F.create_map().cast("map<string,string>"), lambda acc, s: F.map_concat(F.map_filter(acc, lambda k, _: k != s["key"]), F.create_map(s["key"], s["value"])))
-    start = F.lower(F.substring(h, 1, 5000))
-    found = F.array_compact(F.array(*(F.when(start.contains(mark), F.lit(name)) for name, mark in FRAMEWORKS.items())))
+    named_tags = F.filter(F.transform(tags, lambda t: F.struct(F.lower(F.coalesce(F.nullif(attribute(t, "name"), F.lit("")), attribute(t, "property"))).alias("key"), attribute(t, "content").alias("value"))), lambda s: (s["key"] != "") & (s["value"] != ""))
+    meta = F.aggregate(named_tags, F.create_map().cast("map<string,string>"), lambda acc, s: F.map_concat(F.map_filter(acc, lambda k, _: k != s["key"]), F.create_map(s["key"], s["value"])))
+    start = F.lower(_up_to(h, within))
+    found = F.array_compact(F.array(*(F.when(start.rlike(mark), F.lit(name)) for name, mark in FRAMEWORKS.items())))
     headers = F.col("headers") if "headers" in pages.columns else F.lit("")
     return pages.select("page_id", meta.alias("meta"), found.alias("frameworks"), F.regexp_count(h, F.lit(r"(?i)<p[\s>]")).alias("n_p"), F.array_compact(F.array(*(F.when(F.lower(headers).contains(x), F.lit(x)) for x in SECURITY_HEADERS))).alias("security_headers")).select(
         "page_id", "meta", F.map_filter("meta", lambda k, _: k.startswith("og:")).alias("og"), "security_headers", "frameworks",
@@ -206,8 +231,8 @@ def content_metrics(pages: DataFrame) -> DataFrame:
     h = F.coalesce(F.col("html"), F.lit(""))
     n = lambda pattern: F.regexp_count(h, F.lit(pattern)).cast("bigint")
     hrefs = F.regexp_extract_all(h, F.lit(r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
-    rows = pages.select(
-        "page_id", T.word_count(visible_text(h)).alias("words"), *(n(rf"(?i)<h{k}[\s>]").alias(f"h{k}") for k in range(1, 7)),
+    rows = visible_text(pages, ("page_id", "html")).select(
+        "page_id", T.word_count(F.col("t")).alias("words"), *(n(rf"(?i)<h{k}[\s>]").alias(f"h{k}") for k in range(1, 7)),
         F.filter(F.transform(F.regexp_extract_all(h, F.lit(PARAGRAPH), F.lit(1)), plain), lambda p: p != "").alias("ps"), n(r"(?i)<[uo]l[\s>]").alias("lists"),
         n(r"(?i)<img[\s>]").alias("images"), n(r"(?is)<img\s[^>]*alt\s*=\s*[\"'][^\"']").alias("images_alt"),
         F.size(F.filter(hrefs, lambda x: x.startswith("http"))).cast("bigint").alias("external_links"), F.size(F.filter(hrefs, lambda x: ~x.startswith("http"))).cast("bigint").alias("internal_links"),
@@ -238,41 +263,63 @@ def json_ld(pages: DataFrame) -> DataFrame:
     return rows.withColumn("schema_score", F.least(score, F.lit(100))).drop("body", "has_any")
 
 
-def faq_pairs(pages: DataFrame, most: int = 800) -> DataFrame:
+def faq_pairs(pages: DataFrame, most: int | None = None) -> DataFrame:
     """(page_id, pos, question, answer): each h3 and the text up to the next heading."""
     parts = F.split(F.coalesce(F.col("html"), F.lit("")), r"(?i)<h3[^>]*>")
-    rows = pages.select("page_id", F.posexplode(F.slice(parts, 2, 10_000)).alias("pos", "part"))
+    rows = pages.select("page_id", F.posexplode(parts).alias("pos", "part")).filter("pos > 0").withColumn("pos", F.col("pos") - 1)
     question = plain(F.regexp_extract("part", r"(?is)^(.*?)</h3>", 1))
-    answer = F.substring(plain(F.regexp_extract("part", r"(?is)</h3>(.*?)(?:<h[1-6][\s>]|$)", 1)), 1, most)
+    answer = _up_to(plain(F.regexp_extract("part", r"(?is)</h3>(.*?)(?:<h[1-6][\s>]|$)", 1)), most)
     return rows.select("page_id", "pos", question.alias("question"), answer.alias("answer")).filter("question <> '' AND answer <> ''")
 
 
-FEATURE_WORDS = ("faq", "contact", "blog", "newsletter", "form", "price", "review", "video", "map")
+# Words that tell what a page has.
+FEATURE_WORDS = (
+    "service", "product", "produit", "temoignage", "avis", "review", "faq", "equipe", "team", "galerie", "gallery", "tarif", "prix", "price",
+    "hero", "banner", "cta", "contact", "about", "blog",
+)
+COLOUR = r"#([0-9a-fA-F]{6}|[0-9a-fA-F]{3})\b"
+TOP_COLOURS = 8
+
+
+def profile(pages: DataFrame, most_h1: int | None = None, most_h2: int | None = None, most_h3: int | None = None, most_labels: int | None = None, most_paragraphs: int | None = None, paragraph_chars: int | None = None) -> DataFrame:
+    """Competitor profile: headings, labels of links within the site, most used colours, feature words, paragraphs over 60 characters.
+
+    A label has 3 to 39 characters and leads to a path or to the page's own
+    host, without # or ?; each shows once.  Colours are the TOP_COLOURS most
+    frequent, the earlier first among equals.
+    """
+    rows = read_elements(pages, ("h1", "h2", "h3", "p", "a"), keep=("page_id", "url", "html"))
+    texts = lambda name: F.transform(named(name), lambda e: squeezed(e["joined"]))
+    heads = lambda name, most: F.filter(_first(texts(name), most), lambda t: t != "")
+    base = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^/]*(?:/[^/]*){0,2}", 0)
+    leads = lambda href: href.rlike(r"^[^\"'#?]{2,80}$") & (href.startswith("/") | ((base != "") & href.contains(base)))
+    own = F.filter(named("a"), lambda e: F.coalesce(leads(e["attrs"]["href"]), F.lit(False)))
+    labels = F.array_distinct(F.filter(F.transform(own, lambda e: squeezed(e["joined"])), lambda t: F.length(t).between(3, 39)))
+    h = F.coalesce("html", F.lit(""))
+    colours = F.regexp_extract_all(h, F.lit(COLOUR), F.lit(1))
+    ranked = F.array_sort(F.transform(F.array_distinct("colours"), lambda c: F.struct((-F.size(F.filter("colours", lambda x: x == c))).alias("n"), F.array_position("colours", c).alias("at"), c.alias("c"))))
+    low = F.lower(h)
+    paragraphs = _first(F.filter(texts("p"), lambda t: F.length(t) > 60), most_paragraphs)
+    return rows.select(
+        "page_id", heads("h1", most_h1).alias("h1s"), heads("h2", most_h2).alias("h2s"), heads("h3", most_h3).alias("h3s"), _first(labels, most_labels).alias("nav_labels"), colours.alias("colours"),
+        F.array_compact(F.array(*(F.when(low.contains(w), F.lit(w)) for w in FEATURE_WORDS))).alias("features"), F.transform(paragraphs, lambda t: _up_to(t, paragraph_chars)).alias("paragraphs"),
+    ).withColumn("colours", F.slice(F.transform(ranked, lambda s: F.concat(F.lit("#"), s["c"])), 1, TOP_COLOURS))
 
 
-def profile(pages: DataFrame) -> DataFrame:
-    """Competitor profile: first headings, navigation labels, most used colours, feature words, first paragraphs."""
-    h = F.coalesce(F.col("html"), F.lit(""))
-    heads = lambda k, most: F.slice(F.filter(F.transform(F.regexp_extract_all(h, F.lit(rf"(?is)<h{k}[^>]*>(.*?)</h{k}>"), F.lit(1)), tight), lambda t: t != ""), 1, most)
-    nav = F.regexp_extract(h, r"(?is)<nav[^>]*>(.*?)</nav>", 1)
-    labels = F.slice(F.array_distinct(F.filter(F.transform(F.regexp_extract_all(nav, F.lit(ANCHOR), F.lit(2)), tight), lambda t: t != "")), 1, 12)
-    colours = F.transform(F.regexp_extract_all(h, F.lit(r"#([0-9a-fA-F]{6})\b"), F.lit(1)), F.lower)
-    ranked = F.array_sort(F.transform(F.array_distinct("colours"), lambda c: F.struct((-F.size(F.filter("colours", lambda x: x == c))).alias("n"), c.alias("c"))))
-    paragraphs = F.slice(F.filter(F.transform(F.regexp_extract_all(h, F.lit(PARAGRAPH), F.lit(1)), plain), lambda t: F.length(t) > 60), 1, 6)
-    low = F.lower(h)
-    return pages.select(
-        "page_id", heads(1, 3).alias("h1s"), heads(2, 8).alias("h2s"), heads(3, 6).alias("h3s"), labels.alias("nav_labels"), colours.alias("colours"),
-        F.array_compact(F.array(*(F.when(low.contains(w), F.lit(w)) for w in FEATURE_WORDS))).alias("features"), paragraphs.alias("paragraphs"),
-    ).withColumn("colours", F.slice(F.transform(ranked, lambda s: s["c"]), 1, 8))
+#: What a skim leaves out.
+NO_SKIM = ("script", "style", "nav", "footer", "header", "aside")
 
 
-def skim(pages: DataFrame) -> DataFrame:
-    """Title, h1, h2s and at most 5,000 characters of text."""
-    h = F.coalesce(F.col("html"), F.lit(""))
-    return pages.select(
-        "page_id", tight(F.regexp_extract(h, TITLE, 1)).alias("title"), tight(F.regexp_extract(h, r"(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("h1"),
-        F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<h2[^>]*>(.*?)</h2>"), F.lit(1)), tight).alias("h2s"), F.substring(visible_text(h), 1, 5000).alias("text"),
-    )
+def skim(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """Title, first h1, h2s, and the text (title included, a line a piece) outside menus and the like; at most ``most`` characters of it, if given.
+
+    Headings are those of the whole page, also of its header.
+    """
+    rows = read_elements(pages, ("title", "h1", "h2"), keep=("page_id", "html"))
+    first = lambda name: F.coalesce(squeezed(first_of(name)["joined"]), F.lit(""))
+    heads = rows.select("page_id", "html", first("title").alias("title"), first("h1").alias("h1"), F.transform(named("h2"), lambda e: squeezed(e["joined"])).alias("h2s"))
+    texts = read_elements(heads, hidden=NO_SKIM, keep=("page_id", "title", "h1", "h2s"))
+    return texts.select("page_id", "title", "h1", "h2s", _up_to(F.array_join("runs", "\n"), most).alias("text"))
 
 
 def strip_markup(c: Column) -> Column:

@@ -43,11 +43,11 @@ HEAD = f"""
 , hd AS (SELECT page_id, url, 200 AS status, 'text/html' AS content_type, {X.tight_sql(first(X.TITLE))} AS title, {meta('description')} AS meta_description,
   CASE WHEN coalesce({CANONICAL}, '') <> '' THEN {U.join_sql('url', f'trim({CANONICAL})')} ELSE '' END AS canonical, lower({meta('robots')}) AS meta_robots, trim({first(X.LANG)}) AS html_lang FROM p)
 , head AS (SELECT *, length(title) AS title_len, length(meta_description) AS desc_len, NOT contains(meta_robots, 'noindex') AS indexable FROM hd)
-, hp AS (SELECT page_id, list_transform(list_zip({every(X.HEADING, 1)}, {every(X.HEADING, 2)}), lambda z: {{'level': CAST(z[1] AS INT), 'text': substring({X.tight_sql('z[2]')}, 1, 120)}}) AS pairs FROM p)
+, hp AS (SELECT page_id, list_transform(list_zip({every(X.HEADING, 1)}, {every(X.HEADING, 2)}), lambda z: {{'level': CAST(z[1] AS INT), 'text': {X.tight_sql('z[2]')}}}) AS pairs FROM p)
 , heads AS (SELECT page_id, coalesce(list_filter(pairs, lambda q: q.level = 1)[1].text, '') AS h1, len(list_filter(pairs, lambda q: q.level = 1)) AS h1_count, len(list_filter(pairs, lambda q: q.level = 2)) AS h2_count, len(list_filter(pairs, lambda q: q.level = 3)) AS h3_count,
-  list_filter(pairs, lambda q: q.text <> '')[1:60] AS outline FROM hp)
+  list_filter(pairs, lambda q: q.text <> '') AS outline FROM hp)
 , vt AS (SELECT page_id, {X.visible_text_sql('html')} AS t FROM p)
-, txt AS (SELECT page_id, substring(t, 1, 20000) AS text, CAST(len(regexp_extract_all(lower(t), '{T.WORD}')) AS BIGINT) AS word_count FROM vt)
+, txt AS (SELECT page_id, t AS text, CAST(len(regexp_extract_all(lower(t), '{T.WORD}')) AS BIGINT) AS word_count FROM vt)
 """
 FOLD_WORDS = "list_distinct(list_filter(regexp_extract_all({}, '[a-z0-9]+'), lambda w: length(w) > 2))"
 AUDIT = HEAD + f"""
@@ -140,6 +140,12 @@ ORACLES = {
     "page_links": "WITH q AS (SELECT 1)" + LINKS + "SELECT * FROM lk",
     "page_link_counts": "WITH q AS (SELECT 1)" + LINKS + "SELECT page_id, count(DISTINCT dst) FILTER (internal) AS internal_links, count(*) FILTER (NOT internal) AS external_links FROM lk GROUP BY page_id",
     "page_content_metrics": "WITH q AS (SELECT 1)" + METRICS,
+    "page_main_text": f"WITH a AS (SELECT page_id, regexp_replace({first('(?is)<article>(.*?)</article>')}, '(?i)<(?:h1|p)>', chr(1), 'g') AS x FROM pages), "
+    "b AS (SELECT page_id, list_transform(string_split(x, chr(1)), lambda t: trim(regexp_replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'))) AS ts FROM a) "
+    "SELECT page_id, array_to_string(list_filter(ts, lambda t: length(t) > 2), chr(10) || chr(10)) AS main_text FROM b",
+    "page_trust": f"WITH p AS (SELECT page_id, url, lower(coalesce(html, '')) AS html FROM pages) SELECT page_id, {', '.join(f'regexp_matches(html, {lit(x)}) AS {c}' for c, x in X.TRUST.items())}, "
+    f"len(list_distinct(list_filter(list_transform({every(X.ABSOLUTE_HREF)}, lambda x: {U.host_sql('x')}), lambda x: x <> {U.host_sql('url')})))::INT AS external_hosts FROM p",
+    "page_stripped": "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '\\[[^\\]]*\\]', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages",
     "page_issues": "WITH q AS (SELECT 1)" + AUDIT + "SELECT page_id, array_to_string(issues, ',') AS issues FROM iss",
     "page_scores": "WITH q AS (SELECT 1)" + AUDIT + "SELECT page_id, score, word_count FROM sc",
     "page_report_first": "WITH q AS (SELECT 1)" + AUDIT + "SELECT page_id, score FROM sc ORDER BY len(issues) > 0 DESC, page_id LIMIT 100",
