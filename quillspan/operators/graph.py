@@ -7,6 +7,8 @@ folder each round, so plans stay short and a lost executor costs one round.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ from quillspan.workspace import fresh_path, materialize
 # Anchors that say nothing about their target.
 GENERIC_ANCHORS = ("cliquez ici", "cliquer ici", "ici", "en savoir plus", "lire la suite", "lire plus", "plus", "voir plus", "read more", "en savoir +", "decouvrir", "voir", "ce lien", "lien", "click here", "")
 DAMPING = 0.85
-DONORS_PER_GROUP = 20
 
 
 def edges(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -183,52 +184,117 @@ def targets(m: DataFrame, home) -> DataFrame:
 
 
 RELEVANCE = ((1.0, ("cluster", "city")), (0.8, ("cluster",)), (0.5, ("city",)), (0.3, ()))
+#: Rows of a list whose running sums one task makes.
+SPAN_BITS = 12
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """A row for each list that a page is in: ``level`` numbers RELEVANCE, ``key`` has the values shared."""
+    key = lambda shared: F.concat_ws("\u0001", *(F.col(c).cast("string") for c in ("language", *shared)))
+    known = lambda shared: F.col("language").isNotNull() & (F.col("language") != "") & reduce(lambda a, c: a & F.col(c).isNotNull() & (F.col(c).cast("string") != ""), shared, F.lit(True))
+    lists = [F.when(known(shared), F.struct(F.lit(k).alias("level"), key(shared).alias("key"))) for k, (_, shared) in enumerate(RELEVANCE)]
+    return rows.withColumn("list", F.explode(F.array_compact(F.array(*lists)))).select("*", "list.level", "list.key").drop("list")
+
+
+def _in_order(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``pos``, their place in their list (level, key) by ``order``: ranges of all lists are sorted apart, then counted together."""
+    ranged = materialize(rows.repartitionByRange("level", "key", *order).withColumn("part", F.spark_partition_id()), "suggest-ranges")
+    own = ranged.withColumn("own", F.row_number().over(Window.partitionBy("part", "level", "key").orderBy(*order)))
+    parts = ranged.groupBy("level", "key", "part").agg(F.count("*").alias("c"))
+    parts = parts.withColumn("start", F.sum("c").over(Window.partitionBy("level", "key").orderBy("part")) - F.col("c")).drop("c")
+    return materialize(own.join(parts, ["level", "key", "part"]).withColumn("pos", F.col("start") + F.col("own") - 1).drop("part", "own", "start"), "suggest-order")
+
+
+def _sums_before(rows: DataFrame, **values: Column) -> DataFrame:
+    """``rows`` (level, key, pos, ..) with the sums of ``values`` over the rows before each of its list; a task sums a span of places, spans are summed together."""
+    spanned = rows.withColumns(values | {"span": F.shiftright("pos", SPAN_BITS)})
+    spans = spanned.groupBy("level", "key", "span").agg(*(F.sum(v).alias(f"of_{v}") for v in values))
+    earlier = Window.partitionBy("level", "key").orderBy("span")
+    spans = spans.select("level", "key", "span", *((F.sum(f"of_{v}").over(earlier) - F.col(f"of_{v}")).alias(f"of_{v}") for v in values))
+    within = Window.partitionBy("level", "key", "span").orderBy("pos")
+    summed = spanned.withColumns({f"in_{v}": F.sum(v).over(within) - F.col(v) for v in values}).join(spans, ["level", "key", "span"])
+    return summed.withColumns({v: F.col(f"in_{v}") + F.col(f"of_{v}") for v in values}).drop("span", *(f"{x}_{v}" for v in values for x in ("in", "of")))
+
+
+def assign_donors(want: DataFrame, donors: DataFrame, links: DataFrame, per_donor: int = 8) -> DataFrame:
+    """(target, donor, level): each target gets one donor, each donor at most ``per_donor`` targets, in rounds.
+
+    want: (url, need, language, cluster, city); donors: (url, strength, and the same three).
+    A page is in up to four lists, by what pages of a language share (level, an
+    index of RELEVANCE); a target values a donor by strength times relevance.
+    In each round every list deals its open places, strongest donors first, to
+    its open targets, greatest need first; a target asks for the best place
+    dealt to it that is not its own page or one that links to it already, and if
+    there is none for the strongest open donor of its language that is neither.
+    A donor gives its places to those in greatest need; who got none is dealt to
+    again.  A donor is asked from four lists at most, so a fourth of the dealt
+    places or more are settled a round, and a target stays without only when
+    every donor of its language is full, is itself, or links to it.
+    """
+    named = F.col("url").cast("string")
+    t_lists = _in_order(_listed(want.withColumn("target", F.col("url"))).select("target", "need", "level", "key"), F.desc("need"), F.col("target"))
+    d_lists = _in_order(_listed(donors.withColumn("donor", F.col("url"))).select("donor", "strength", "level", "key"), F.desc("strength"), F.col("donor"))
+    relevance = F.element_at(F.array(*(F.lit(r) for r, _ in RELEVANCE)), F.col("level") + 1)
+    widest = len(RELEVANCE) - 1
+    taken = links.select(F.col("src").alias("donor"), F.col("dst").alias("target"))
+    needs = materialize(want.select(F.col("url").alias("target"), "need"), "suggest-needs")
+    open_ = donors.select(F.col("url").alias("donor"), F.lit(per_donor).cast("long").alias("left")).filter(named.isNotNull())
+    matched = None
+    while True:
+        asking = t_lists if matched is None else t_lists.join(matched.select("target"), "target", "left_anti")
+        asking = materialize(_sums_before(asking, p=F.lit(1).cast("long")), "suggest-asking")
+        if matched is not None and asking.isEmpty():
+            return matched
+        sizes = asking.groupBy("level", "key").agg(F.count("*").alias("asked"))
+        places = materialize(_sums_before(d_lists.join(open_, "donor"), before=F.col("left"), nth=F.lit(1).cast("long")), "suggest-places")
+        dealt = places.join(sizes, ["level", "key"]).filter(F.col("before") < F.col("asked")).withColumn("p", F.explode(F.expr("sequence(before, before + left - 1)")))
+        offered = asking.join(dealt.select("level", "key", "p", "donor", "strength"), ["level", "key", "p"]).filter("donor <> target").join(taken, ["donor", "target"], "left_anti")
+        offered = materialize(offered.select("target", "donor", "level", (F.col("strength") * relevance).alias("score")), "suggest-offers")
+        # no place dealt to them will do: the first of the donors in order that is neither the page nor linked to it
+        stuck = asking.filter(F.col("level") == widest).join(offered.select("target").distinct(), "target", "left_anti").select("target", "key")
+        wide = places.filter(F.col("level") == widest).select("key", "donor", "nth", "strength")
+        barred = stuck.join(taken, "target").unionByName(stuck.withColumn("donor", F.col("target"))).distinct().join(wide.drop("strength"), ["key", "donor"])
+        run = barred.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy("nth")) - 1).filter("nth = n").groupBy("target").agg(F.count("*").alias("skip"))
+        first = stuck.join(run, "target", "left").withColumn("nth", F.coalesce("skip", F.lit(0))).join(wide, ["key", "nth"]).select("target", "donor", F.lit(widest).alias("level"), (F.col("strength") * RELEVANCE[widest][0]).alias("score"))
+        best = offered.unionByName(first).groupBy("target").agg(F.min_by(F.struct("donor", "level"), F.struct(-F.col("score"), "level", "donor")).alias("b")).select("target", "b.*")
+        ranked = best.join(needs, "target").join(open_, "donor").withColumn("n", F.row_number().over(Window.partitionBy("donor").orderBy(F.desc("need"), "target")))
+        won = materialize(ranked.filter(F.col("n") <= F.least("left", F.lit(per_donor))).select("target", "donor", "level"), "suggest-won")
+        if won.isEmpty():
+            return won if matched is None else matched
+        matched = materialize(won if matched is None else matched.unionByName(won), "suggest-matched")
+        spent = won.groupBy("donor").agg(F.count("*").alias("spent"))
+        open_ = materialize(open_.join(spent, "donor", "left").select("donor", (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left")).filter("left > 0"), "suggest-open")
 
 
 def suggestions(m: DataFrame, links: DataFrame, home, per_donor: int = 8, limit: int = 150) -> DataFrame:
-    """Best donor of each target with impact, reason and priority.
-
-    Relevance takes one of four values, by what donor and target share within a
-    language, so the best donors of each sharing group stand for all pages: the
-    join is on the group, never target x page.  Each group offers its
-    DONORS_PER_GROUP strongest donors; a target already linked by all of a
-    group's takes the next wider group, and at last the home page unless that
-    links it already (so do targets of unknown language).  A donor gives at
-    most ``per_donor`` links, those of highest impact; the home page as the last
-    resort is not bound by that.  The sequential budget of the original order is
-    not kept, so results do not depend on it; targets past a donor's budget get
-    no row.
+    """The donor that each target gets, with impact, reason and priority; the ``limit`` rows of greatest impact.
+
+    Donors are assigned by assign_donors(), targets in order of need (what a
+    link would be worth whoever gives it).  A target for which no donor is left,
+    or whose language is unknown, takes the home page unless that links it
+    already; the home page as the last resort has no budget.
     """
     m = materialize(m, "suggest-nodes")
     power = F.col("pagerank") / (F.col("followed_out") + 1)
     donors = m.select("url", "cluster", "city", "language", power.alias("power"), (power / (1 + F.coalesce("depth", F.lit(0)) / 3.0)).alias("strength"))
-    want = materialize(targets(m, home), "suggest-targets")
-    pairs = None
-    for relevance, shared in RELEVANCE:
-        group = ["language", *shared]
-        w = Window.partitionBy(*group).orderBy(F.desc("strength"), "url")
-        best = donors.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= DONORS_PER_GROUP).select(F.col("url").alias("donor"), "power", "strength", *group)
-        part = want.select(F.col("url").alias("target"), *group).join(best, group).filter("donor <> target").select("target", "donor", "power", (F.col("strength") * relevance).alias("score"), F.lit(relevance).alias("relevance"))
-        pairs = part if pairs is None else pairs.unionByName(part)
-    open_pairs = pairs.join(links.select(F.col("src").alias("donor"), F.col("dst").alias("target")), ["donor", "target"], "left_anti")
-    chosen = open_pairs.groupBy("target").agg(F.min_by(F.struct("donor", "power", "relevance"), F.struct(-F.col("score"), -F.col("relevance"), F.col("donor"))).alias("b")).select("target", "b.*")
-    first = donors.filter(F.col("url").cast("string") == str(home)).select(F.col("url").alias("donor"), "power", *(F.col(c).alias(f"home_{c}") for c in ("cluster", "city", "language")))
-    bare = want.join(chosen.select(F.col("target").alias("url")), "url", "left_anti").crossJoin(F.broadcast(first))
-    bare = bare.join(links.select(F.col("src").alias("donor"), F.col("dst").alias("url")), ["donor", "url"], "left_anti")
-    alike = lambda c, r: F.when((F.col(c) == F.col(f"home_{c}")) & (F.col(c) != ""), r).otherwise(0.0)
-    to_home = F.when(F.col("language") != F.col("home_language"), 0.0).otherwise(0.3 + alike("cluster", 0.5) + alike("city", 0.2))
-    chosen = chosen.withColumn("last", F.lit(False)).unionByName(bare.select(F.col("url").alias("target"), "donor", "power", to_home.alias("relevance"), F.lit(True).alias("last")))
     top_words = m.agg(F.greatest(F.coalesce(F.max("word_count"), F.lit(1)), F.lit(1)).alias("top_words"))
-    rows = chosen.join(want.withColumnRenamed("url", "target"), "target").crossJoin(F.broadcast(top_words))
     potential = F.col("word_count") / F.col("top_words") * (1 - F.col("pagerank") / 100.0)
     lonely = (F.col("inlinks") == 0) | F.col("depth").isNull()
     urgency = 1 + F.coalesce("depth", F.lit(0)) / 4.0 + F.when(lonely, 2.0).otherwise(0.0)
-    impact = half_up(potential * F.col("power") * F.greatest("relevance", F.lit(0.1)) * urgency * 100.0, 1)
+    want = materialize(targets(m, home).crossJoin(F.broadcast(top_words)).withColumn("need", potential * urgency).drop("top_words"), "suggest-targets")
+    given = assign_donors(want.select("url", "need", "language", "cluster", "city"), donors.select("url", "strength", "language", "cluster", "city"), links, per_donor)
+    relevance = F.element_at(F.array(*(F.lit(r) for r, _ in RELEVANCE)), F.col("level") + 1)
+    chosen = given.join(donors.select(F.col("url").alias("donor"), "power"), "donor").select("target", "donor", "power", relevance.alias("relevance"))
+    first = donors.filter(F.col("url").cast("string") == str(home)).select(F.col("url").alias("donor"), "power", *(F.col(c).alias(f"home_{c}") for c in ("cluster", "city", "language")))
+    bare = want.join(given.select(F.col("target").alias("url")), "url", "left_anti").crossJoin(F.broadcast(first))
+    bare = bare.join(links.select(F.col("src").alias("donor"), F.col("dst").alias("url")), ["donor", "url"], "left_anti")
+    alike = lambda c, r: F.when((F.col(c) == F.col(f"home_{c}")) & (F.col(c) != ""), r).otherwise(0.0)
+    to_home = F.when(F.col("language") != F.col("home_language"), 0.0).otherwise(0.3 + alike("cluster", 0.5) + alike("city", 0.2))
+    chosen = chosen.unionByName(bare.select(F.col("url").alias("target"), "donor", "power", to_home.alias("relevance")))
+    rows = chosen.join(want.withColumnRenamed("url", "target"), "target")
+    impact = half_up(F.col("need") * F.col("power") * F.greatest("relevance", F.lit(0.1)) * 100.0, 1)
     reason = F.when(F.col("inlinks") == 0, "orphan").when(F.col("depth").isNull(), "unreachable").when(F.col("depth") >= 4, "deep").otherwise("potential")
-    scored = rows.select("donor", "target", impact.alias("impact"), reason.alias("reason"), "last")
-    budget = Window.partitionBy("donor").orderBy(F.desc("impact"), "target")
-    given = scored.filter("NOT last").withColumn("_n", F.row_number().over(budget)).filter(F.col("_n") <= per_donor).drop("_n")
-    kept = materialize(given.unionByName(scored.filter("last")).drop("last"), "suggest-kept")
+    kept = materialize(rows.select("donor", "target", impact.alias("impact"), reason.alias("reason")), "suggest-kept")
     n = kept.count()
     # exact order statistics from counts per value: impacts have one decimal, so values are far fewer than rows
     values = kept.groupBy("impact").agg(F.count("*").alias("c")).withColumn("up_to", F.sum("c").over(Window.orderBy(F.desc("impact"))))

@@ -70,19 +70,38 @@ SILOS = f"""
 , si AS (SELECT sz.cluster, pages, {R('coalesce(intra.n, 0) / (pages * (pages - 1))::DOUBLE', 3)} AS density, CASE WHEN coalesce(covered, 0) / pages::DOUBLE >= 0.5 THEN src END AS hub, {R('coalesce(covered, 0) / pages::DOUBLE * 100.0::DOUBLE')}::INT AS hub_coverage
   FROM sz LEFT JOIN intra USING (cluster) LEFT JOIN hub USING (cluster))
 , silo AS (SELECT *, CASE WHEN density >= 0.15 THEN 'strong' WHEN density >= 0.05 THEN 'medium' ELSE 'weak' END AS cohesion FROM si)"""
-_group = lambda rel, cols: f"""SELECT t.url AS target, g.donor, g.power, g.strength * {rel}::DOUBLE AS score, {rel}::DOUBLE AS relevance FROM want t JOIN (SELECT *, row_number() OVER (PARTITION BY {cols} ORDER BY strength DESC, donor) AS r FROM donors) g
-  ON {' AND '.join(f't.{c} = g.{c}' for c in cols.split(', '))} WHERE g.r <= {G.DONORS_PER_GROUP} AND g.donor <> t.url"""
+_KEYS = [", ".join(["language", *c]) for _, c in G.RELEVANCE]
+_SCORE = "CASE level " + " ".join(f"WHEN {k} THEN {r}::DOUBLE" for k, (r, _) in enumerate(G.RELEVANCE)) + " END"
+_lists = lambda rel, cols: " UNION ALL ".join(f"SELECT {cols}, {k} AS level, concat_ws('/', {key}) AS key FROM {rel} WHERE concat_ws('/', {key}) IS NOT NULL" for k, key in enumerate(_KEYS))
+#: More rounds than the assignment takes on the tables it is checked on; a round without open targets changes nothing.
+ASSIGN_ROUNDS = 14
+
+
+def _assign_round(k: int) -> str:
+    """Round k over the targets without a row in won0 .. won(k-1) and the places left after them."""
+    done = " UNION ALL ".join(f"SELECT * FROM won{i}" for i in range(k)) or "SELECT NULL::BIGINT AS target, NULL::BIGINT AS donor, 0 AS level WHERE false"
+    return f""", done{k} AS MATERIALIZED ({done}), open{k} AS MATERIALIZED (SELECT d.donor, 8 - count(w.target) AS left_ FROM donors d LEFT JOIN done{k} w ON w.donor = d.donor GROUP BY d.donor HAVING count(w.target) < 8)
+, ask{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY level, key ORDER BY need DESC, target) AS p FROM tl WHERE target NOT IN (SELECT target FROM done{k}))
+, pl{k} AS MATERIALIZED (SELECT dl.*, left_, sum(left_) OVER (PARTITION BY level, key ORDER BY strength DESC, dl.donor) AS upto, row_number() OVER (PARTITION BY level, key ORDER BY strength DESC, dl.donor) AS nth FROM dl JOIN open{k} USING (donor))
+, of{k} AS MATERIALIZED (SELECT a.target, q.donor, level, q.strength * {_SCORE} AS score, a.need FROM ask{k} a JOIN pl{k} q USING (level, key) WHERE a.p > q.upto - q.left_ AND a.p <= q.upto AND q.donor <> a.target AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = q.donor AND e.dst = a.target))
+, st{k} AS MATERIALIZED (SELECT a.target, arg_min(q.donor, q.nth) AS donor, 3 AS level, max(q.strength) * 0.3::DOUBLE AS score, any_value(a.need) AS need FROM ask{k} a JOIN pl{k} q USING (level, key)
+  WHERE level = 3 AND a.target NOT IN (SELECT target FROM of{k}) AND q.donor <> a.target AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = q.donor AND e.dst = a.target) GROUP BY a.target)
+, be{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, level, donor) AS r FROM (SELECT * FROM of{k} UNION ALL SELECT * FROM st{k})) WHERE r = 1)
+, won{k} AS MATERIALIZED (SELECT target, donor, level FROM (SELECT b.*, left_, row_number() OVER (PARTITION BY donor ORDER BY need DESC, target) AS n FROM be{k} b JOIN open{k} USING (donor)) WHERE n <= left_)"""
+
+
 SUGGEST = METRICS + f"""
-, donors AS (SELECT url AS donor, cluster, city, language, pagerank / (followed_out + 1) AS power, pagerank / (followed_out + 1) / (1 + coalesce(depth, 0) / 3.0::DOUBLE) AS strength FROM m)
-, want AS (SELECT * FROM m WHERE url <> {HOME} AND (inlinks = 0 OR depth IS NULL OR depth >= 4 OR (inlinks <= 2 AND word_count >= 300)))
-, pairs AS ({' UNION ALL '.join(_group(r, ', '.join(['language', *c])) for r, c in G.RELEVANCE)})
-, best AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY target ORDER BY score DESC, relevance DESC, donor) AS r FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = p.donor AND e.dst = p.target)) WHERE r = 1)
-, last AS (SELECT w.url AS target, h.donor, h.power, CASE WHEN w.language <> h.language THEN 0.0::DOUBLE ELSE 0.3::DOUBLE + CASE WHEN w.cluster = h.cluster AND w.cluster <> '' THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN w.city = h.city AND w.city <> '' THEN 0.2::DOUBLE ELSE 0 END END AS relevance
-  FROM want w JOIN donors h ON h.donor = {HOME} WHERE w.url NOT IN (SELECT target FROM best) AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = h.donor AND e.dst = w.url))
-, picked AS (SELECT target, donor, power, relevance, FALSE AS last FROM best UNION ALL SELECT target, donor, power, relevance, TRUE FROM last)
-, scored AS (SELECT donor, target, last, {R("word_count / (SELECT max(word_count) FROM m)::DOUBLE * (1 - pagerank / 100.0::DOUBLE) * power * greatest(relevance, 0.1::DOUBLE) * (1 + coalesce(depth, 0) / 4.0::DOUBLE + CASE WHEN inlinks = 0 OR depth IS NULL THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) * 100.0::DOUBLE", 1)} AS impact,
-  CASE WHEN inlinks = 0 THEN 'orphan' WHEN depth IS NULL THEN 'unreachable' WHEN depth >= 4 THEN 'deep' ELSE 'potential' END AS reason FROM picked JOIN want ON want.url = picked.target)
-, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY donor, last ORDER BY impact DESC, target) AS n FROM scored) WHERE last OR n <= 8)
+, donors AS MATERIALIZED (SELECT url AS donor, cluster, city, language, pagerank / (followed_out + 1) AS power, pagerank / (followed_out + 1) / (1 + coalesce(depth, 0) / 3.0::DOUBLE) AS strength FROM m)
+, want AS MATERIALIZED (SELECT *, url AS target, word_count / (SELECT max(word_count) FROM m)::DOUBLE * (1 - pagerank / 100.0::DOUBLE) * (1 + coalesce(depth, 0) / 4.0::DOUBLE + CASE WHEN inlinks = 0 OR depth IS NULL THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) AS need
+  FROM m WHERE url <> {HOME} AND (inlinks = 0 OR depth IS NULL OR depth >= 4 OR (inlinks <= 2 AND word_count >= 300)))
+, tl AS MATERIALIZED ({_lists('want', 'target, need')}), dl AS MATERIALIZED ({_lists('donors', 'donor, strength')})
+{''.join(map(_assign_round, range(ASSIGN_ROUNDS)))}
+, given AS ({' UNION ALL '.join(f'SELECT * FROM won{k}' for k in range(ASSIGN_ROUNDS))})
+, picked AS (SELECT target, g.donor, power, {_SCORE} AS relevance FROM given g JOIN donors d ON d.donor = g.donor
+  UNION ALL SELECT w.url, h.donor, h.power, CASE WHEN w.language <> h.language THEN 0.0::DOUBLE ELSE 0.3::DOUBLE + CASE WHEN w.cluster = h.cluster THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN w.city = h.city AND w.city <> '' THEN 0.2::DOUBLE ELSE 0 END END
+  FROM want w JOIN donors h ON h.donor = {HOME} WHERE w.url NOT IN (SELECT target FROM given) AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = h.donor AND e.dst = w.url))
+, kept AS MATERIALIZED (SELECT p.donor, p.target, {R("need * power * greatest(relevance, 0.1::DOUBLE) * 100.0::DOUBLE", 1)} AS impact,
+  CASE WHEN inlinks = 0 THEN 'orphan' WHEN depth IS NULL THEN 'unreachable' WHEN depth >= 4 THEN 'deep' ELSE 'potential' END AS reason FROM picked p JOIN want w ON w.url = p.target)
 , cnt AS (SELECT count(*) AS c FROM kept), rk AS (SELECT impact, row_number() OVER (ORDER BY impact DESC) AS r FROM kept)
 , hi AS (SELECT (SELECT max(impact) FROM rk WHERE r = (SELECT CASE WHEN c > 5 THEN greatest(1, c // 5) ELSE 1 END FROM cnt)) AS hi, (SELECT max(impact) FROM rk WHERE r = (SELECT greatest(1, c // 2) FROM cnt)) AS mid)
 SELECT donor, target, impact, reason, CASE WHEN impact >= hi THEN 'high' WHEN impact >= mid THEN 'medium' ELSE 'low' END AS priority FROM kept, hi ORDER BY impact DESC, target LIMIT 150"""
