@@ -98,7 +98,7 @@ ORACLES = {f"text_signals_{f.lower()}": SIGNALS + f" SELECT doc_id, {', '.join(c
     "text_evidence_spoken": _spoken_docs + SENTENCES + LOUDEST,
     "text_problems": SIGNALS + " " + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS problem, '{s}' AS severity FROM sg WHERE {c} >= {b}" for n, (c, b, s) in S.PROBLEMS.items()),
     "text_site_rollup": SCORES + ", tt AS (" + TITLE.replace("WITH t AS", "WITH tx AS").replace("FROM t WHERE", "FROM tx WHERE") + f"""
-, r AS (SELECT source AS site, ws, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM f), p AS (SELECT a.site, len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE AS j FROM r a JOIN r b ON a.site = b.site AND a.r < b.r WHERE a.r <= 12 AND b.r <= 12)
+, r AS (SELECT source AS site, ws, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM f), p AS (SELECT a.site, len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE AS j FROM r a JOIN r b ON a.site = b.site AND a.r < b.r)
 SELECT site, {R('avg(j)', 4)} AS mean_jaccard FROM p GROUP BY site)
 , ba AS (SELECT source AS site, count(*) AS texts, avg(score) AS ms, stddev_pop(score) AS sd, avg(value_risk) AS mr FROM ts GROUP BY 1)
 , bo AS (SELECT ba.*, list_filter([CASE WHEN texts >= 3 THEN {_ramp('sd', 3, 18, True)} END, CASE WHEN mean_jaccard IS NOT NULL THEN {_ramp('mean_jaccard', 0.15, 0.55)} END], lambda x: x IS NOT NULL) AS parts FROM ba LEFT JOIN tt USING (site))

@@ -94,7 +94,7 @@ SELECT a, b, {R('j', 4)} AS similarity FROM j WHERE j >= 0.85 UNION ALL SELECT c
 , g AS (SELECT 0::BIGINT AS r, NULL::BIGINT AS head, []::BIGINT[] AS seen UNION ALL SELECT nb.r, CASE WHEN list_contains(seen, doc_id) THEN NULL ELSE doc_id END, CASE WHEN list_contains(seen, doc_id) THEN seen ELSE list_concat(seen, dup) END FROM g JOIN nb ON nb.r = g.r + 1)
 SELECT head AS first_url, substr(array_to_string(ws, ' '), 1, 50) AS key, len(dup) + 1 AS pages FROM g JOIN nb ON nb.doc_id = head JOIN v ON v.doc_id = head""",
     "title_similarity": TITLE + f"""
-, r AS (SELECT source AS site, ws, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM f), p AS (SELECT a.site, len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE AS j FROM r a JOIN r b ON a.site = b.site AND a.r < b.r WHERE a.r <= 12 AND b.r <= 12)
+, r AS (SELECT source AS site, ws, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM f), p AS (SELECT a.site, len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE AS j FROM r a JOIN r b ON a.site = b.site AND a.r < b.r)
 SELECT site, count(*) AS pairs, {R('avg(j)', 4)} AS mean_jaccard FROM p GROUP BY site""",
     "uniqueness": SETS + f"""
 , l AS (SELECT source, sh, lag(sh) OVER (PARTITION BY source ORDER BY doc_id) AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM s)
