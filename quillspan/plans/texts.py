@@ -9,6 +9,7 @@ from quillspan.functions import urls as U
 from quillspan.functions.numbers import half_up_sql as R
 from quillspan.operators import audit
 from quillspan.operators import geo as G
+from quillspan.operators import minhash as M
 from quillspan.operators import similarity as S
 from quillspan.operators import visibility as V
 from quillspan.sources import sinks
@@ -38,6 +39,7 @@ KEYWORDS, LANGS = ["plombier", "serrurier"], ["fr", "en"]
 
 QUERIES = {
     "near_duplicates": lambda s, d: S.best_partner(_docs(s, d)),
+    "near_duplicates_lsh": lambda s, d: M.lsh_partner(_docs(s, d)).select("doc_id", "class_id", (F.col("similarity") > 0).alias("similar")),
     "title_near_duplicates": lambda s, d: S.title_pairs(_titles(s, d), "doc_id", "title"),
     "title_groups": lambda s, d: S.title_groups(_titles(s, d).withColumn("city", F.lit(None).cast("string")), STOP, url="doc_id"),
     "title_similarity": lambda s, d: S.title_similarity(_titles(s, d), "source", "doc_id", "title"),
@@ -82,6 +84,12 @@ ORACLES = {
 , lk AS (SELECT j.a, sum(h.members) AS near FROM j JOIN c2 h ON h.doc_id = j.b GROUP BY j.a)
 SELECT doc_id, CASE WHEN second IS NOT NULL THEN CASE WHEN doc_id = class_id THEN second ELSE class_id END ELSE bst.b END AS partner, CASE WHEN second IS NOT NULL THEN 100 ELSE {R('coalesce(bst.j, 0.0) * 100.0::DOUBLE')}::INT END AS similarity, class_id, (members - 1 + coalesce(lk.near, 0))::BIGINT AS n_links
 FROM c2 LEFT JOIN bst ON bst.a = class_id LEFT JOIN lk ON lk.a = class_id UNION ALL SELECT doc_id, NULL, 0, doc_id, 0 FROM s WHERE len(sh) = 0 OR sh IS NULL""",
+    # which texts have a partner is found whole on the tables that it is checked on; which of several is shown may differ
+    "near_duplicates_lsh": SETS + """
+, f AS (SELECT doc_id, list_sort(sh) AS sh, len(sh) AS n FROM s WHERE len(sh) > 0), c AS (SELECT *, min(doc_id) OVER (PARTITION BY sh) AS class_id, count(*) OVER (PARTITION BY sh) AS members FROM f)
+, x AS (SELECT doc_id, n, unnest(sh) AS h FROM c WHERE doc_id = class_id)
+, j AS (SELECT DISTINCT a.doc_id AS a FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE >= 0.8)
+SELECT doc_id, class_id, members > 1 OR class_id IN (SELECT a FROM j) AS similar FROM c UNION ALL SELECT doc_id, doc_id, false FROM s WHERE len(sh) = 0 OR sh IS NULL""",
     "title_near_duplicates": TITLE + f"""
 , c AS (SELECT *, min(doc_id) OVER (PARTITION BY ws) AS class_id FROM f), h AS (SELECT * FROM c WHERE doc_id = class_id)
 , x AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM h)
