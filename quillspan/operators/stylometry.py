@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions.numbers import half_up
+from quillspan.functions.phrases import phrase_totals
 from quillspan.operators import lexicons as L
 from quillspan.operators.dialect import Oracle, Spark
 
@@ -32,6 +33,21 @@ def _occurrences(d: Spark, x: str, phrases: list[str]) -> str:
     return "(" + " + ".join(each) + ")"
 
 
+#: Phrase lists by name, for French texts and for others.
+PHRASE_LISTS = {
+    "phrases": (L.PHRASES_FR + L.PHRASES_EN, L.PHRASES_EN), "first_person": (L.FIRST_PERSON_FR, L.FIRST_PERSON_EN),
+    "vague": (L.VAGUE_FR, L.VAGUE_EN), "oral": (L.ORAL_FR + L.ORAL_EN, L.ORAL_EN),
+}
+
+
+def _listed(d: Spark, name: str) -> str:
+    """Occurrences of a list's phrases: from the automaton's totals (column hits), in the oracle phrase by phrase."""
+    if isinstance(d, Oracle):
+        return by_language(d, *(_occurrences(d, "low", phrases) for phrases in PHRASE_LISTS[name]))
+    k = 2 * list(PHRASE_LISTS).index(name)
+    return by_language(d, f"hits[{k}]", f"hits[{k + 1}]")
+
+
 def _in(d: Spark, v: str, words: list[str]) -> str:
     return f"{v} IN ({', '.join(d.text(w) for w in words)})"
 
@@ -69,14 +85,14 @@ def by_language(d: Spark, french: str, english: str) -> str:
 
 def count_columns(d: Spark) -> dict[str, str]:
     """Third step: raw counts by lexicon and pattern."""
-    occ = lambda fr, en: by_language(d, _occurrences(d, "low", fr), _occurrences(d, "low", en))
+    occ = lambda name: _listed(d, name)
     starts = lambda words: " OR ".join(f"{d.starts}(s, {d.text(c)})" for c in words)
     lowered = d.map("sents", "s", "lower(s)")
     heads = d.every(r"(?m)^\s*#{1,4}\s*([^\n<]{4,90})", "t", 1)
     title = d.every(T.WIDE_WORD, f"lower({d.at('lines', 1)})")
     three = d.map(d.steps("1", f"greatest({d.size(title)} - 2, 1)", "1"), "i", d.join(d.slice(title, "i", "3"), " "))
     return {
-        "phrases": occ(L.PHRASES_FR + L.PHRASES_EN, L.PHRASES_EN), "stock": by_language(d, _share(d, "words", L.WORDS_FR), _share(d, "words", L.WORDS_EN)),
+        "phrases": occ("phrases"), "stock": by_language(d, _share(d, "words", L.WORDS_FR), _share(d, "words", L.WORDS_EN)),
         "connected": by_language(d, d.size(d.filter(lowered, "s", starts(L.CONNECTORS_FR))), d.size(d.filter(lowered, "s", starts(L.CONNECTORS_EN)))),
         "triples": f"({d.count(r'(?i)[a-zà-ÿ0-9_’-]+,\s+[a-zà-ÿ0-9_’-]+\s+(?:et|and|ou|or)\s+[a-zà-ÿ0-9_’-]+', 't')} + {d.count(r'(?i),\s+[^,.;:\n]{4,60},\s+(?:et|and|ou|or)\s+', 't')})",
         "listed": f"CASE WHEN contains(t, ':') THEN {d.count(r'(?:[^,.\n:]{2,45},\s+){2,}[^,.\n:]{2,45}\s*:', 't')} ELSE 0 END", "not_only": d.count("(?:ce n'est pas (?:seulement|juste|simplement)|not (?:just|only|merely))", "low"),
@@ -88,9 +104,9 @@ def count_columns(d: Spark) -> dict[str, str]:
         "reinjected": f"CASE WHEN coalesce(length({d.at('lines', 1)}) > 10 AND length({d.at('lines', 1)}) < 90, FALSE) AND {d.size(title)} >= 3 THEN {d.size(d.filter(three, 'g', f'length(g) >= 12 AND instr(substring(low, length({d.at('lines', 1)}) + 1), g) > 0'))} ELSE 0 END",
         "faq": d.count(r"(?m)^\s*(?:#{1,4}\s*)?(?:faq|questions fréquentes|foire aux questions|frequently asked)", "low"),
         "strong_numbers": d.count(r"(?i)\d[\d\s,.]*(?:€|\$|%|km|kg|m²|kwh)|(?:19|20)\d{2}", "t"), "plain_numbers": d.count(r"\d[\d\s,.]*", "t"),
-        "mid_caps": d.total(d.map("sents", "s", d.count(rf"[\s(«]{_CAP}[a-zà-ÿ]{{2,}}", "s"))), "first_person": occ(L.FIRST_PERSON_FR, L.FIRST_PERSON_EN),
+        "mid_caps": d.total(d.map("sents", "s", d.count(rf"[\s(«]{_CAP}[a-zà-ÿ]{{2,}}", "s"))), "first_person": occ("first_person"),
         "corporate": _share(d, "words", L.CORPORATE), "dates": f"({_share(d, 'words', L.MONTHS)} + {d.size(d.filter('words', 'w', d.matches('^(?:19|20)[0-9]{2}$', 'w')))})",
-        "vague": occ(L.VAGUE_FR, L.VAGUE_EN), "quotes": d.count("[«\"“][^»\"”]{15,240}[»\"”]" if isinstance(d, Oracle) else "[«\\x22“][^»\\x22”]{15,240}[»\\x22”]", "t"), "oral": occ(L.ORAL_FR + L.ORAL_EN, L.ORAL_EN),
+        "vague": occ("vague"), "quotes": d.count("[«\"“][^»\"”]{15,240}[»\"”]" if isinstance(d, Oracle) else "[«\\x22“][^»\\x22”]{15,240}[»\\x22”]", "t"), "oral": occ("oral"),
         "asked": _occurrences(d, "t", ["!", "?"]), "brackets": _occurrences(d, "t", ["("]), "letters": d.total(d.map("words", "w", "length(w)")),
     }
 
@@ -156,6 +172,7 @@ def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tup
     """All columns that the signals read, for texts of at least MIN_WORDS words."""
     d = Spark()
     out = docs.select(key, *keep, *(F.expr(e).alias(n) for n, e in cut_columns(d, text).items())).filter(F.size("words") >= MIN_WORDS)
+    out = out.withColumn("hits", phrase_totals(F.col("low"), [each for pair in PHRASE_LISTS.values() for each in pair]))
     for step in (shape_columns(d), count_columns(d), lexical_columns(d)):
         out = out.withColumns({n: F.expr(e) for n, e in step.items()})
     out = out.withColumn("mark_total", F.greatest(F.aggregate("marks", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))).withColumn("entropy", F.expr(entropy_column(d)))
@@ -224,13 +241,14 @@ def sentence_labels(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = prepared(docs, key, text)
     each = rows.select(key, "french", "mean_len", F.posexplode("sents").alias("pos", "s")).withColumn("sl", F.lower("s")).withColumn("ws", T.wide_words(F.col("s")))
     pick = lambda fr, en: F.expr(by_language(d, fr, en))
-    has = lambda phrases: "(" + " + ".join(f"CASE WHEN contains(sl, {d.text(p)}) THEN 1 ELSE 0 END" for p in phrases) + ")"
+    seen = [*PHRASE_LISTS["phrases"], *PHRASE_LISTS["vague"]]
+    each = each.withColumn("seen", phrase_totals(F.col("sl"), seen, present=True))
     starts = lambda words: "(" + " OR ".join(f"startswith(sl, {d.text(c)})" for c in words) + ")"
     stock = lambda words: d.size(d.filter("array_distinct(ws)", "w", _in(d, "w", words)))
     each = each.withColumns(
         {
-            "n_phrases": pick(has(L.PHRASES_FR + L.PHRASES_EN), has(L.PHRASES_EN)), "opens": pick(starts(L.CONNECTORS_FR), starts(L.CONNECTORS_EN)), "n_stock": pick(stock(L.WORDS_FR), stock(L.WORDS_EN)),
-            "n_vague": pick(has(L.VAGUE_FR), has(L.VAGUE_EN)), "triple": F.col("s").rlike(r"(?i)[a-zà-ÿ0-9_’-]+,\s+[a-zà-ÿ0-9_’-]+\s+(?:et|and|ou|or)\s+[a-zà-ÿ0-9_’-]+"),
+            "n_phrases": pick("seen[0]", "seen[1]"), "opens": pick(starts(L.CONNECTORS_FR), starts(L.CONNECTORS_EN)), "n_stock": pick(stock(L.WORDS_FR), stock(L.WORDS_EN)),
+            "n_vague": pick("seen[2]", "seen[3]"), "triple": F.col("s").rlike(r"(?i)[a-zà-ÿ0-9_’-]+,\s+[a-zà-ÿ0-9_’-]+\s+(?:et|and|ou|or)\s+[a-zà-ÿ0-9_’-]+"),
             "average": (F.size("ws") >= 12) & (F.abs(F.size("ws") - F.col("mean_len")) <= 0.15 * F.col("mean_len")),
         }
     )
