@@ -114,17 +114,10 @@ def snippet(text: Column, needle: Column, before: int = 80, after: int = 120) ->
     return F.when(at > 0, F.concat(F.when(start > 1, "…").otherwise(""), F.substring(text, start, end - start + 1), F.when(end < F.length(text), "…").otherwise("")))
 
 
-def json_in_prose(text: Column, schema: str) -> Column:
-    """The fenced block if there is one, else from the first to the last brace; null when it does not parse."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    bare = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    body = F.when(fenced != "", fenced).otherwise(bare)
-    return F.when(F.get_json_object(body, "$").isNotNull(), F.from_json(body, schema))
-
-
 def json_texts(body: Column, keys: tuple[str, ...]) -> Column:
-    """String values of some keys at any depth of a JSON text."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(rf'"(?:{"|".join(keys)})"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1)))
+    """Distinct string values of some keys at any depth of a JSON text, escapes decoded; sources.json.collect_strings() has them with their places."""
+    raw = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(rf'"(?:{"|".join(keys)})"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    return F.array_distinct(F.transform(raw, lambda x: F.get_json_object(F.concat(F.lit('["'), x, F.lit('"]')), "$[0]")))
 
 
 def expand_template(template: Column, place: dict[str, Column]) -> Column:

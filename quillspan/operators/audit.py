@@ -25,11 +25,10 @@ PENALTIES = {
     "http_error": 100, "noindex": 40, "title_missing": 18, "title_long": 5, "title_short": 5, "description_missing": 12, "description_long": 4, "h1_missing": 12, "h1_multiple": 6,
     "title_h1_mismatch": 4, "thin_content": 15, "near_duplicate": 20, "city_not_in_title": 8, "city_not_in_h1": 5, "lang_missing": 3, "hreflang": 6,
 }
-LANGUAGE_WORDS = 1500
 
 
 def language_votes(text: Column) -> dict[str, Column]:
-    words = F.slice(T.words(text), 1, LANGUAGE_WORDS)
+    words = T.words(text)
     return {"n": F.size(words)} | {k: _hits(words, v.split()) for k, v in STOP_WORDS.items()}
 
 
@@ -40,7 +39,7 @@ def _hits(words: Column, stop: list[str]) -> Column:
 def detect_language(rows: DataFrame, text: str = "text", html_lang: str | None = None) -> DataFrame:
     """``rows`` with ``language``: the declared two-letter code, else the language of most frequent words.
 
-    At least 20 words, and hits of at least 3 and 2 % of the first 1,500 words; ties go to the first language listed.
+    At least 20 words, and hits of at least 3 and 2 % of all words; ties go to the first language listed.
     """
     votes = language_votes(F.col(text))
     out = rows.withColumn("_n", votes.pop("n")).withColumns({f"_{k}": v for k, v in votes.items()})

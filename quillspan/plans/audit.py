@@ -59,7 +59,7 @@ AUDIT = HEAD + f"""
 , sc AS (SELECT *, greatest(0, least(100, 100 - coalesce(list_sum(list_transform(issues, lambda i: map({{{', '.join(f"'{k}': {v}" for k, v in A.PENALTIES.items())}}})[i])), 0) + CASE WHEN word_count >= 800 THEN 5 ELSE 0 END))::INT AS score FROM iss)
 """.replace("map({", "MAP {").replace("})[i]", "}[i]")
 _hit = lambda words, stop: f"len(list_filter({words}, lambda w: w IN ({', '.join(lit(x) for x in stop.split())})))"
-VOTES = f", w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}')[1:1500] AS ws FROM documents), v AS (SELECT doc_id, len(ws) AS n, " + ", ".join(f"{_hit('ws', v)} AS h_{k}" for k, v in A.STOP_WORDS.items()) + " FROM w)"
+VOTES = f", w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS ws FROM documents), v AS (SELECT doc_id, len(ws) AS n, " + ", ".join(f"{_hit('ws', v)} AS h_{k}" for k, v in A.STOP_WORDS.items()) + " FROM w)"
 BEST = f"greatest({', '.join(f'h_{k}' for k in A.STOP_WORDS)})"
 LINKS = f"""
 , p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages)

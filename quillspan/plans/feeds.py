@@ -8,6 +8,7 @@ from quillspan.functions import urls as U
 from quillspan.functions.numbers import half_up_sql as R
 from quillspan.operators import visibility as V
 from quillspan.plans.audit import HEAD, METRICS
+from quillspan.sources import json as J
 from quillspan.sources.fixtures import oracle, view
 
 DOMAIN = "site3.example.org"
@@ -54,7 +55,16 @@ def _features(s, d):
     return view(s, d, "orders").select(F.col("o_orderkey").alias("keyword"), F.concat_ws(", ", (F.col("o_orderkey") % 60).cast("string"), (F.col("o_custkey") % 60).cast("string")).alias("features"))
 
 
+def _nested(s, d):
+    """Conversations as JSON of several levels, slashes escaped, with wanted keys at different depths and strings that stand in lists."""
+    item = F.struct("turn", F.when(F.col("turn") % 2 == 0, F.col("text")).alias("text"), F.array(F.struct(F.struct(F.concat(F.lit("https://h.example.org/"), F.col("turn").cast("string")).alias("link"), F.col("role").alias("role")).alias("source"))).alias("refs"), F.array("role").alias("list"), F.struct(F.when(F.col("turn") % 2 == 1, F.col("text")).alias("answer")).alias("deep"))
+    rows = view(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    body = F.to_json(F.struct(F.array(F.struct(F.array(F.struct("items", F.lit(1).alias("url"))).alias("result"))).alias("tasks"), F.lit("T").alias("title")))
+    return rows.select("conv_id", F.replace(body, F.lit("/"), F.lit("\\/")).alias("body"))
+
+
 QUERIES = {
+    "json_collected": lambda s, d: J.collect_strings(_nested(s, d), "conv_id", "body").select("conv_id", "kind", "value"),
     "serp_rank": lambda s, d: V.domain_rank(V.serp_items(_serp(s, d)), DOMAIN),
     "overview_presence": lambda s, d: V.overview_presence(_serp(s, d), DOMAIN),
     "overview_share": lambda s, d: V.overview_share(_features(s, d)),
@@ -103,6 +113,7 @@ ADVICE = (
     ("TRUE", "medium", "files", "publish llms.txt"), ("lists = 0", "medium", "content", "add lists"), ("images_alt < images", "medium", "content", "describe images"), ("TRUE", "medium", "schema", "add an article"), ("TRUE", "medium", "schema", "add breadcrumbs"),
 )
 ORACLES = {
+    "json_collected": "SELECT conv_id, 'text' AS kind, text AS value FROM conversations WHERE text IS NOT NULL UNION ALL SELECT conv_id, 'url', 'https://h.example.org/' || turn FROM conversations UNION ALL SELECT DISTINCT conv_id, 'text', 'T' FROM conversations",
     "platform_readiness": FACTS + " " + " UNION ALL ".join(f"SELECT page_id, '{p}' AS platform, {e} AS score FROM fa" for p, e in CARDS.items()),
     "geo_composite": FACTS + COMPOSITE,
     "recommendations": FACTS + " " + " UNION ALL ".join(f"SELECT page_id, '{p}' AS priority, '{c}' AS category, '{a}' AS advice FROM fa WHERE {w}" for w, p, c, a in ADVICE),

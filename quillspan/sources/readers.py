@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.numbers import safe_float, safe_int, token_cost
+from quillspan.workspace import materialize
 
 # Positions in the headerless place file.
 PLACE_COLUMNS = {1: "department", 2: "slug", 5: "name", 8: "postal_code", 14: "population", 19: "lng", 20: "lat"}
@@ -95,11 +96,14 @@ def sitemap_children(bodies: DataFrame) -> DataFrame:
 
 
 def sitemap_tree(bodies: DataFrame, root: str) -> DataFrame:
-    """URLs of a root sitemap: its own and those of its children."""
-    children = sitemap_children(bodies.filter(F.col("sitemap") == root)).select(F.col("child").alias("sitemap")).distinct()
-    own = bodies.filter(F.col("sitemap") == root)
-    below = bodies.join(children, "sitemap", "left_semi")
-    return sitemap_urls(own.unionByName(below)).dropDuplicates(["loc"])
+    """URLs of a root sitemap: its own and those of all indexes below it, however deep; an index that names one seen before is not read again."""
+    children = materialize(sitemap_children(bodies).filter("child <> ''").distinct(), "sitemap-children")
+    seen = new = bodies.sparkSession.createDataFrame([(root,)], "sitemap string")
+    while not new.isEmpty():
+        below = children.join(new, "sitemap").select(F.col("child").alias("sitemap")).distinct()
+        new = materialize(below.join(seen, "sitemap", "left_anti"), "sitemap-new")
+        seen = materialize(seen.unionByName(new), "sitemap-seen")
+    return sitemap_urls(bodies.join(seen, "sitemap", "left_semi")).dropDuplicates(["loc"])
 
 
 def robots_sitemaps(robots: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from quillspan.functions import numbers as N
 from quillspan.functions import text as T
 from quillspan.functions import urls as U
 from quillspan.operators import audit, extract, geo, graph, indexation, search, similarity, stylometry, visibility
+from quillspan.sources import json as J
 from quillspan.sources import readers, sinks
 
 
@@ -92,8 +93,8 @@ def test_text_and_number_functions(spark):
     assert row(T.sentences(F.lit("Un. Deux!  Trois… x")))[0] == ["Un.", "Deux!", "Trois…"]
     assert row(F.size(T.shingles(F.lit("a b c d e f"))), F.size(T.shingles(F.lit("a b"))))[:] == (2, 0)
     assert row(T.occurrences(F.lit("aaaa"), "aa"), T.punctuation_entropy(F.lit("a.b,")), T.punctuation_entropy(F.lit("ab")))[:] == (2, 1.0, 0.0)
-    assert row(T.json_in_prose(F.lit('so ```json\n{"a": 1}\n``` x'), "a int"))[0].a == 1
-    assert row(T.json_in_prose(F.lit('so {"a": 2} x'), "a int"))[0].a == 2 and row(T.json_in_prose(F.lit("none {"), "a int"))[0] is None
+    assert row(J.json_in_prose(F.lit('so ```json\n{"a": 1}\n``` x'), "a int"))[0].a == 1
+    assert row(J.json_in_prose(F.lit('so {"a": 2} x'), "a int"))[0].a == 2 and row(J.json_in_prose(F.lit("none {"), "a int"))[0] is None
     assert row(T.json_texts(F.lit('{"x": {"url": "u1", "l": [{"link": "u2"}]}}'), ("url", "link")))[0] == ["u1", "u2"]
     assert row(N.ramp(F.lit(0.5), 0, 1), N.ramp(F.lit(0.2), 0, 1, True), N.ramp(F.lit(0.7), 1.2, 0.2), N.ramp(F.lit(1), 2, 2))[:] == (50.0, 80.0, 50.0, 0.0)
     assert row(N.safe_int(F.lit("12.9")), N.safe_int(F.lit("x")), N.safe_float(F.lit("1.005x")), N.rating(F.lit("9")), N.rating(F.lit("q")))[:] == (12, 0, 0.0, 5.0, 5.0)
