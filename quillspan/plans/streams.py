@@ -11,24 +11,31 @@ from quillspan.workspace import fresh_path
 FILES = 3
 
 
-def _landed(s, d, by: str = "event_id") -> str:
-    """Search rows in files by a rising order, written one after the other as they would land."""
-    path = fresh_path(s, "stream-in")
+def _chunks(s, d, by: str):
+    """Search rows cut into FILES parts by a rising order, as they would land one after the other."""
     rows = view(s, d, "fx_search").select("site_id", "event_id", "query", "page", "dt", "ts", "position", "impressions", "clicks")
     order = F.expr(by)
     low, high = rows.agg(F.min(order), F.max(order)).first()
     step = ((high or 0) - (low or 0)) // FILES + 1
     for i in range(FILES):
         start = (low or 0) + i * step
-        rows.filter((order >= start) & (order < start + step)).write.mode("append").parquet(path)
+        yield rows.filter((order >= start) & (order < start + step))
+
+
+def _landed(s, d, by: str = "event_id") -> str:
+    path = fresh_path(s, "stream-in")
+    for rows in _chunks(s, d, by):
+        rows.write.mode("append").parquet(path)
     return path
 
 
 def _sync(s, d):
-    job = jobs.RankSync(s, fresh_path(s, "rank-sync"))
-    # one batch: the history and snapshot of all rows, to be held against the batch result
-    last = job.run(jobs.search_stream(s, _landed(s, d), files_per_trigger=1000))
-    return s.read.parquet(job.snapshot_path(last)).select("site_id", "keyword", "current_position", "best_position", "impressions", "clicks")
+    """FILES batches, the job started anew from its checkpoint for each."""
+    path, root = fresh_path(s, "stream-in"), fresh_path(s, "rank-sync")
+    for rows in _chunks(s, d, "event_id"):
+        rows.write.mode("append").parquet(path)
+        jobs.RankSync(s, root).run(jobs.search_stream(s, path, files_per_trigger=100_000))
+    return jobs.RankSync(s, root).snapshot()
 
 
 def _to_table(stream, s, mode: str, label: str):
@@ -51,7 +58,11 @@ def _alerts(s, d):
 QUERIES = {"stream_rank_sync": _sync, "stream_burst": _burst, "stream_drop_alerts": _alerts}
 
 ORACLES = {
-    "stream_rank_sync": oracle("fx_search", ", b AS (SELECT *, row_number() OVER (PARTITION BY site_id, query ORDER BY position, event_id) AS rn FROM fx_search) SELECT site_id, query AS keyword, position AS current_position, position AS best_position, impressions, clicks FROM b WHERE rn = 1"),
+    "stream_rank_sync": oracle("fx_search", f"""
+, st AS (SELECT min(event_id) AS low, (max(event_id) - min(event_id)) // {FILES} + 1 AS step FROM fx_search), c AS (SELECT f.*, (event_id - low) // step AS batch FROM fx_search f, st)
+, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch, site_id, query ORDER BY position, event_id) AS rn FROM c) WHERE rn = 1)
+, l AS (SELECT *, lag(position) OVER w AS previous_position, min(position) OVER (PARTITION BY site_id, query) AS best_position, row_number() OVER (PARTITION BY site_id, query ORDER BY batch DESC) AS last FROM b WINDOW w AS (PARTITION BY site_id, query ORDER BY batch))
+SELECT site_id, query AS keyword, position AS current_position, previous_position, best_position, impressions, clicks FROM l WHERE last = 1"""),
     "stream_drop_alerts": oracle("fx_search", ", l AS (SELECT *, lag(position) OVER (PARTITION BY site_id, query ORDER BY event_id) AS previous_position FROM fx_search) SELECT site_id, query, event_id, previous_position, position AS current_position, position - previous_position AS delta FROM l WHERE position - previous_position >= 3"),
     "stream_burst": oracle("fx_search", ", c AS (SELECT site_id AS site, dt, count(*) AS n FROM fx_search WHERE CAST(dt AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM fx_search) - INTERVAL 1 DAY GROUP BY ALL) SELECT site, count(*) AS days, sum(n)::BIGINT AS total, floor(max(n) / sum(n)::DOUBLE * 10000 + 0.5) / 10000 AS burst_share FROM c GROUP BY site"),
 }

@@ -24,32 +24,71 @@ def search_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema(SEARCH_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+SNAPSHOT_SCHEMA = "site_id bigint, keyword string, current_position double, previous_position double, best_position double, impressions bigint, clicks bigint"
+
+
 class RankSync:
     """R1: history append and keyword snapshot merge, once per batch.
 
-    The snapshot of each batch is a new folder named by the batch id, and the
-    history of a batch overwrites its own folder, so a replayed batch leaves
-    the same files behind.
+    The snapshot is kept in ``buckets`` parts by a hash of (site, keyword).  A
+    batch reads and writes only the parts that its keywords fall into, into a
+    folder named by the batch, and then says in a table of one row per part
+    which batch has the newest of each; so its cost follows the batch, not the
+    snapshot.  The history of a batch overwrites its own folder as well.  A
+    replayed batch starts from the versions before it and leaves the same files
+    behind; parts that neither the last nor the present batch refers to are
+    deleted.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def _bucket(self, keyword: str):
+        return F.pmod(F.xxhash64("site_id", keyword), F.lit(self.buckets)).cast("int")
 
-    def snapshot_path(self, batch_id: int) -> str:
-        return f"{self.root}/snapshot/batch={batch_id}"
+    def _files(self, path: str):
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
-    def _snapshot(self, batch_id: int) -> DataFrame:
-        schema = "site_id bigint, keyword string, current_position double, previous_position double, best_position double, impressions bigint, clicks bigint"
+    def _batches(self) -> list[int]:
+        """Batches whose versions are written, in order."""
+        files, path = self._files(f"{self.root}/versions")
+        names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+        done = (n.removeprefix("batch=") for n in names if n.startswith("batch=") and files.exists(self._files(f"{self.root}/versions/{n}/_SUCCESS")[1]))
+        return sorted(map(int, done))
+
+    def _versions(self, batch_id: int) -> dict[int, int]:
+        """Which batch has the newest of each part, after ``batch_id``; at most one row a part."""
         if batch_id < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.snapshot_path(batch_id))
+            return {}
+        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version bigint").parquet(f"{self.root}/versions/batch={batch_id}").collect()}
+
+    def _parts(self, versions: dict[int, int]) -> DataFrame:
+        paths = [f"{self.root}/snapshot/batch={v}/bucket={b}" for b, v in sorted(versions.items())]
+        return self.spark.read.schema(SNAPSHOT_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SNAPSHOT_SCHEMA)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        now = best_page(batch)
-        before = self._snapshot(batch_id - 1)
-        none = now.limit(0)
+        earlier = [b for b in self._batches() if b < batch_id]
+        before = self._versions(earlier[-1] if earlier else -1)
+        now = best_page(batch).persist()
         sinks.history_rows(now, F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.root}/history/batch={batch_id}")
-        sinks.merge_keywords(before, now, none).write.mode("overwrite").parquet(self.snapshot_path(batch_id))
+        touched = [r[0] for r in now.select(self._bucket("query").alias("b")).distinct().collect()]  # at most one a part
+        old = self._parts({b: before[b] for b in touched if b in before})
+        merged = sinks.merge_keywords(old, now, now.limit(0)).withColumn("bucket", self._bucket("keyword"))
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/snapshot/batch={batch_id}")
+        after = before | dict.fromkeys(touched, batch_id)
+        rows = self.spark.createDataFrame(sorted(after.items()), "bucket int, version bigint")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/versions/batch={batch_id}")
+        now.unpersist()
+        if len(earlier) > 1:
+            self._forget(self._versions(earlier[-2]), before, after)
+
+    def _forget(self, older: dict[int, int], before: dict[int, int], after: dict[int, int]) -> None:
+        """Delete parts that were superseded before the last batch."""
+        for bucket, version in older.items():
+            if version not in (before.get(bucket), after.get(bucket)):
+                files, path = self._files(f"{self.root}/snapshot/batch={version}/bucket={bucket}")
+                files.delete(path, True)
 
     def run(self, rows: DataFrame) -> int:
         """Work through all files there are; returns the last batch id (-1 without any)."""
@@ -57,6 +96,11 @@ class RankSync:
         query.awaitTermination()
         return max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=-1)
 
+    def snapshot(self) -> DataFrame:
+        """The keyword snapshot after the last batch."""
+        done = self._batches()
+        return self._parts(self._versions(done[-1] if done else -1))
+
     def history(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/history")
 
