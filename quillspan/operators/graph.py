@@ -16,7 +16,7 @@ from quillspan.functions import text as T
 from quillspan.functions.numbers import half_up
 from quillspan.operators.audit import STOP_WORDS
 from quillspan.operators.similarity import title_groups
-from quillspan.workspace import fresh_path, materialize
+from quillspan.workspace import bucketed, fresh_path, materialize
 
 # Anchors that say nothing about their target.
 GENERIC_ANCHORS = ("cliquez ici", "cliquer ici", "ici", "en savoir plus", "lire la suite", "lire plus", "plus", "voir plus", "read more", "en savoir +", "decouvrir", "voir", "ce lien", "lien", "click here", "")
@@ -39,26 +39,32 @@ def pagerank(nodes: DataFrame, links: DataFrame, rounds: int = 50, damping: floa
     """(url, raw, pagerank): power iteration, dangling mass spread evenly, stop on an L1 change under the tolerance;
     pagerank is scaled to a maximum of 100 and rounded to one decimal. No nodes: no rows."""
     degrees = links.groupBy("src").agg(F.count("*").alias("degree"))
-    weighted = materialize(links.join(degrees, "src"), "pr-edges")
-    base = materialize(nodes.select("url").join(degrees.withColumnRenamed("src", "url"), "url", "left").select("url", F.col("degree").isNull().alias("dangling")), "pr-nodes")
+    # edges and nodes lie in buckets of the page that a round looks them up by: ranks go to the edges, messages to the nodes
+    weighted = bucketed(links.join(degrees, "src"), "src", "pr-edges")
+    base = bucketed(nodes.select("url").join(degrees.withColumnRenamed("src", "url"), "url", "left").select("url", F.col("degree").isNull().alias("dangling")), "url", "pr-nodes")
     n, loose = base.agg(F.count("*"), F.count_if("dangling")).first()
     if not n:
         return base.select("url", F.lit(0.0).alias("raw"), F.lit(0.0).alias("pagerank"))
-    ranks = base.select("url", "dangling", F.lit(1.0 / n).alias("raw"))
+    ranks = base.select("url", F.lit(1.0 / n).alias("raw"))
     mass = loose / n
     for _ in range(rounds):
-        flow = weighted.join(ranks.select(F.col("url").alias("src"), "raw"), "src").groupBy(F.col("dst").alias("url")).agg(F.sum(F.col("raw") / F.col("degree")).alias("flow"))
         start = (1 - damping) / n + damping * mass / n
-        nxt = ranks.withColumnRenamed("raw", "old").join(flow, "url", "left").select("url", "dangling", "old", (F.lit(start) + F.lit(damping) * F.coalesce("flow", F.lit(0.0))).alias("raw"))
-        nxt = materialize(nxt, "pr-ranks")
+        nxt = materialize(_rank_round(weighted, base, ranks, start, damping), "pr-ranks")
         mass, change = nxt.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("raw"))), F.lit(0.0)), F.sum(F.abs(F.col("raw") - F.col("old")))).first()
-        ranks = nxt.select("url", "dangling", "raw")
+        ranks = nxt.select("url", "raw")
         if change < tolerance:
             break
     top = ranks.agg(F.max("raw")).first()[0] or 1.0
     return materialize(ranks.select("url", "raw", half_up(F.col("raw") / F.lit(top) * 100.0, 1).alias("pagerank")), "pr-result")
 
 
+def _rank_round(weighted: DataFrame, base: DataFrame, ranks: DataFrame, start: float, damping: float) -> DataFrame:
+    """(url, dangling, old, raw) after one round; of the edges only sums per target leave their place."""
+    flow = weighted.join(ranks.select(F.col("url").alias("src"), "raw"), "src").groupBy(F.col("dst").alias("url")).agg(F.sum(F.col("raw") / F.col("degree")).alias("flow"))
+    old = base.join(ranks.withColumnRenamed("raw", "old"), "url")
+    return old.join(flow, "url", "left").select("url", "dangling", "old", (F.lit(start) + F.lit(damping) * F.coalesce("flow", F.lit(0.0))).alias("raw"))
+
+
 def click_depth(nodes: DataFrame, links: DataFrame, home) -> DataFrame:
     """(url, depth) by breadth-first search; null where the home page does not lead.
 
@@ -70,7 +76,8 @@ def click_depth(nodes: DataFrame, links: DataFrame, home) -> DataFrame:
     if start.isEmpty():
         start = nodes.select("url").orderBy(F.length(F.col("url").cast("string")), "url").limit(1)
     spark = nodes.sparkSession
-    links = materialize(links, "bfs-edges")
+    # edges lie in buckets of their source; a level moves its own pages and what they reach
+    links = bucketed(links, "src", "bfs-edges")
     # one folder per level below one root: what has been seen is one scan, however deep the search goes
     root = fresh_path(spark, "bfs")
     kind = nodes.select("url").schema
@@ -80,13 +87,16 @@ def click_depth(nodes: DataFrame, links: DataFrame, home) -> DataFrame:
     while True:
         depth += 1
         seen = spark.read.schema(schema).parquet(root)
-        frontier = spark.read.schema(kind).parquet(f"{root}/depth={depth - 1}")
-        reached = frontier.select(F.col("url").alias("src")).join(links, "src").select(F.col("dst").alias("url")).distinct()
-        reached.join(seen.select("url"), "url", "left_anti").write.parquet(f"{root}/depth={depth}")
+        level = spark.read.schema(kind).parquet(f"{root}/depth={depth - 1}")
+        _reached(links, level).join(seen.select("url"), "url", "left_anti").write.parquet(f"{root}/depth={depth}")
         if spark.read.schema(kind).parquet(f"{root}/depth={depth}").isEmpty():
             return nodes.select("url").join(spark.read.schema(schema).parquet(root), "url", "left")
 
 
+def _reached(links: DataFrame, level: DataFrame) -> DataFrame:
+    return links.join(level.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
+
+
 def metrics(nodes: DataFrame, anchors: DataFrame, home, rounds: int = 50, rank: bool = True, depth: bool = True) -> DataFrame:
     """Nodes with inlinks, out-degree over followed links, internal_out over all links and, unless left out, pagerank and depth."""
     e = materialize(edges(nodes, anchors), "graph-edges")

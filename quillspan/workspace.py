@@ -51,6 +51,20 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder as a table in hash buckets of ``column``, one for each shuffle partition.
+
+    Joins on ``column`` read it where it lies: only the other side moves.  The
+    table is known to this session alone; cleanup() deletes its files.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; works with any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
