@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillspan.operators.search import best_page
 from quillspan.sources import sinks
@@ -116,41 +117,64 @@ def burst_from_days(days: DataFrame) -> DataFrame:
 
 
 ALERT_SCHEMA = "site_id bigint, query string, event_id bigint, previous_position double, current_position double, delta double"
-STATE_SCHEMA = "position double, event_id bigint"
-STATE_TTL = "45 days"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _alerts(least: float, ttl_ms: int):
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class LastPosition(StatefulProcessor):
+    """State of one (site, query): its last position and event, and when it was last heard of.
+
+    A timer on event time forgets a key that has been silent for ``ttl_ms``;
+    each row heard moves it.  Of a key's rows in a batch only three numbers are
+    held at once, to bring them into the order of their events.
+    """
+
+    def __init__(self, least: float, ttl_ms: int):
+        self.least, self.ttl_ms = least, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "position double, event_id bigint, expires bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [(f["event_id"].to_numpy(np.int64), f["position"].to_numpy(np.float64), f["ts"].to_numpy("datetime64[ms]").astype(np.int64)) for f in rows]
+        ids, positions, times = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        before, seen, expires = self.last.get() if self.last.exists() else (None, -1, None)
+        order = np.argsort(ids, kind="stable")
+        order = order[ids[order] > seen]  # others are replayed or late
+        if not len(order):
             return
-        last, seen = state.get if state.exists else (None, -1)
-        out = []
-        rows = pd.concat(list(frames)).sort_values("event_id")
-        for event_id, position, _ in rows[["event_id", "position", "ts"]].itertuples(index=False):
-            if event_id <= seen:
-                continue  # replayed or late row
-            if last is not None and position - last >= least:
-                out.append((key[0], key[1], event_id, last, position, position - last))
-            last, seen = position, event_id
-        if last is not None:
-            state.update((float(last), int(seen)))
-            newest = int(rows["ts"].max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest) + ttl_ms)
-        yield pd.DataFrame(out, columns=["site_id", "query", "event_id", "previous_position", "current_position", "delta"])
-
-    return step
+        ids, positions, newest = ids[order], positions[order], int(times[order].max())
+        first = np.append(True, ids[1:] != ids[:-1])
+        ids, positions = ids[first], positions[first]
+        previous = np.append(np.nan if before is None else before, positions[:-1])
+        until = max(newest, timerValues.getCurrentWatermarkInMs()) + self.ttl_ms
+        if expires is None or until > expires:
+            if expires is not None:
+                self.handle.deleteTimer(expires)
+            self.handle.registerTimer(until)
+        self.last.update((float(positions[-1]), int(ids[-1]), until if expires is None else max(until, expires)))
+        hit = np.flatnonzero(positions - previous >= self.least)
+        if len(hit):
+            yield pd.DataFrame({"site_id": key[0], "query": key[1], "event_id": ids[hit], "previous_position": previous[hit], "current_position": positions[hit], "delta": positions[hit] - previous[hit]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def drop_alerts(rows: DataFrame, least: float = 3.0, delay: str = "1 day", ttl_days: int = 45) -> DataFrame:
     """R3: last position of each (site, query) as keyed state; a row that lost ``least`` positions is emitted.
 
     Rows carry rising event ids, so replays are dropped; state of keys silent
-    for ``ttl_days`` goes.
+    for ``ttl_days`` of event time goes.  State lies in RocksDB, not on the heap;
+    this sets the session's state store accordingly.
     """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     watched = rows.filter("position IS NOT NULL").select("site_id", "query", "event_id", "ts", "position").withWatermark("ts", delay)
-    return watched.groupBy("site_id", "query").applyInPandasWithState(_alerts(least, ttl_days * 86_400_000), ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return watched.groupBy("site_id", "query").transformWithStateInPandas(LastPosition(least, ttl_days * 86_400_000), ALERT_SCHEMA, "append", "EventTime")
 
 
 def batch_drop_alerts(rows: DataFrame, least: float = 3.0) -> DataFrame:
