@@ -8,8 +8,9 @@ get a SimHash; a multi-index over eight 8-bit blocks, each probed with up to
 bits; the weighted-shingle similarity (sum of smaller over sum of larger
 multiplicities) then decides.
 
-Benchmark items come in blocks of at most ``BLOCK_BYTES`` of text; each block is
-one broadcast index and one scan, so the benchmark may grow without bound.
+Benchmark items come in blocks of about ``BLOCK_BYTES`` of text; each block is
+one broadcast index and one scan of the documents, and is given up before the
+next is built, so a large benchmark costs scans and not memory.
 Items and documents with fewer words than a shingle count as one shingle; a
 document shorter than an item is one window.  Null and empty items and texts
 match nothing.  Equal items are all reported.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.docstats import texts_as_bytes
-from quillspan.workspace import table
+from quillspan.workspace import few, materialize, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -237,23 +238,40 @@ def _hit_finder(index: ItemIndex, threshold: float):
     return run
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES):
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def block_count(benchmark: DataFrame, text_col: str = "text", block_bytes: int | None = None) -> int:
+    """Blocks of at most about ``block_bytes`` of text that the benchmark makes; one for an empty one."""
+    total = benchmark.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(1, -(-total // (block_bytes or BLOCK_BYTES)))
+
+
+def item_blocks(benchmark: DataFrame, blocks: int, id_col: str = "item_id", text_col: str = "text"):
     """Indexes of the benchmark, one block at a time; each block's items fit the driver by its size bound."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    items = _items(benchmark, id_col, text_col)
     for b in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         yield ItemIndex([(r["item_id"], r["text"].encode()) for r in own.orderBy("item_id", "text").toLocalIterator()])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row per (document, item) at or above the threshold, with the best (then first) window."""
+    """One row per (document, item) at or above the threshold, with the best (then first) window.
+
+    A benchmark of several blocks is one scan of the documents a block.  The
+    hits of a block are written and its index is given up before the next one is
+    built, so driver and executors hold one block at a time.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for index in item_blocks(benchmark):
+    blocks, out = block_count(benchmark), None
+    for index in item_blocks(benchmark, blocks):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         found = rows.mapInArrow(_shared(_hit_finder, shared, threshold), HIT_DDL)
+        if blocks == 1:
+            return found
+        found = materialize(found, "leaks-block")
+        shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -277,12 +295,19 @@ def _filter(index: ItemIndex, at: int, threshold: float):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` without any hit, all columns; no shuffle."""
-    at = docs.columns.index(text_col)
-    for index in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        docs = docs.mapInArrow(_shared(_filter, shared, at, threshold), docs.schema)
-    return docs
+    """The rows of ``docs`` without any hit, all columns.
+
+    With a benchmark of one block nothing shuffles.  With several, hits of all
+    blocks are found first, by a hash of the text, and their rows left out.
+    """
+    blocks = block_count(benchmark)
+    if blocks == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(next(item_blocks(benchmark, 1)))
+        return docs.mapInArrow(_shared(_filter, shared, docs.columns.index(text_col), threshold), docs.schema)
+    hashed = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    hits = find_leaks(docs.select(hashed.alias("doc_id"), docs[text_col].cast("string").alias("text")), benchmark, threshold=threshold)
+    held = materialize(hits.select(F.col("doc_id").alias("leak")).distinct(), "leaks-held")
+    return docs.join(few(held), hashed == held["leak"], "left_anti")
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

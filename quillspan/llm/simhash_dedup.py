@@ -19,7 +19,9 @@ pair shares one.
 2. Each cluster's sets go into BK-trees once; pairs within ``WIDE`` bits that are
    not yet in one group are compared on the spot, and only a spanning forest of
    the links leaves the task.  So a large group of copies, similar or not quite,
-   is compared where it lies and never becomes rows of pairs.
+   is compared where it lies and never becomes rows of pairs.  Clusters too large
+   for one task meet hubs first; who is near one retires, and only the others are
+   dealt to every chunk.
 3. Shards that hold several clusters go into BK-trees of fingerprints; pairs
    within ``WIDE`` bits of different clusters are few, and are verified by joins.
 
@@ -58,6 +60,9 @@ WIDE_SHINGLE = 5
 WIDE = 20
 LOOSE = 16
 HUB_ROUNDS = 2
+#: Rounds in which members of large clusters meet a hub before they are dealt, and clusters whose hubs may be broadcast with their sets.
+RETIRE_ROUNDS = 3
+HUB_SETS = 5_000
 #: Shingles in one chunk of a cluster.
 CLUSTER_SHINGLES = 200_000
 _PIECE = 1 << 16
@@ -378,18 +383,99 @@ def _cluster_linker(radius: int, least: float):
     return run
 
 
+def _group_linker(radius: int, least: float):
+    """Per cell (cluster, chunk): verified links from the asking members to those of the chunk that are not in one group with them yet."""
+
+    def run(batches):
+        key, tree, entries, parent, out = None, BKTree(), {}, {}, []
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def flush():
+            found = pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            out.clear()
+            return found
+
+        for batch in batches:
+            shingles = batch.column(6)
+            offsets, values = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+            for i, (cluster, cell, asks, g, fp, node) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)))):
+                if (cluster, cell) != key:
+                    key, tree, entries, parent = (cluster, cell), BKTree(), {}, {}
+                fp, own = fp & (1 << 64) - 1, set(values[offsets[i] : offsets[i + 1]].tolist())
+                if not asks:
+                    if fp not in entries:
+                        tree.add(fp)
+                    entries.setdefault(fp, []).append((g, node, own))
+                    continue
+                n = len(own)
+                for k in tree.within(fp, radius):
+                    for other_g, other, theirs in entries[tree.values[k]]:
+                        m = len(theirs)
+                        if n < m * least - 1e-9 or m < n * least - 1e-9 or root(g) == root(other_g):
+                            continue
+                        shared = len(own & theirs)
+                        if shared / (n + m - shared) >= least - 1e-12:
+                            parent[root(g)] = root(other_g)
+                            out.append((node, other))
+            if len(out) > 50_000:
+                yield flush()
+        yield flush()
+
+    return run
+
+
+def _near_hubs(held: DataFrame, least: float) -> DataFrame:
+    """(u, v): members of clusters and the hub of their cluster that they are near enough to, in RETIRE_ROUNDS rounds; who has found one takes no further part."""
+    links = None
+    open_ = held.select("node", "root")
+    for k in range(RETIRE_ROUNDS):
+        hubs = open_.groupBy("root").agg(F.min_by("node", F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("hub"), F.count("*").alias("left")).filter("left > 1").drop("left")
+        hubs = materialize(hubs.join(held.select(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("shingles").alias("hub_shingles")), "hub"), "similar-hub-sets")
+        members = held if links is None else held.join(open_.select("node"), "node", "left_semi")
+        met = members.join(few(hubs, HUB_SETS), "root").filter((F.col("node") != F.col("hub")) & _near_size("n", "m", least))
+        shared = F.size(F.array_intersect("shingles", "hub_shingles"))
+        new = met.withColumn("shared", shared).filter(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")) >= least - 1e-12).select(F.col("node").alias("u"), F.col("hub").alias("v"))
+        links = materialize(new if links is None else links.unionByName(new), "similar-retired")
+        settled = links.select(F.col("u").alias("node")).unionByName(hubs.select(F.col("hub").alias("node")))
+        open_ = materialize(open_.join(settled.distinct(), "node", "left_anti"), "similar-open-members")
+    return links
+
+
+def _large_cluster_links(held: DataFrame, sizes: DataFrame, radius: int, least: float) -> DataFrame:
+    """(u, v): links of clusters of several chunks.
+
+    Members meet a hub of their cluster first; those near it are one group with
+    it.  The largest group asks nothing: each other member meets every chunk
+    once.  A cluster of m near copies makes m rows, not m times its chunks.
+    """
+    near = _near_hubs(held, least)
+    g = near.select(F.col("u").alias("node"), F.col("v").alias("g"))
+    grouped = held.join(g, "node", "left").withColumn("g", F.coalesce("g", "node"))
+    main = grouped.groupBy("root", "g").agg(F.count("*").alias("c")).groupBy("root").agg(F.max(F.struct("c", "g")).alias("most")).select("root", F.col("most.g").alias("main"))
+    placed = grouped.join(few(materialize(sizes.join(main, "root"), "similar-cluster-sizes"), HUB_SETS), "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    cols = ["root", "cell", "asks", "g", "fp", "node", "shingles"]
+    members = placed.withColumn("cell", F.col("own")).withColumn("asks", F.lit(False)).select(*cols)
+    asking = placed.filter("g <> main").withColumn("asks", F.lit(True)).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*cols)
+    found = members.unionByName(asking).repartition("root", "cell").sortWithinPartitions("root", "cell", "asks", "node").mapInArrow(_group_linker(radius, least), "u long, v long")
+    return near.unionByName(found)
+
+
 def _cluster_links(clusters: DataFrame, sets: DataFrame, radius: int, least: float) -> DataFrame:
     """(u, v): links within each cluster; clusters: (node, root)."""
     held = materialize(clusters.join(sets, "node"), "similar-clusters")
-    sizes = held.groupBy("root").agg(F.ceil(F.sum("n") / CLUSTER_SHINGLES).cast("int").alias("chunks"))
-    cells = (
-        held.join(materialize(sizes, "similar-cluster-sizes"), "root")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp", "node", "shingles")
-    )
-    cell = ["root", "a", "b"]
-    return cells.repartition(*cell).sortWithinPartitions(*cell, "node").mapInArrow(_cluster_linker(radius, least), "u long, v long")
+    sizes = materialize(held.groupBy("root").agg(F.ceil(F.sum("n") / CLUSTER_SHINGLES).cast("int").alias("chunks")), "similar-cluster-sizes")
+    large = sizes.filter("chunks > 1")
+    small = held.join(few(large.select("root")), "root", "left_anti") if not large.isEmpty() else held
+    cells = small.select("root", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("own"), "fp", "node", "shingles")
+    links = cells.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_cluster_linker(radius, least), "u long, v long")
+    if large.isEmpty():
+        return links
+    return links.unionByName(_large_cluster_links(materialize(held.join(few(large.select("root")), "root", "left_semi"), "similar-large"), large, radius, least))
 
 
 def _bit_distance(a, b):

@@ -356,13 +356,12 @@ def test_leaks_with_edits_short_items_and_blocks(spark, monkeypatch):
     table = spark.createDataFrame(list(items.items()), "item_id long, text string")
     want = plain_leaks(dict(enumerate(texts)), items)
     for size in (8 << 20, 500):
-        real = decontaminate.item_blocks
-        monkeypatch.setattr(decontaminate, "item_blocks", lambda b, size=size: real(b, block_bytes=size))
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert (decontaminate.block_count(table) > 1) == (size == 500)
         got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontaminate.find_leaks(frame(spark, texts), table).collect()}
         assert got == want
         kept = {r["doc_id"] for r in decontaminate.drop_leaks(frame(spark, texts), table).collect()}
         assert kept == set(range(60)) - {i for i, _ in want}
-        monkeypatch.setattr(decontaminate, "item_blocks", real)
 
 
 def test_pipeline_stages_and_result(spark, sf_dir):
