@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import text as T
 from quillspan.functions.numbers import half_up
 from quillspan.operators.audit import STOP_WORDS
+from quillspan.operators.ranks import ranked
 from quillspan.operators.similarity import title_groups
 from quillspan.workspace import bucketed, fresh_path, materialize
 
@@ -206,15 +207,6 @@ def _listed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("list", F.explode(F.array_compact(F.array(*lists)))).select("*", "list.level", "list.key").drop("list")
 
 
-def _in_order(rows: DataFrame, *order: Column) -> DataFrame:
-    """``rows`` with ``pos``, their place in their list (level, key) by ``order``: ranges of all lists are sorted apart, then counted together."""
-    ranged = materialize(rows.repartitionByRange("level", "key", *order).withColumn("part", F.spark_partition_id()), "suggest-ranges")
-    own = ranged.withColumn("own", F.row_number().over(Window.partitionBy("part", "level", "key").orderBy(*order)))
-    parts = ranged.groupBy("level", "key", "part").agg(F.count("*").alias("c"))
-    parts = parts.withColumn("start", F.sum("c").over(Window.partitionBy("level", "key").orderBy("part")) - F.col("c")).drop("c")
-    return materialize(own.join(parts, ["level", "key", "part"]).withColumn("pos", F.col("start") + F.col("own") - 1).drop("part", "own", "start"), "suggest-order")
-
-
 def _sums_before(rows: DataFrame, **values: Column) -> DataFrame:
     """``rows`` (level, key, pos, ..) with the sums of ``values`` over the rows before each of its list; a task sums a span of places, spans are summed together."""
     spanned = rows.withColumns(values | {"span": F.shiftright("pos", SPAN_BITS)})
@@ -242,8 +234,8 @@ def assign_donors(want: DataFrame, donors: DataFrame, links: DataFrame, per_dono
     every donor of its language is full, is itself, or links to it.
     """
     named = F.col("url").cast("string")
-    t_lists = _in_order(_listed(want.withColumn("target", F.col("url"))).select("target", "need", "level", "key"), F.desc("need"), F.col("target"))
-    d_lists = _in_order(_listed(donors.withColumn("donor", F.col("url"))).select("donor", "strength", "level", "key"), F.desc("strength"), F.col("donor"))
+    t_lists = ranked(_listed(want.withColumn("target", F.col("url"))).select("target", "need", "level", "key"), ["level", "key"], F.desc("need"), F.col("target"), label="suggest")
+    d_lists = ranked(_listed(donors.withColumn("donor", F.col("url"))).select("donor", "strength", "level", "key"), ["level", "key"], F.desc("strength"), F.col("donor"), label="suggest")
     relevance = F.element_at(F.array(*(F.lit(r) for r, _ in RELEVANCE)), F.col("level") + 1)
     widest = len(RELEVANCE) - 1
     taken = links.select(F.col("src").alias("donor"), F.col("dst").alias("target"))
@@ -267,8 +259,8 @@ def assign_donors(want: DataFrame, donors: DataFrame, links: DataFrame, per_dono
         run = barred.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy("nth")) - 1).filter("nth = n").groupBy("target").agg(F.count("*").alias("skip"))
         first = stuck.join(run, "target", "left").withColumn("nth", F.coalesce("skip", F.lit(0))).join(wide, ["key", "nth"]).select("target", "donor", F.lit(widest).alias("level"), (F.col("strength") * RELEVANCE[widest][0]).alias("score"))
         best = offered.unionByName(first).groupBy("target").agg(F.min_by(F.struct("donor", "level"), F.struct(-F.col("score"), "level", "donor")).alias("b")).select("target", "b.*")
-        ranked = best.join(needs, "target").join(open_, "donor").withColumn("n", F.row_number().over(Window.partitionBy("donor").orderBy(F.desc("need"), "target")))
-        won = materialize(ranked.filter(F.col("n") <= F.least("left", F.lit(per_donor))).select("target", "donor", "level"), "suggest-won")
+        bids = best.join(needs, "target").join(open_, "donor").withColumn("n", F.row_number().over(Window.partitionBy("donor").orderBy(F.desc("need"), "target")))
+        won = materialize(bids.filter(F.col("n") <= F.least("left", F.lit(per_donor))).select("target", "donor", "level"), "suggest-won")
         if won.isEmpty():
             return won if matched is None else matched
         matched = materialize(won if matched is None else matched.unionByName(won), "suggest-matched")

@@ -15,6 +15,8 @@ from quillspan.functions.numbers import half_up
 from quillspan.functions.phrases import phrase_totals
 from quillspan.operators import lexicons as L
 from quillspan.operators.dialect import Oracle, Spark
+from quillspan.operators.ranks import ranked
+from quillspan.workspace import few, materialize
 
 MIN_WORDS = 80
 FAMILIES = {"A": 20, "B": 20, "C": 13, "D": 20, "E": 15, "F": 12}
@@ -315,7 +317,8 @@ def site_rollup(scores: DataFrame, site: str, titles: DataFrame, bursts: DataFra
 
 def systematic_sample(rows: DataFrame, site: str, key: str, k: int) -> DataFrame:
     """Every n//k-th row of a site by key, at most k; all rows of a site with k or fewer."""
-    w = Window.partitionBy(site)
-    numbered = rows.withColumn("_r", F.row_number().over(w.orderBy(key))).withColumn("_n", F.count("*").over(w))
-    step = F.greatest(F.floor(F.col("_n") / k), F.lit(1))
-    return numbered.filter(((F.col("_r") - 1) % step == 0) & (F.col("_r") <= step * k)).drop("_r", "_n")
+    placed = ranked(rows, [site], F.col(key), label="sample")
+    sizes = placed.groupBy(F.col(site).alias("of_site")).agg(F.count("*").alias("of_n"))
+    step = F.greatest(F.floor(F.col("of_n") / k), F.lit(1))
+    kept = placed.join(few(materialize(sizes, "sample-sizes")), placed[site].eqNullSafe(F.col("of_site"))).filter((F.col("pos") % step == 0) & (F.col("pos") < step * k))
+    return kept.select(*rows.columns)
