@@ -3,8 +3,6 @@
 import random
 from collections import Counter
 
-import pytest
-
 from quillspan.operators import graph as G
 
 PAGE = "url long, {} double, language string, cluster string, city string"
@@ -72,21 +70,34 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_donors(spark, name):
-    want, donors, links = CASES[name]
-    frames = spark.createDataFrame(want, PAGE.format("need")), spark.createDataFrame(donors, PAGE.format("strength")), spark.createDataFrame(sorted(links) or [(-1, -1)], "src long, dst long")
+def together():
+    """All cases as one site: pages and languages of a case are its own."""
+    want, donors, links = [], [], set()
+    for k, (w, d, e) in enumerate(CASES.values()):
+        move = lambda r, k=k: (r[0] + 10_000 * k, r[1], r[2] and f"{k}{r[2]}", *r[3:])
+        want += map(move, w)
+        donors += map(move, d)
+        links |= {(a + 10_000 * k, b + 10_000 * k) for a, b in e}
+    return want, donors, links
+
+
+def test_donors(spark):
+    want, donors, links = together()
+    frames = spark.createDataFrame(want, PAGE.format("need")), spark.createDataFrame(donors, PAGE.format("strength")), spark.createDataFrame(sorted(links), "src long, dst long")
     got = {tuple(r) for r in G.assign_donors(*frames).collect()}
-    assert got == plain(want, donors, links)
+    for k, name in enumerate(CASES):
+        own = {(t - 10_000 * k, d - 10_000 * k, level) for t, d, level in got if t // 10_000 == k}
+        assert own == plain(*CASES[name]), name
     used = Counter(d for _, d, _ in got)
-    assert max(used.values(), default=0) <= 8 and len({t for t, _, _ in got}) == len(got)
+    served = {t for t, _, _ in got}
+    assert max(used.values()) <= 8 and len(served) == len(got)
     for t in want:  # who has none: no donor of the language has a place, is another page, and does not link to it
-        if t[2] and t[0] not in {x for x, _, _ in got}:
+        if t[2] and t[0] not in served:
             assert not [d for d in donors if d[2] == t[2] and used[d[0]] < 8 and d[0] != t[0] and (d[0], t[0]) not in links]
 
 
 def test_places_in_lists_of_several_spans(spark, monkeypatch):
     monkeypatch.setattr(G, "SPAN_BITS", 2)
-    want, donors, links = CASES["two hundred targets of one group"]
+    want, donors, links = CASES["few donors"]
     frames = spark.createDataFrame(want, PAGE.format("need")), spark.createDataFrame(donors, PAGE.format("strength")), spark.createDataFrame(sorted(links), "src long, dst long")
     assert {tuple(r) for r in G.assign_donors(*frames).collect()} == plain(want, donors, links)
