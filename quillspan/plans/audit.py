@@ -86,6 +86,22 @@ SELECT page_id, words, h1, h2, h3, h4, h5, h6, lists, images, images_alt, len(li
   coalesce(floor(len(list_filter(ps, lambda x: len(regexp_extract_all(lower(x), '{T.WORD}')) BETWEEN 20 AND 60 AND regexp_matches(x, '[.:?]'))) * 100.0::DOUBLE / nullif(paragraphs, 0) + 0.5::DOUBLE), 0)::BIGINT AS citability FROM c"""
 
 
+def _decoded(x: str) -> str:
+    """Entities of the tables' pages, also one cut off at its end."""
+    return f"regexp_replace(replace(replace(replace(replace(replace({x}, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
+
+
+def _text(x: str) -> str:
+    bare = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    return f"trim(regexp_replace({_decoded(bare)}, '\\s+', ' ', 'g'))"
+
+
+# The tables' pages are regular: paragraphs begin with <p> and end at </p>, the next one or the article's end.
+_CUT = "regexp_replace(t, '(?s)(?:</p>|</article>).*$', '')"
+PARTS = f"""WITH pt AS (SELECT page_id, url, html, regexp_extract_all(html, '#([0-9a-fA-F]{{6}}|[0-9a-fA-F]{{3}})\\b', 1) AS cs,
+  list_transform(string_split(html, '<p>')[2:], lambda t: {_text(_CUT)}) AS ps, list_transform({every('(?s)<li>(.*?)</li>')}, lambda t: {_text('t')}) AS items FROM pages)"""
+
+
 def _pages(s, d):
     return view(s, d, "pages")
 
@@ -146,6 +162,18 @@ ORACLES = {
     "page_trust": f"WITH p AS (SELECT page_id, url, lower(coalesce(html, '')) AS html FROM pages) SELECT page_id, {', '.join(f'regexp_matches(html, {lit(x)}) AS {c}' for c, x in X.TRUST.items())}, "
     f"len(list_distinct(list_filter(list_transform({every(X.ABSOLUTE_HREF)}, lambda x: {U.host_sql('x')}), lambda x: x <> {U.host_sql('url')})))::INT AS external_hosts FROM p",
     "page_stripped": "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '\\[[^\\]]*\\]', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages",
+    "page_blocks": f"{PARTS} SELECT page_id, len(list_filter(ps, lambda t: length(t) > 40))::INT AS n_paragraphs, array_to_string(list_filter(ps, lambda t: length(t) > 40), '|') AS paragraphs, array_to_string(list_filter(items, lambda t: length(t) > 10), '|') AS list_items FROM pt",
+    "page_skim": f"{PARTS} SELECT page_id, {_text(first('(?s)<title>(.*?)</title>'))} AS title, {_text(first('(?s)<h1>(.*?)</h1>'))} AS h1, '' AS h2s, array_to_string(list_filter(list_transform(string_split("
+    "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(?:script|style)>.*?</(?:script|style)>|<!--.*?-->', '', 'g'), '(?s)<(?:nav|footer)>.*?</(?:nav|footer)>', '', 'g'), '<[^>]*>', chr(1), 'g'), chr(1)), "
+    f"lambda t: trim({_decoded('t')})), lambda t: t <> ''), chr(10)) AS text FROM pt",
+    "page_profile": f"{PARTS}, la AS (SELECT page_id, list_filter(list_transform({every('(?s)<a href=.(?:/[^#?<>]*).>(.*?)</a>')}, lambda t: {_text('t')}), lambda t: length(t) BETWEEN 3 AND 39) AS ls FROM pt)"
+    ", lr AS (SELECT page_id, x, min(i) AS i FROM (SELECT page_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM la) GROUP BY ALL), lj AS (SELECT page_id, string_agg(x, '|' ORDER BY i) AS nav_labels FROM lr GROUP BY 1)"
+    ", cr AS (SELECT page_id, c, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, min(i)) AS r FROM (SELECT page_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM pt) GROUP BY page_id, c)"
+    f", cj AS (SELECT page_id, string_agg('#' || c, '|' ORDER BY r) AS colours FROM cr WHERE r <= {X.TOP_COLOURS} GROUP BY 1)"
+    f" SELECT page_id, {_text(first('(?s)<h1>(.*?)</h1>'))} AS h1s, '' AS h2s, '' AS h3s, coalesce(nav_labels, '') AS nav_labels, coalesce(colours, '') AS colours, "
+    f"array_to_string(list_filter([{', '.join(lit(w) for w in X.FEATURE_WORDS)}], lambda w: contains(lower(html), w)), '|') AS features, array_to_string(list_filter(ps, lambda t: length(t) > 60), '|') AS paragraphs FROM pt LEFT JOIN lj USING (page_id) LEFT JOIN cj USING (page_id)",
+    "page_technical": f"WITH f AS (SELECT page_id, list_filter([{', '.join(f'CASE WHEN regexp_matches(lower(html), {lit(m)}) THEN {lit(n)} END' for n, m in X.FRAMEWORKS.items())}], lambda x: x IS NOT NULL) AS fs, len(regexp_extract_all(html, '(?i)<p[\\s>]')) AS n FROM pages) "
+    f"SELECT page_id, '{{}}' AS meta, 0 AS n_og, array_to_string(fs, ',') AS frameworks, len(list_intersect(fs, [{', '.join(map(lit, X.RENDERED))}])) > 0 OR n > 3 AS server_rendered FROM f",
     "page_issues": "WITH q AS (SELECT 1)" + AUDIT + "SELECT page_id, array_to_string(issues, ',') AS issues FROM iss",
     "page_scores": "WITH q AS (SELECT 1)" + AUDIT + "SELECT page_id, score, word_count FROM sc",
     "page_report_first": "WITH q AS (SELECT 1)" + AUDIT + "SELECT page_id, score FROM sc ORDER BY len(issues) > 0 DESC, page_id LIMIT 100",

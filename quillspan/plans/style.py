@@ -10,6 +10,7 @@ from quillspan.operators import lexicons as L
 from quillspan.operators import similarity as SIM
 from quillspan.operators import stylometry as S
 from quillspan.operators.dialect import Oracle
+from quillspan.plans.audit import ORACLES as AUDIT_ORACLES
 from quillspan.plans.texts import TITLE, _titles
 from quillspan.sources.fixtures import view
 from quillspan.workspace import spread
@@ -88,9 +89,12 @@ SUMMARY = f"SELECT doc_id, count(*) AS sentences, count(*) FILTER (label = 'gene
 LOUDEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY evidence DESC, pos) AS rank FROM sb WHERE evidence >= 3) WHERE rank <= 6"
 _spoken_docs = _prepared(f"(SELECT doc_id, source, {_spoken_sql} AS text FROM documents)")
 
+_page_scores = _prepared(f"(SELECT page_id AS doc_id, NULL AS source, main_text AS text FROM ({AUDIT_ORACLES['page_main_text']}))") + SCORES[len(_prepared()) :]
+_TRUST = AUDIT_ORACLES["page_trust"]
 _ramp = lambda v, lo, hi, inv=False: S._ramp(_d, v, lo, hi, inv)
 ORACLES = {f"text_signals_{f.lower()}": SIGNALS + f" SELECT doc_id, {', '.join(c for c in _SIG if c[0] == f.lower())} FROM sg" for f in S.FAMILIES} | {
     "text_scores": SCORES + f" SELECT doc_id, {', '.join(S.SCORE_COLUMNS)} FROM ts",
+    "page_quality": _page_scores + f", tr AS ({_TRUST}) SELECT doc_id AS page_id, n_words, least(100, score + CASE WHEN has_author THEN 0 ELSE 4 END + CASE WHEN has_date THEN 0 ELSE 4 END + CASE WHEN has_comments THEN 0 ELSE 4 END + CASE WHEN external_hosts > 0 THEN 0 ELSE 4 END) AS score, verdict FROM ts JOIN tr ON tr.page_id = ts.doc_id",
     "text_rejected": f"WITH c AS (SELECT doc_id, len({_d.every(S.T.WIDE_WORD, 'lower(trim(coalesce(text, chr(32))))')}) AS word_count FROM documents) SELECT * FROM c WHERE word_count < {S.MIN_WORDS}",
     "text_sentences": _prepared() + SENTENCES + SUMMARY,
     "text_evidence": _prepared() + SENTENCES + LOUDEST,
