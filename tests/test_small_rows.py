@@ -73,3 +73,18 @@ def test_typed_reports(spark, tmp_path):
     assert read("o.csv", "Domain;Rank;Organic Keywords;Organic Traffic;Organic Cost\na.fr;12;340;x;56.789\n", readers.OVERVIEW_COLUMNS) == [("a.fr", 12, 340, 0, 56.79)]
     assert read("c.csv", "Dn;Cr;Np;Or;Ot\nb.fr;0.256;7;80;9.9\n", readers.COMPETITOR_COLUMNS) == [("b.fr", 0.26, 7, 80, 9)]
     assert read("b.csv", "ascore;total;domains_num\n31;4000;210\n", readers.BACKLINK_COLUMNS) == [(31, 4000, 210, 0)]
+
+
+def test_unfinished_references_stay_in_visible_text(spark):
+    page = "<html><head><title>x</title></head><body>a &amp b &amp; c &#233; d &#233 e &nosuch; f</body></html>"
+    rows = spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string")
+    assert extract.page_text(rows).first()["text"] == "a &amp b & c é d &#233 e &nosuch; f"
+
+
+def test_capitals_with_marks_count_in_lists_of_three(spark):
+    from quillspan.operators import stylometry
+
+    words = " ".join(f"mot{k}" for k in range(90))
+    rows = spark.createDataFrame([(1, f"Été, Île et Âme {words}. ÉTÉ, ÎLE ET ÂME.")], "doc_id long, text string")
+    assert stylometry.prepared(rows).first()["triples"] == 2
+    assert stylometry.sentence_labels(rows).agg({"score": "min"}).first()[0] == 12
