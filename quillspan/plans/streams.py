@@ -22,13 +22,6 @@ def _chunks(s, d, by: str):
         yield rows.filter((order >= start) & (order < start + step))
 
 
-def _landed(s, d, by: str = "event_id") -> str:
-    path = fresh_path(s, "stream-in")
-    for rows in _chunks(s, d, by):
-        rows.write.mode("append").parquet(path)
-    return path
-
-
 def _sync(s, d):
     """FILES batches, the job started anew from its checkpoint for each."""
     path, root = fresh_path(s, "stream-in"), fresh_path(s, "rank-sync")
@@ -38,21 +31,29 @@ def _sync(s, d):
     return jobs.RankSync(s, root).snapshot()
 
 
-def _to_table(stream, s, mode: str, label: str):
-    out, check = fresh_path(s, label), fresh_path(s, label + "-checkpoint")
-    stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+def _to_table(job, s, d, label: str, by: str = "event_id"):
+    """What ``job`` appends over FILES batches, started anew from its checkpoint for each.
+
+    A part is many files, which lie in no order among themselves, so it is one
+    batch whole: split into several, a late file would hold rows from before
+    those that an earlier one had already moved the state or the watermark past.
+    """
+    path, out, check = (fresh_path(s, x) for x in ("stream-in", label, label + "-checkpoint"))
+    for rows in _chunks(s, d, by):
+        rows.write.mode("append").parquet(path)
+        stream = job(jobs.search_stream(s, path, files_per_trigger=100_000))
+        stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(stream.schema).parquet(out)
 
 
 def _burst(s, d):
     """Days that the watermark has passed; the last days stay open, as in a running stream."""
-    path = _landed(s, d, "datediff(dt, DATE '2024-01-01')")
-    return jobs.burst_from_days(_to_table(jobs.daily_counts(jobs.search_stream(s, path), F.col("site_id")), s, "append", "stream-days"))
+    return jobs.burst_from_days(_to_table(lambda rows: jobs.daily_counts(rows, F.col("site_id")), s, d, "stream-days", "datediff(dt, DATE '2024-01-01')"))
 
 
 def _alerts(s, d):
     """Event ids rise but times do not, so the watermark has to wait for the whole month."""
-    return _to_table(jobs.drop_alerts(jobs.search_stream(s, _landed(s, d)), delay="60 days"), s, "append", "stream-alerts")
+    return _to_table(lambda rows: jobs.drop_alerts(rows, delay="60 days"), s, d, "stream-alerts")
 
 
 QUERIES = {"stream_rank_sync": _sync, "stream_burst": _burst, "stream_drop_alerts": _alerts}

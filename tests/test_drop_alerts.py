@@ -47,3 +47,15 @@ def test_many_rows_of_one_key(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
     got = work(spark, tmp_path, least=2.0)
     assert len(got) == sum(1 for k in range(2, n + 1) if (k % 4) * 2 - ((k - 1) % 4) * 2 >= 2)
+
+
+def test_parts_of_many_files_lose_no_rows(spark, sf_dir, tmp_path):
+    from quillspan.plans import streams
+    from quillspan.sources.fixtures import view
+
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(5, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    rows = view(spark, str(tmp_path), "fx_search")
+    want = sorted(map(tuple, jobs.batch_drop_alerts(rows).collect()))
+    assert want and sorted(map(tuple, streams.QUERIES["stream_drop_alerts"](spark, str(tmp_path)).collect())) == want
+    whole = streams.QUERIES["stream_burst"](spark, sf_dir)
+    assert sorted(map(tuple, streams.QUERIES["stream_burst"](spark, str(tmp_path)).collect())) == sorted(map(tuple, whole.collect()))
