@@ -211,3 +211,13 @@ def test_many_questions(spark):
     html = "".join(f"<h3>Q{k}</h3><p>A{k}</p>" for k in range(10_050))
     got = extract.faq_pairs(spark.createDataFrame([(1, html)], "page_id long, html string"))
     assert got.count() == 10_050 and got.filter("pos = 0").first()["question"] == "Q0"
+
+
+def test_batches_leave_the_reader_in_groups(spark, monkeypatch):
+    from quillspan.sources import html as H
+
+    assert list(H.groups([5, 5, 20, 1, 0, 9], 10)) == [(0, 2), (2, 1), (3, 3)]
+    assert list(H.groups([])) == []
+    pages = spark.createDataFrame([(k, None if k % 7 == 0 else f"<p>{'x' * 3000}{k}</p>") for k in range(1000)], "page_id long, html string").coalesce(1)
+    got = {r["page_id"]: (r["runs"], len(r["elements"])) for r in H.read_elements(pages, ("p",)).collect()}
+    assert got == {k: ([], 0) if k % 7 == 0 else (["x" * 3000 + str(k)], 1) for k in range(1000)}
