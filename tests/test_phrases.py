@@ -40,3 +40,15 @@ def test_column(spark):
     lists = [["a b", "b a"], ["c", "c"], []]
     assert [r[0] for r in df.orderBy("k").select(P.phrase_totals(df.t, lists)).collect()] == [[4, 0, 0], [0, 0, 0], [0, 0, 0], [0, 2, 0]]
     assert [r[0] for r in df.orderBy("k").select(P.phrase_totals(df.t, lists, True)).collect()] == [[2, 0, 0], [0, 0, 0], [0, 0, 0], [0, 2, 0]]
+
+
+def test_groups_of_a_batch_count_as_the_whole(monkeypatch):
+    texts = ["ab" * k + "aba" for k in range(40)] + ["", "aba" * 50]
+    machine = P.Automaton(("ab", "aba", "b"))
+    seen = []
+    matches = P.Automaton.matches
+    monkeypatch.setattr(P, "GROUP", 64)
+    monkeypatch.setattr(P.Automaton, "matches", lambda self, ts: seen.append(sum(map(len, ts))) or matches(self, ts))
+    assert machine.counts(texts).tolist() == plain(texts, machine.phrases)
+    assert len(seen) > 10 and max(seen) == 150
+    assert machine.counts([]).shape == (0, 3)
