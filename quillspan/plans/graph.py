@@ -26,12 +26,12 @@ def _edges(s, d):
 
 
 def _metrics(s, d, **parts):
-    return G.metrics(_nodes(s, d), _anchors(s, d), HOME, ROUNDS, **parts)
+    return G.metrics(_nodes(s, d), _anchors(s, d), HOME, ROUNDS, settle=True, **parts)
 
 
 QUERIES = {
     "graph_inlinks": lambda s, d: G.inlinks(_nodes(s, d), _edges(s, d)),
-    "graph_pagerank": lambda s, d: G.pagerank(_nodes(s, d), _edges(s, d), ROUNDS).select("url", "pagerank"),
+    "graph_pagerank": lambda s, d: G.pagerank(_nodes(s, d), _edges(s, d), ROUNDS, settle=True).select("url", "pagerank"),
     "graph_depth": lambda s, d: G.click_depth(_nodes(s, d), _edges(s, d), HOME),
     "graph_report": lambda s, d: _metrics(s, d).select("url", "inlinks", "internal_out", "pagerank", F.coalesce("depth", F.lit(-1)).alias("depth"), G.node_type(HOME).alias("node_type")),
     "graph_orphans": lambda s, d: G.orphans(_metrics(s, d, rank=False), HOME),

@@ -74,3 +74,12 @@ def test_results_without_broadcasts(spark, no_broadcast, seed):
         level = sorted({d for s in level for d in out[s]} - depth.keys())
         depth |= {k: max(depth.values()) + 1 for k in level}
     assert {r["url"]: r["depth"] for r in G.click_depth(frame, edges, 0).collect()} == {k: depth.get(k) for k in nodes}
+
+
+def test_settled_ranks_round_as_after_all_rounds(spark):
+    """A loose tolerance stops early; settled ranks round as those of all rounds do."""
+    nodes, links = frames(spark, *case(3))
+    rounded = lambda **how: {r["url"]: r["pagerank"] for r in G.pagerank(nodes, links, 40, **how).collect()}
+    every = rounded(tolerance=0.0)
+    assert rounded(tolerance=0.05) != every
+    assert rounded(tolerance=0.05, settle=True) == every
