@@ -88,3 +88,13 @@ def test_capitals_with_marks_count_in_lists_of_three(spark):
     rows = spark.createDataFrame([(1, f"Été, Île et Âme {words}. ÉTÉ, ÎLE ET ÂME.")], "doc_id long, text string")
     assert stylometry.prepared(rows).first()["triples"] == 2
     assert stylometry.sentence_labels(rows).agg({"score": "min"}).first()[0] == 12
+
+
+def test_repetition_moves_texts_not_grams(spark):
+    from quillspan.operators import similarity
+
+    rows = spark.createDataFrame([(1, "aa bb cc aa bb cc"), (1, "aa bb cc"), (2, None)], "doc_id long, text string")
+    grams = similarity.repetition(rows, 2)
+    assert sorted(map(tuple, grams.select("doc_id", "gram", "n").collect())) == [(1, "aa bb", 3), (1, "bb cc", 3)]
+    plan = grams._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
