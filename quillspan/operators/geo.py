@@ -56,37 +56,61 @@ EARTH_KM = 6371.0
 def nearest(rows: DataFrame, k: int = 5, first_km: float = 10.0, growth: int = 2) -> DataFrame:
     """(place_id, neighbour, km, rank): the k nearest other places, by id on equal distance; places without coordinates take no part.
 
-    Places meet in cubes around points of the sphere in space, which have no
-    meridian and no pole: what is not in the 27 cubes around a place is at least
-    a cube's side away.  Cube by cube size, only places whose k-th distance is
-    not yet below the side look further, so dense areas stay local; the last
-    cubes hold the globe.  Of places with equal coordinates only the first
-    ``k + 1`` ids can be anyone's neighbours.
+    Positions, not places, look around: places with equal coordinates have the
+    same ``k + 1`` nearest, of which each leaves itself out, and only the first
+    ``k + 1`` ids of a position can be anyone's neighbours.  Positions meet in
+    cubes around points of the sphere in space, which have no meridian and no
+    pole: what is not in the 27 cubes around one is at least a cube's side
+    away.  Cube by cube size, from one that holds few positions, only positions
+    whose last distance is not yet below the side look further, so dense areas
+    stay local; the last cubes hold the globe.
     """
     lat, lng = F.radians("lat"), F.radians("lng")
     point = {"px": F.cos(lat) * F.cos(lng), "py": F.cos(lat) * F.sin(lng), "pz": F.sin(lat)}
-    here = rows.filter("lat IS NOT NULL AND lng IS NOT NULL").select("place_id", "lat", "lng", *((e * EARTH_KM).alias(n) for n, e in point.items()))
+    here = rows.filter("lat IS NOT NULL AND lng IS NOT NULL").select("place_id", "lat", "lng")
     first = here.withColumn("nth", F.row_number().over(Window.partitionBy("lat", "lng").orderBy("place_id"))).filter(F.col("nth") <= k + 1)
-    there = materialize(first.select(F.col("place_id").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "px", "py", "pz"), "nearest-places")
-    w = Window.partitionBy("place_id").orderBy("km", "neighbour")
+    there = materialize(first.select(F.col("place_id").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "nth", *((e * EARTH_KM).alias(n) for n, e in point.items())), "nearest-places")
+    # a position goes by its smallest id
+    positions = there.filter("nth = 1").select(F.col("neighbour").alias("position"), F.col("lat2").alias("lat"), F.col("lng2").alias("lng"), "px", "py", "pz")
+    w = Window.partitionBy("position").orderBy("km", "neighbour")
     around = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("dx", "dy", "dz"), d))) for d in product((-1, 0, 1), repeat=3)))
-    done, todo, side = [], materialize(here, "nearest-todo"), first_km
+    cubes = lambda side: {c: F.floor(F.col(f"p{c}") / side).cast("int") for c in "xyz"}
+    done, todo, side = [], positions, _open_side(positions, cubes, first_km, growth)
     while True:
-        cube = {c: F.floor(F.col(f"p{c}") / side).cast("int") for c in "xyz"}
-        asking = todo.withColumn("d", F.explode(around)).select("place_id", "lat", "lng", *((e + F.col(f"d.d{c}")).alias(c) for c, e in cube.items()))
-        found = asking.join(there.select("neighbour", "lat2", "lng2", *(e.alias(c) for c, e in cube.items())), list("xyz")).filter("place_id <> neighbour")
-        found = found.select("place_id", "neighbour", haversine_km(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")).alias("km"))
-        top = materialize(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "nearest-top")
+        cube = cubes(side)
+        asking = todo.withColumn("d", F.explode(around)).select("position", "lat", "lng", *((e + F.col(f"d.d{c}")).alias(c) for c, e in cube.items()))
+        found = asking.join(there.select("neighbour", "lat2", "lng2", *(e.alias(c) for c, e in cube.items())), list("xyz"))
+        found = found.select("position", "neighbour", haversine_km(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")).alias("km"))
+        top = materialize(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k + 1), "nearest-top")
         if side >= 2 * EARTH_KM:
             done.append(top)
             break
-        sure = top.filter((F.col("rank") == k) & (F.col("km") < side)).select("place_id")
-        done.append(top.join(sure, "place_id", "left_semi"))
-        todo = materialize(todo.join(sure, "place_id", "left_anti"), "nearest-todo")
+        sure = top.filter((F.col("rank") == k + 1) & (F.col("km") < side)).select("position")
+        done.append(top.join(sure, "position", "left_semi"))
+        todo = materialize(todo.join(sure, "position", "left_anti"), "nearest-todo")
         if todo.isEmpty():
             break
         side *= growth
-    return reduce(DataFrame.unionByName, done).withColumn("km", half_up(F.col("km"), 1))
+    near = reduce(DataFrame.unionByName, done).groupBy("position").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "km"))).alias("near"))
+    near = positions.select("position", "lat", "lng").join(near, "position").select("lat", "lng", "near")
+    others = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("place_id")), 1, k)
+    each = here.join(near, ["lat", "lng"]).select("place_id", F.posexplode(others).alias("at", "x"))
+    return each.select("place_id", F.col("x.neighbour").alias("neighbour"), half_up(F.col("x.km"), 1).alias("km"), (F.col("at") + 1).alias("rank"))
+
+
+#: Positions that the cube of a position holds on average, at most, when the search begins.
+OPEN_CUBE = 8
+
+
+def _open_side(positions: DataFrame, cubes, side: float, growth: int) -> float:
+    """The largest side from ``side`` downwards (a metre at least) whose cubes hold OPEN_CUBE positions at most, as a position sees it."""
+    while side > 0.001:
+        held = positions.groupBy(*(e.alias(c) for c, e in cubes(side).items())).agg(F.count("*").cast("double").alias("n"))
+        squares, total = held.agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+        if not total or squares <= OPEN_CUBE * total:
+            break
+        side /= growth
+    return side
 
 
 COST_PER_ROW = 0.03
