@@ -72,3 +72,15 @@ def test_signatures_agree_as_often_as_sets_overlap():
     pool = rng.integers(-(1 << 62), 1 << 62, 1500)
     a, b = minhash.signatures([pool[:1000], pool[500:]], 4000, 1)
     assert abs((a == b).mean() - 1 / 3) < 0.03
+
+
+def test_rounds_follow_the_logarithm_of_a_bucket(spark, monkeypatch):
+    """100 unlike texts in the same buckets: one representative a round would take 84 rounds."""
+    written = []
+    write = minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, label: written.append(label) or write(df, label))
+    heads = spark.createDataFrame([(k, [-1, *range(1 + 2 * k, 3 + 2 * k)]) for k in range(100)], "c long, shingles array<long>")
+    monkeypatch.setattr(minhash, "_buckets", lambda heads, bands, rows: heads.select("c", F.lit(0).alias("band"), F.lit(0).cast("long").alias("bucket")))
+    links, compared = minhash.lsh_links(heads)
+    assert links.count() == 0 and compared == 100 * 99 // 2
+    assert written.count("minhash-compared") <= 6
