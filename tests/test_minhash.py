@@ -84,3 +84,30 @@ def test_rounds_follow_the_logarithm_of_a_bucket(spark, monkeypatch):
     links, compared = minhash.lsh_links(heads)
     assert links.count() == 0 and compared == 100 * 99 // 2
     assert written.count("minhash-compared") <= 6
+
+
+def test_exact_partners_are_written_once_and_compared_by_place(spark, monkeypatch):
+    """Texts that share only a shingle early in their order have no room for 0.8: none is compared; sets are cut once."""
+    written = {}
+    write = similarity.materialize
+
+    def kept(df, label):
+        written[label] = write(df, label)
+        return written[label]
+
+    monkeypatch.setattr(similarity, "materialize", kept)
+    rng = random.Random(8)
+    base = words(rng, 60)
+    rows = [(k, " ".join(edited(rng, base, 1))) for k in range(30)] + [(100 + k, " ".join(words(rng, 60))) for k in range(30)]
+    got = {r["doc_id"]: r for r in similarity.best_partner(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {"partner-sets", "partner-classes", "partner-prefixes", "partner-scored"} <= set(written)
+
+    def shingles(text):
+        ws = text.split()
+        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+
+    sets = {k: shingles(t) for k, t in rows}
+    for k in sets:
+        links = sum(len(sets[k] & sets[j]) / len(sets[k] | sets[j]) >= 0.8 for j in sets if j != k)
+        assert got[k]["n_links"] == links
+    assert all(got[k]["partner"] is None for k in range(100, 130)) and written["partner-scored"].count() == sum(r["n_links"] for r in got.values()) // 2
