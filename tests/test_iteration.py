@@ -83,3 +83,22 @@ def test_settled_ranks_round_as_after_all_rounds(spark):
     every = rounded(tolerance=0.0)
     assert rounded(tolerance=0.05) != every
     assert rounded(tolerance=0.05, settle=True) == every
+
+
+def test_buckets_follow_the_graph_and_ranks_lie_in_them(spark, no_broadcast, monkeypatch):
+    """A small graph is one bucket whatever the shuffle partitions; with several buckets a round moves no ranks."""
+    made = []
+    write = G.bucketed
+    monkeypatch.setattr(G, "bucketed", lambda df, column, label, n=None, **how: made.append((label, n, write(df, column, label, n, **how))) or made[-1][2])
+    nodes, links = frames(spark, *case(4))
+    whole = {r["url"]: r["raw"] for r in G.pagerank(nodes, links, 3).collect()}
+    assert {n for _, n, _ in made} == {1}
+    made.clear()
+    monkeypatch.setattr(G, "BUCKET_ROWS", 70)
+    cut = {r["url"]: r["raw"] for r in G.pagerank(nodes, links, 3).collect()}
+    assert all(abs(cut[k] - whole[k]) < 1e-12 for k in whole) and len(cut) == 60
+    assert {n for _, n, _ in made} == {-(-links.count() // 70)}
+    table = {label: df for label, _, df in made}
+    lines = executed(G._rank_round(table["pr-edges"], table["pr-nodes"], table["pr-ranks"].select("url", "raw"), 0.1, 0.85))
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "raw#" in x)
+    assert sum("Bucketed: true" in x for x in lines if "FileScan" in x) >= 3 and "Join" in next(x for x in reversed(lines[:scan]) if "Exchange" in x or "Join" in x)
