@@ -101,3 +101,15 @@ def test_places_in_lists_of_several_spans(spark, monkeypatch):
     want, donors, links = CASES["few donors"]
     frames = spark.createDataFrame(want, PAGE.format("need")), spark.createDataFrame(donors, PAGE.format("strength")), spark.createDataFrame(sorted(links), "src long, dst long")
     assert {tuple(r) for r in G.assign_donors(*frames).collect()} == plain(want, donors, links)
+
+
+def test_later_rounds_look_up_only_what_is_asked(spark, monkeypatch):
+    want = [(k, 1.0 + k, "fr", "c", "lyon") for k in range(30)]
+    donors = [(100 + k, 9.0 if k < 2 else 1.0, "fr", "c", "lyon") for k in range(3000)]
+    links = {(100, 29), (101, 29)}
+    written = []
+    keep = G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, label: written.append(keep(df, label)) or written[-1])
+    frames = spark.createDataFrame(want, PAGE.format("need")), spark.createDataFrame(donors, PAGE.format("strength")), spark.createDataFrame(sorted(links), "src long, dst long")
+    assert {tuple(r) for r in G.assign_donors(*frames).collect()} == plain(want, donors, links)
+    assert max(df.count() for df in written) < 500
