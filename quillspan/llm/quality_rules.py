@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.docstats import rule_statistics, texts_as_bytes
+from quillspan.llm.docstats import each_text, rule_statistics
 from quillspan.llm.sampling import smallest_hashes
 from quillspan.workspace import materialize, table
 
@@ -48,7 +48,7 @@ def _row(text: bytes) -> tuple[int, ...]:
 def _measure(batches):
     names = ["doc_id", *STATS, "upper_permille"]
     for batch in batches:
-        rows = [_row(text) for text in texts_as_bytes(batch.column(1))]
+        rows = [_row(text) for text in each_text(batch.column(1))]
         columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * (len(names) - 1)
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
@@ -192,7 +192,7 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
 def _keeper(forest: dict, threshold: float, at: int):
     def run(batches):
         for batch in batches:
-            x = np.array([_row(t) for t in texts_as_bytes(batch.column(at))], dtype=float).reshape(batch.num_rows, 6)
+            x = np.array([_row(t) for t in each_text(batch.column(at))], dtype=float).reshape(batch.num_rows, 6)
             failed = (x[:, 0] < MIN_WORDS) | (100 * x[:, 4] > 50 * x[:, 0])
             keep = ~failed
             keep[keep] = anomaly_score(forest, _features(x[keep])) < threshold
