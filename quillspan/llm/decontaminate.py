@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.docstats import texts_as_bytes
-from quillspan.workspace import few, materialize, table
+from quillspan.workspace import few, in_batches, materialize, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -267,7 +267,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     blocks, out = block_count(benchmark), None
     for index in item_blocks(benchmark, blocks):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        found = rows.mapInArrow(_shared(_hit_finder, shared, threshold), HIT_DDL)
+        found = in_batches(rows, _shared(_hit_finder, shared, threshold), HIT_DDL)
         if blocks == 1:
             return found
         found = materialize(found, "leaks-block")
@@ -303,7 +303,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
     blocks = block_count(benchmark)
     if blocks == 1:
         shared = docs.sparkSession.sparkContext.broadcast(next(item_blocks(benchmark, 1)))
-        return docs.mapInArrow(_shared(_filter, shared, docs.columns.index(text_col), threshold), docs.schema)
+        return in_batches(docs, _shared(_filter, shared, docs.columns.index(text_col), threshold), docs.schema)
     hashed = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     hits = find_leaks(docs.select(hashed.alias("doc_id"), docs[text_col].cast("string").alias("text")), benchmark, threshold=threshold)
     held = materialize(hits.select(F.col("doc_id").alias("leak")).distinct(), "leaks-held")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.docstats import each_text, rule_statistics
 from quillspan.llm.sampling import smallest_hashes
-from quillspan.workspace import materialize, table
+from quillspan.workspace import in_batches, materialize, table
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS_DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, upper_permille long"
@@ -55,7 +55,7 @@ def _measure(batches):
 
 def rule_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, statistics) over whole texts."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_measure, STATS_DDL)
+    return in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), _measure, STATS_DDL)
 
 
 def base_failed():
@@ -208,7 +208,7 @@ def keep(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id
     the text but no shuffle of it, and needs no unique ids.
     """
     forest, _, threshold = train(materialize(rule_table(docs, id_col, text_col), "rule-stats"), labels, **more)
-    return docs.mapInArrow(_keeper(forest, threshold, docs.columns.index(text_col)), docs.schema)
+    return in_batches(docs, _keeper(forest, threshold, docs.columns.index(text_col)), docs.schema)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
