@@ -98,3 +98,17 @@ def test_repetition_moves_texts_not_grams(spark):
     assert sorted(map(tuple, grams.select("doc_id", "gram", "n").collect())) == [(1, "aa bb", 3), (1, "bb cc", 3)]
     plan = grams._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
+#: Headings cut within a reference, as the tables' titles are.
+CUT = '<html><head><title>a &quot</title></head><body><article><h1>a &quot</h1><h2>b &amp</h2><p>c &lt and &copy but &quot; &#39; &amp;quot;</p></article></body></html>'
+
+
+def cut_page(spark):
+    return spark.createDataFrame([(1, "http://a.example/", CUT)], "page_id long, url string, html string")
+
+
+def test_cut_references_stay_in_a_skim(spark):
+    got = extract.skim(cut_page(spark)).first()
+    assert (got["title"], got["h1"], got["h2s"]) == ("a &quot", "a &quot", ["b &"])
+    assert got["text"] == "a &quot\na &quot\nb &\nc &lt and &copy but \" ' &quot;"
