@@ -112,3 +112,7 @@ def test_cut_references_stay_in_a_skim(spark):
     got = extract.skim(cut_page(spark)).first()
     assert (got["title"], got["h1"], got["h2s"]) == ("a &quot", "a &quot", ["b &"])
     assert got["text"] == "a &quot\na &quot\nb &\nc &lt and &copy but \" ' &quot;"
+
+
+def test_cut_references_stay_in_the_main_text(spark):
+    assert extract.main_text(cut_page(spark)).first()["main_text"] == "a &quot\n\n## b &\n\nc &lt and &copy but \" ' &quot;"
