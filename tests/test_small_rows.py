@@ -116,3 +116,17 @@ def test_cut_references_stay_in_a_skim(spark):
 
 def test_cut_references_stay_in_the_main_text(spark):
     assert extract.main_text(cut_page(spark)).first()["main_text"] == "a &quot\n\n## b &\n\nc &lt and &copy but \" ' &quot;"
+
+
+def test_words_of_a_page_are_those_of_its_sql(spark, tmp_path):
+    """A cut reference is a word of page_quality's SQL."""
+    from quillspan.plans import catalogue
+
+    from .oracle import connect, same
+
+    page = CUT.replace("<p>", f"<p>{' '.join(f'word{k % 97} of line {k}.' for k in range(120))} ").replace("&lt and &copy but &quot; &#39; &amp;quot;", "&quot; d")
+    spark.createDataFrame([(1, "http://a.example/", page.replace("<h2>b &amp</h2>", ""))], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("page_main_text", "page_quality"):
+        same(con, catalogue.QUERIES[name](spark, str(tmp_path)), catalogue.ORACLES[name])
