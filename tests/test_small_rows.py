@@ -130,3 +130,8 @@ def test_words_of_a_page_are_those_of_its_sql(spark, tmp_path):
     con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     for name in ("page_main_text", "page_quality"):
         same(con, catalogue.QUERIES[name](spark, str(tmp_path)), catalogue.ORACLES[name])
+
+
+def test_cut_references_stay_in_a_profile(spark):
+    got = extract.profile(cut_page(spark)).first()
+    assert (got["h1s"], got["h2s"]) == (["a &quot"], ["b &"])
